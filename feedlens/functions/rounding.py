@@ -72,3 +72,24 @@ def ratio_round_sql(num: str, den: str, digits: int = 1, half_even: bool = True)
     scale = 10 ** digits
     units = ratio_units_sql(num, den, scale, half_even)
     return f"COALESCE(CAST({units} AS DOUBLE) / {float(scale)}, 0.0)"
+
+
+# --------------------------------------------------------------------------
+# numpy-style rounding of doubles (what pandas ``Series.round`` does):
+# rint(x * 10**d) / 10**d, rint being round-half-even on the double.
+# --------------------------------------------------------------------------
+
+def numpy_round(c: Column, digits: int = 1) -> Column:
+    if digits == 0:
+        return F.rint(c)
+    scale = float(10 ** digits)
+    return F.rint(c * scale) / scale
+
+
+def numpy_round_sql(expr: str, digits: int = 1) -> str:
+    scale = float(10 ** digits)
+    y = f"(({expr}) * {scale})" if digits else f"({expr})"
+    fl = f"floor({y})"
+    r = (f"(CASE WHEN {y} - {fl} > 0.5 THEN {fl} + 1 WHEN {y} - {fl} < 0.5 THEN {fl} "
+         f"WHEN {fl} % 2 = 0 THEN {fl} ELSE {fl} + 1 END)")
+    return f"({r} / {scale})" if digits else r

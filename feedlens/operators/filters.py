@@ -151,6 +151,25 @@ class SignalFilter:
             out["sentiment"] = F.col("sentiment_label") == F.lit(self.sentiment.lower())
         return out
 
+    def sql_conditions(self) -> dict[str, str]:
+        """The same predicates as SQL text (for oracle queries and logs)."""
+        def lit(v):
+            return str(int(v)) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+        out: dict[str, str] = {}
+        if self._active("period"):
+            a, b = self.period
+            out["period"] = f"year BETWEEN {a} AND {b}"
+        for key, col in _IN_COLUMNS.items():
+            if self._active(key):
+                out[key] = f"{col} IN ({', '.join(lit(v) for v in getattr(self, key))})"
+        if self._active("sentiment"):
+            out["sentiment"] = f"sentiment_label = {lit(self.sentiment.lower())}"
+        return out
+
+    def sql(self) -> str:
+        return " AND ".join(self.sql_conditions().values())
+
     def predicate(self) -> Column | None:
         """conjunction of the active predicates; None when nothing is active.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedlens.functions.rounding import pct_round
+from feedlens.functions.rounding import numpy_round, pct_round
 from feedlens.operators.filters import SignalFilter, apply_filter
 from feedlens.schema import CHURN_ACTIONS, CHURN_CAUSE_LABELS, PRECHURN_ACTIONS, REGULATORY_SOURCE
 
@@ -14,7 +14,8 @@ def churn_causes(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
     """M6: counts of the three churn actions, cause label, share of the churn total.
 
     The filter on three action values bounds the result to three rows, so the
-    whole-result total is a window over at most three rows.
+    whole-result total is a window over at most three rows.  ``pct`` is
+    rounded like pandas (half-even on the double).
     """
     s = apply_filter(sig, f, F.col("customer_action").isin(CHURN_ACTIONS))
     counts = s.groupBy("customer_action").agg(F.count(F.lit(1)).alias("cantidad"))
@@ -24,7 +25,7 @@ def churn_causes(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
         "customer_action", "cantidad",
         F.coalesce(F.try_element_at(labels, F.col("customer_action")),
                    F.col("customer_action")).alias("causa_label"),
-        pct_round(F.col("cantidad"), total).alias("pct"),
+        numpy_round(F.col("cantidad") / total * 100.0).alias("pct"),
         total.cast("bigint").alias("total_churn"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.functions.predicates import is_churning
-from feedlens.functions.rounding import pct_round, ratio_round, ratio_units
+from feedlens.functions.rounding import numpy_round, pct_round, ratio_round
 from feedlens.functions.text import topic_counts
 from feedlens.operators.filters import SignalFilter, apply_filter
 from feedlens.schema import COMPLAINT_ACTIONS, COMPLAINT_TOPICS, US_PREFIXES
@@ -51,7 +51,7 @@ def product_risk(sig: DataFrame, f: SignalFilter | None = None, limit: int = 10)
     """Churn-risk score per product, top ``limit``.
 
     score = 40 neg_ratio + 40 churn_ratio + 20 vol / max(vol), 1 dp, clipped to
-    0..100; computed exactly on the integer counts.  max(vol) is an
+    0..100, rounded like pandas (half-even on the double).  max(vol) is an
     uncorrelated scalar subquery over the per-product aggregate (one value),
     not a single-partition window.
     """
@@ -62,12 +62,11 @@ def product_risk(sig: DataFrame, f: SignalFilter | None = None, limit: int = 10)
         F.count(F.lit(1)).alias("vol"),
     )
     max_vol = per_product.select(F.max("vol")).scalar()
-    dec = lambda c: F.col(c).cast("decimal(38,0)")
-    mx = max_vol.cast("decimal(38,0)")
-    num = (dec("neg") + dec("churn")) * 40 * mx + dec("vol") * dec("vol") * 20
-    den = dec("vol") * mx
-    units = ratio_units(num, den, 10)
-    score = F.least(F.greatest(units.cast("double") / 10.0, F.lit(0.0)), F.lit(100.0))
+    neg_ratio = F.col("neg").cast("double") * 1.0 / F.col("vol")
+    churn_ratio = F.col("churn").cast("double") * 1.0 / F.col("vol")
+    norm_vol = F.col("vol") / max_vol
+    raw = neg_ratio * 40 + churn_ratio * 40 + norm_vol * 20
+    score = F.least(F.greatest(numpy_round(raw, 1), F.lit(0.0)), F.lit(100.0))
     return (per_product.select("product", score.alias("score"))
                        .orderBy(F.desc("score"), F.asc_nulls_first("product"))
                        .limit(limit))

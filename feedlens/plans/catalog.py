@@ -12,7 +12,9 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedlens.functions.rounding import pct_round_sql, ratio_round_sql, ratio_units_sql
+from feedlens.functions.rounding import (
+    numpy_round_sql, pct_round_sql, ratio_round_sql, ratio_units_sql,
+)
 from feedlens.operators import metrics as M
 from feedlens.operators.filters import SignalFilter
 from feedlens.plans.testbed import signals_from_tables, with_signals
@@ -127,7 +129,7 @@ def sql_churn_causes(flt: str = "") -> str:
         t AS (SELECT CAST(SUM(cantidad) AS BIGINT) AS total_churn FROM c)
         SELECT customer_action, cantidad,
                COALESCE(CASE customer_action {labels} END, customer_action) AS causa_label,
-               {pct_round_sql('cantidad', 'total_churn')} AS pct, total_churn
+               {numpy_round_sql('CAST(cantidad AS DOUBLE) / total_churn * 100.0')} AS pct, total_churn
         FROM c, t""".replace("\n        , c AS", "WITH c AS", 1))
 
 
@@ -189,8 +191,8 @@ def sql_behavior_cycle(flt: str = "") -> str:
 
 
 def sql_product_risk(flt: str = "", limit: int = 10) -> str:
-    num = ("(CAST(neg AS HUGEINT) + churn) * 40 * mx + CAST(vol AS HUGEINT) * vol * 20")
-    units = ratio_units_sql(num, "CAST(vol AS HUGEINT) * mx", 10)
+    raw = ("(CAST(neg AS DOUBLE) * 1.0 / vol) * 40 + (CAST(churn AS DOUBLE) * 1.0 / vol) * 40"
+           " + (CAST(vol AS DOUBLE) / mx) * 20")
     return with_signals(f"""
         , p AS (SELECT product_service AS product,
                        COUNT(*) FILTER (WHERE sentiment_label = 'negative') AS neg,
@@ -198,7 +200,7 @@ def sql_product_risk(flt: str = "", limit: int = 10) -> str:
                        COUNT(*) AS vol
                 FROM signals {_where(flt)} GROUP BY product_service),
         m AS (SELECT MAX(vol) AS mx FROM p)
-        SELECT product, LEAST(GREATEST(CAST({units} AS DOUBLE) / 10.0, 0.0), 100.0) AS score
+        SELECT product, LEAST(GREATEST({numpy_round_sql(raw)}, 0.0), 100.0) AS score
         FROM p, m ORDER BY score DESC, product ASC NULLS FIRST LIMIT {limit}""".replace(
         "\n        , p AS", "WITH p AS", 1))
 

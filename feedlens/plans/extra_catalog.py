@@ -1,11 +1,222 @@
-"""Registered queries for facets, profiles and derived views (filled below)."""
+"""Registered queries for facets, profiles and derived views, with oracle SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from feedlens.functions.rounding import numpy_round_sql
+from feedlens.operators import derived as V
+from feedlens.operators import metrics as M
+from feedlens.operators import quality as Q
+from feedlens.operators.facets import DIMENSIONS, facet_options, year_bounds
+from feedlens.operators.filters import SignalFilter
+from feedlens.plans import catalog as C
+from feedlens.plans.testbed import signals_from_tables, with_signals
+from feedlens.schema import FACET_CAP, FACET_LABEL_WIDTH, FACET_MIN_COUNT, TAB_CONFIG, VALID_ACTIONS
+
+FACET_FILTER = SignalFilter(period=(1994, 1998), sources=("Reddit", "CFPB", "AppStore"),
+                            companies=("Supplier#000000001", "Supplier#000000002",
+                                       "Supplier#000000003"),
+                            actions=("complaining", "formal_complaint", "venting", "churning"),
+                            sentiment="negative")
+
+
+def _sig(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals_from_tables(spark, sf_dir)
+
+
+def _sub(sql: str) -> str:
+    """A metric's oracle SQL as a subquery."""
+    return f"({sql})"
+
+
+# --- facets ---------------------------------------------------------------
+
+def sql_facets(f: SignalFilter | None = None, tab: str | None = None) -> str:
+    conds = (f or SignalFilter()).sql_conditions()
+    branches = []
+    for dim, (col, own) in DIMENSIONS.items():
+        rest = [c for k, c in conds.items() if k not in own]
+        where = " AND ".join([f"({c})" for c in rest] + [f"{col} IS NOT NULL"])
+        extra = f"HAVING COUNT(*) >= {FACET_MIN_COUNT[dim]}"
+        sel = (f"SELECT '{dim}' AS dim, CAST({col} AS VARCHAR) AS value, COUNT(*) AS cnt "
+               f"FROM signals WHERE {where} GROUP BY {col} {extra}")
+        outer = []
+        if dim == "action":
+            outer.append("value IN (" + ", ".join(f"'{a}'" for a in VALID_ACTIONS) + ")")
+        if dim == "source" and tab and TAB_CONFIG.get(tab, {}).get("sources"):
+            outer.append("value IN (" + ", ".join(f"'{s}'" for s in TAB_CONFIG[tab]["sources"]) + ")")
+        q = f"SELECT * FROM ({sel}) g" + (" WHERE " + " AND ".join(outer) if outer else "")
+        if dim in FACET_CAP:
+            q += f" ORDER BY cnt DESC, value ASC LIMIT {FACET_CAP[dim]}"
+        if dim == "year":
+            label = "value"
+        else:
+            v = "value"
+            if dim in FACET_LABEL_WIDTH:
+                w = FACET_LABEL_WIDTH[dim]
+                v = f"(substring(value, 1, {w}) || CASE WHEN length(value) > {w} THEN '…' ELSE '' END)"
+            label = f"{v} || ' (' || format('{{:,}}', cnt) || ')'"
+        branches.append(f"SELECT dim, value, cnt, {label} AS label FROM ({q}) b_{dim}")
+    return with_signals(" UNION ALL ".join(branches))
+
+
+def q_facets(f=None, tab=None):
+    def run(spark, sf_dir):
+        return facet_options(_sig(spark, sf_dir), f, tab=tab)
+    return run
+
+
+def q_year_bounds(spark, sf_dir):
+    return year_bounds(facet_options(_sig(spark, sf_dir)), 1994, 1997)
+
+
+def sql_year_bounds() -> str:
+    return with_signals("""
+        SELECT year, CAST(year AS VARCHAR) AS label, year > 1997 AS from_disabled,
+               year < 1994 AS to_disabled
+        FROM (SELECT DISTINCT year FROM signals WHERE year IS NOT NULL) y""")
+
+
+# --- quality --------------------------------------------------------------
+
+def sql_non_null_counts() -> str:
+    from feedlens.schema import SIGNAL_COLUMNS
+    cols = ["dataset_id", *SIGNAL_COLUMNS]
+    return with_signals("SELECT " + ", ".join(f"COUNT({c}) AS nn_{c}" for c in cols) + " FROM signals")
+
+
+def sql_distinct_sample() -> str:
+    parts = [f"SELECT * FROM (SELECT DISTINCT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value "
+             f"FROM signals ORDER BY value ASC NULLS FIRST LIMIT 5) s_{c}"
+             for c in ("company", "product_service")]
+    return with_signals(" UNION ALL ".join(parts))
+
+
+SQL_COVERAGE = with_signals("""
+    SELECT source, COUNT(*) AS total, COUNT(sentiment_score) AS with_sentiment,
+           COUNT(rating) AS with_rating, COUNT(company) AS with_company,
+           COUNT(product_service) AS with_product
+    FROM signals GROUP BY source""")
+SQL_MOBILE_RATING = with_signals("""
+    SELECT source, COUNT(rating) AS rating_count, AVG(rating) AS avg_rating FROM signals
+    WHERE replace(lower(source), ' ', '') IN ('appstore', 'googleplay') GROUP BY source""")
+SQL_YEARS_GOOGLEPLAY = with_signals(
+    "SELECT year, COUNT(*) AS rows FROM signals WHERE source = 'GooglePlay' GROUP BY year")
+SQL_ROWS_BY_SOURCE = with_signals("SELECT source, COUNT(*) AS rows FROM signals GROUP BY source")
+SQL_ROWS_BY_DATASET = with_signals("SELECT dataset_id, COUNT(*) AS rows FROM signals GROUP BY dataset_id")
+
+
+# --- derived --------------------------------------------------------------
+
+def sql_benchmark_satisfaction() -> str:
+    sat = numpy_round_sql("(avg_sentiment + 1) / 2 * 100", 1)
+    return f"""SELECT company, avg_sentiment, sat_score,
+        CASE WHEN sat_score < 40 THEN 'danger' WHEN sat_score < 55 THEN 'warning' ELSE 'success' END AS band
+        FROM (SELECT company, avg_sentiment, {sat} AS sat_score
+              FROM {_sub(C.sql_competitive_benchmark())} m) s"""
+
+
+def sql_channel_bands() -> str:
+    return f"""SELECT source, avg_sentiment,
+        CASE WHEN avg_sentiment < 0 THEN 'danger' WHEN avg_sentiment < 0.1 THEN 'warning'
+             ELSE 'success' END AS band
+        FROM {_sub(C.sql_sentiment_by_channel())} m"""
+
+
+def sql_heatmap_cells() -> str:
+    sat = numpy_round_sql("(avg_sentiment + 1) / 2 * 100", 0)
+    cells = (f"SELECT company, product_service, {sat} AS sat_score "
+             f"FROM {_sub(C.sql_company_product_heatmap())} h WHERE company IS NOT NULL")
+    return f"""SELECT company, product_service, sat_score FROM ({cells}) c
+        WHERE company IN (SELECT company FROM ({cells}) c2 GROUP BY company
+                          ORDER BY COUNT(sat_score) DESC, company ASC LIMIT 8)
+          AND product_service IS NOT NULL AND sat_score IS NOT NULL"""
+
+
+def sql_heatmap_matrix() -> str:
+    return f"PIVOT ({sql_heatmap_cells()}) ON product_service USING avg(sat_score) GROUP BY company"
+
+
+def sql_device_scaled() -> str:
+    return f"""SELECT source, avg_rating, avg_sentiment, (avg_sentiment + 1) / 2 * 5 AS sentiment_5
+        FROM {_sub(C.sql_device_comparison())} m"""
+
+
+def sql_prechurn_total() -> str:
+    return f"SELECT CAST(COALESCE(SUM(prechurn), 0) AS BIGINT) AS prechurn_total FROM {_sub(C.sql_prechurn_trend())} m"
+
+
+def sql_status(metric_sql: str, title: str) -> str:
+    return f"""SELECT '{title}' AS title, COUNT(*) = 0 AS is_empty,
+        CASE WHEN COUNT(*) = 0 THEN '{title} (Sin datos para la selección)' ELSE '{title}' END
+        AS display_title FROM {_sub(metric_sql)} m"""
+
+
+def sql_nps_band(flt: str = "") -> str:
+    return f"""SELECT *, CASE WHEN total_signals = 0 THEN 'empty' WHEN nps_score >= 0 THEN 'success'
+        ELSE 'danger' END AS band FROM {_sub(C.sql_nps_proxy(flt))} m"""
+
+
+def sql_regulatory_band(flt: str = "") -> str:
+    return f"""SELECT *, CASE WHEN total = 0 THEN 'empty' WHEN pct > 50 THEN 'danger'
+        ELSE 'warning' END AS band FROM {_sub(C.sql_regulatory_exposure(flt))} m"""
+
+
+EMPTY_FILTER = SignalFilter(years=(1800,))
+EMPTY_SQL = "year IN (1800)"
+
 
 def queries() -> dict:
-    return {}
+    s = _sig
+    return {
+        "filter_options": q_facets(),
+        "filter_options_filtered": q_facets(FACET_FILTER),
+        "filter_options_tab_retention": q_facets(FACET_FILTER.for_tab("retention"), tab="retention"),
+        "year_bounds": q_year_bounds,
+        "non_null_counts": lambda sp, d: Q.non_null_counts(s(sp, d)),
+        "distinct_sample": lambda sp, d: Q.distinct_sample(s(sp, d)),
+        "coverage_by_source": lambda sp, d: Q.coverage_by_source(s(sp, d)),
+        "mobile_rating_profile": lambda sp, d: Q.mobile_rating_profile(s(sp, d)),
+        "rows_by_year_googleplay": lambda sp, d: Q.rows_by_year_for_source(s(sp, d), "GooglePlay"),
+        "rows_by_source": lambda sp, d: Q.rows_by_source(s(sp, d)),
+        "rows_by_dataset": lambda sp, d: Q.rows_by_dataset(s(sp, d)),
+        "benchmark_satisfaction": lambda sp, d: V.benchmark_satisfaction(M.competitive_benchmark(s(sp, d))),
+        "channel_bands": lambda sp, d: V.channel_bands(M.sentiment_by_channel(s(sp, d))),
+        "heatmap_cells": lambda sp, d: V.heatmap_cells(M.company_product_heatmap(s(sp, d))),
+        "heatmap_matrix": lambda sp, d: V.heatmap_matrix(V.heatmap_cells(M.company_product_heatmap(s(sp, d)))),
+        "device_scaled": lambda sp, d: V.device_scaled(M.device_comparison(s(sp, d))),
+        "prechurn_total": lambda sp, d: V.prechurn_total(M.prechurn_trend(s(sp, d))),
+        "churn_causes_status": lambda sp, d: V.status(M.churn_causes(s(sp, d)), "Churn"),
+        "churn_causes_status_empty": lambda sp, d: V.status(M.churn_causes(s(sp, d), EMPTY_FILTER), "Churn"),
+        "nps_band": lambda sp, d: V.nps_band(M.nps_proxy(s(sp, d))),
+        "nps_band_empty": lambda sp, d: V.nps_band(M.nps_proxy(s(sp, d), EMPTY_FILTER)),
+        "regulatory_band": lambda sp, d: V.regulatory_band(M.regulatory_exposure(s(sp, d))),
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "filter_options": sql_facets(),
+        "filter_options_filtered": sql_facets(FACET_FILTER),
+        "filter_options_tab_retention": sql_facets(FACET_FILTER.for_tab("retention"), "retention"),
+        "year_bounds": sql_year_bounds(),
+        "non_null_counts": sql_non_null_counts(),
+        "distinct_sample": sql_distinct_sample(),
+        "coverage_by_source": SQL_COVERAGE,
+        "mobile_rating_profile": SQL_MOBILE_RATING,
+        "rows_by_year_googleplay": SQL_YEARS_GOOGLEPLAY,
+        "rows_by_source": SQL_ROWS_BY_SOURCE,
+        "rows_by_dataset": SQL_ROWS_BY_DATASET,
+        "benchmark_satisfaction": sql_benchmark_satisfaction(),
+        "channel_bands": sql_channel_bands(),
+        "heatmap_cells": sql_heatmap_cells(),
+        "heatmap_matrix": sql_heatmap_matrix(),
+        "device_scaled": sql_device_scaled(),
+        "prechurn_total": sql_prechurn_total(),
+        "churn_causes_status": sql_status(C.sql_churn_causes(), "Churn"),
+        "churn_causes_status_empty": sql_status(C.sql_churn_causes(EMPTY_SQL), "Churn"),
+        "nps_band": sql_nps_band(),
+        "nps_band_empty": sql_nps_band(EMPTY_SQL),
+        "regulatory_band": sql_regulatory_band(),
+    }
