@@ -21,7 +21,7 @@ def lenient_date(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
     s = F.trim(c.cast("string"))
-    attempts = [s.try_cast("date")] + [F.try_to_date(s, F.lit(fmt)) for fmt in DATE_FORMATS]
+    attempts = [s.try_cast("date")] + [F.try_to_date(s, fmt) for fmt in DATE_FORMATS]
     return F.coalesce(*attempts)
 
 
