@@ -76,11 +76,16 @@ def facet_options(sig: DataFrame, f: SignalFilter | dict | None = None, tab: str
     counts = facet_counts(sig, f)
     parts = []
     for dim in DIMENSIONS:
-        part = counts.where((F.col("dim") == dim) & (F.col("cnt") >= mins[dim]))
+        # One predicate over (dim, value, cnt): a filter on the grouping columns
+        # alone would be pushed below the aggregate, giving five different plans
+        # and five scans; this way all branches share one aggregate and its
+        # shuffle is reused.
+        ok = F.col("dim") == dim
         if dim == "action":
-            part = part.where(F.col("value").isin(VALID_ACTIONS))
+            ok = ok & F.col("value").isin(VALID_ACTIONS)
         if dim == "source" and tab is not None and TAB_CONFIG.get(tab, {}).get("sources"):
-            part = part.where(F.col("value").isin(TAB_CONFIG[tab]["sources"]))
+            ok = ok & F.col("value").isin(TAB_CONFIG[tab]["sources"])
+        part = counts.where(F.when(ok, F.col("cnt")).otherwise(F.lit(-1)) >= mins[dim])
         if dim in caps:
             part = part.orderBy(F.desc("cnt"), F.asc("value")).limit(caps[dim])
         parts.append(part.withColumn("label", _label(dim)))

@@ -42,12 +42,16 @@ def rating_distribution(sig: DataFrame, f: SignalFilter | None = None) -> DataFr
     positive rating passes, the result is empty (not five zeros).
     """
     s = apply_filter(sig, f, is_mobile() & F.col("rating").isNotNull() & (F.col("rating") > 0))
-    stars = F.round(F.col("rating"), 0).cast("int").alias("estrellas")
+    rounded = F.round(F.col("rating"), 0).try_cast("int")
+    # stars outside 1..5 (0, 6+, overflow) share bucket 0, which the zero fill
+    # drops: at most six groups, a proven bound for the broadcast below
+    stars = F.coalesce(F.when(rounded.between(1, 5), rounded), F.lit(0)).alias("estrellas")
     counts = s.groupBy(stars).agg(F.count(F.lit(1)).alias("cantidad"))
-    any_rows = counts.select(F.count(F.lit(1)) > 0).scalar()
+    # max(struct) keeps the aggregate identical to the joined one, so the
+    # subquery reuses its shuffle (a plain count would be pruned to a new plan)
+    any_rows = counts.select(F.max(F.struct("cantidad", "estrellas")).isNotNull()).scalar()
     domain = sig.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("estrellas"))
-    # at most five rows survive the range filter: a proven broadcast bound.
-    hits = F.broadcast(counts.where(F.col("estrellas").between(1, 5)))
+    hits = F.broadcast(counts)
     return (domain.where(any_rows).join(hits, "estrellas", "left")
                   .select("estrellas",
                           F.coalesce(F.col("cantidad"), F.lit(0)).cast("bigint").alias("cantidad"),

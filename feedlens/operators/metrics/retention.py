@@ -61,7 +61,9 @@ def product_risk(sig: DataFrame, f: SignalFilter | None = None, limit: int = 10)
         F.count_if(is_churning()).alias("churn"),
         F.count(F.lit(1)).alias("vol"),
     )
-    max_vol = per_product.select(F.max("vol")).scalar()
+    # max over a struct led by vol keeps every aggregate of per_product alive,
+    # so the subquery's plan equals the main one and AQE reuses its shuffle
+    max_vol = per_product.select(F.max(F.struct("vol", "neg", "churn")).getField("vol")).scalar()
     neg_ratio = F.col("neg").cast("double") * 1.0 / F.col("vol")
     churn_ratio = F.col("churn").cast("double") * 1.0 / F.col("vol")
     norm_vol = F.col("vol") / max_vol
