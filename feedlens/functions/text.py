@@ -24,9 +24,9 @@ def topic_counts(df: DataFrame, topics: list[tuple[str, str]], text_col: str = "
     ``count_if`` per topic (map-side partial aggregation, a single row
     shuffled per task), then ``stack`` turns the row into one row per topic.
     """
-    lowered = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    aggs = [F.count_if(lowered.rlike(rx)).alias(f"t{i}") for i, (_, rx) in enumerate(topics)]
-    wide = df.agg(*aggs)
+    lowered = df.select(F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
+    aggs = [F.count_if(F.col("_text").rlike(rx)).alias(f"t{i}") for i, (_, rx) in enumerate(topics)]
+    wide = lowered.agg(*aggs)
     pairs = ", ".join(f"{_sql_str(label)}, t{i}" for i, (label, _) in enumerate(topics))
     return wide.selectExpr(f"stack({len(topics)}, {pairs}) AS ({label_col}, {count_col})")
 

@@ -163,6 +163,58 @@ def sql_regulatory_band(flt: str = "") -> str:
         ELSE 'warning' END AS band FROM {_sub(C.sql_regulatory_exposure(flt))} m"""
 
 
+# --- ingest and store round trips (S1-S10, C1-C7, R1) ------------------------------
+
+def _write_testbed(spark: SparkSession, sf_dir: str, fmt: str) -> str:
+    from feedlens.session import scratch_path
+
+    path = scratch_path(spark, f"testbed-{fmt}")
+    w = signals_from_tables(spark, sf_dir).drop("dataset_id").write
+    if fmt == "csv":
+        w.option("header", True).csv(path)
+    elif fmt == "json":
+        w.json(path)
+    else:
+        w.parquet(path)
+    return path
+
+
+def q_cleaned_roundtrip(fmt: str):
+    """The derived table written as ``fmt`` files, read back and cleaned."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from feedlens.operators.clean import transform_and_clean
+        from feedlens.sources import readers
+
+        path = _write_testbed(spark, sf_dir, fmt)
+        raw = {"csv": readers.read_csv, "json": readers.read_json,
+               "parquet": readers.read_parquet}[fmt](spark, path)
+        return transform_and_clean(raw)
+    return run
+
+
+SQL_CLEANED = with_signals("""
+    SELECT date, year, month, customer_action, COALESCE(sentiment_score, 0.0) AS sentiment_score,
+           sentiment_label, source, company, product_service, COALESCE(text, '') AS text,
+           COALESCE(country, 'Unknown') AS country, COALESCE(rating, 0.0) AS rating
+    FROM signals""")
+
+
+def q_store_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads into a fresh store (S9 pre-shaped append, S7 CSV ingest): registry rows."""
+    from feedlens.session import scratch_path
+    from feedlens.sources.store import SignalStore
+
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    store.append_table(signals_from_tables(spark, sf_dir).drop("dataset_id"), "testbed")
+    store.ingest(_write_testbed(spark, sf_dir, "csv"), name="testbed_csv")
+    return store.datasets().select("id", "name", "row_count")
+
+
+SQL_STORE_REGISTRY = with_signals("""
+    SELECT CAST(1 AS BIGINT) AS id, 'testbed' AS name, COUNT(*) AS row_count FROM signals
+    UNION ALL SELECT CAST(2 AS BIGINT), 'testbed_csv', COUNT(*) FROM signals""")
+
+
 EMPTY_FILTER = SignalFilter(years=(1800,))
 EMPTY_SQL = "year IN (1800)"
 
@@ -192,6 +244,10 @@ def queries() -> dict:
         "nps_band": lambda sp, d: V.nps_band(M.nps_proxy(s(sp, d))),
         "nps_band_empty": lambda sp, d: V.nps_band(M.nps_proxy(s(sp, d), EMPTY_FILTER)),
         "regulatory_band": lambda sp, d: V.regulatory_band(M.regulatory_exposure(s(sp, d))),
+        "cleaned_csv_roundtrip": q_cleaned_roundtrip("csv"),
+        "cleaned_json_roundtrip": q_cleaned_roundtrip("json"),
+        "cleaned_parquet_roundtrip": q_cleaned_roundtrip("parquet"),
+        "store_registry": q_store_registry,
     }
 
 
@@ -219,4 +275,8 @@ def oracle_sql() -> dict:
         "nps_band": sql_nps_band(),
         "nps_band_empty": sql_nps_band(EMPTY_SQL),
         "regulatory_band": sql_regulatory_band(),
+        "cleaned_csv_roundtrip": SQL_CLEANED,
+        "cleaned_json_roundtrip": SQL_CLEANED,
+        "cleaned_parquet_roundtrip": SQL_CLEANED,
+        "store_registry": SQL_STORE_REGISTRY,
     }
