@@ -19,6 +19,11 @@ def churn_causes(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
     """
     s = apply_filter(sig, f, F.col("customer_action").isin(CHURN_ACTIONS))
     counts = s.groupBy("customer_action").agg(F.count(F.lit(1)).alias("cantidad"))
+    return finish_churn_causes(counts)
+
+
+def finish_churn_causes(counts: DataFrame) -> DataFrame:
+    """M6 from (customer_action, cantidad) restricted to the three churn actions."""
     labels = F.create_map(*[x for k, v in CHURN_CAUSE_LABELS.items() for x in (F.lit(k), F.lit(v))])
     total = F.sum("cantidad").over(Window.partitionBy())
     return counts.select(
@@ -35,6 +40,10 @@ def regulatory_exposure(sig: DataFrame, f: SignalFilter | None = None) -> DataFr
     s = apply_filter(sig, f)
     agg = s.agg(F.count_if(F.col("source") == REGULATORY_SOURCE).alias("regulatorias"),
                 F.count(F.lit(1)).alias("total"))
+    return finish_regulatory(agg)
+
+
+def finish_regulatory(agg: DataFrame) -> DataFrame:
     return agg.select("total", "regulatorias",
                       pct_round(F.col("regulatorias"), F.col("total")).alias("pct"))
 
@@ -42,8 +51,11 @@ def regulatory_exposure(sig: DataFrame, f: SignalFilter | None = None) -> DataFr
 def prechurn_trend(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
     """M8: early-warning actions per year."""
     s = apply_filter(sig, f, F.col("customer_action").isin(PRECHURN_ACTIONS))
-    return (s.groupBy("year").agg(F.count(F.lit(1)).alias("prechurn"))
-             .orderBy(F.asc_nulls_first("year")))
+    return finish_prechurn(s.groupBy("year").agg(F.count(F.lit(1)).alias("prechurn")))
+
+
+def finish_prechurn(out: DataFrame) -> DataFrame:
+    return out.orderBy(F.asc_nulls_first("year"))
 
 
 def competitive_benchmark(sig: DataFrame, f: SignalFilter | None = None,
@@ -54,9 +66,13 @@ def competitive_benchmark(sig: DataFrame, f: SignalFilter | None = None,
     """
     s = apply_filter(sig, f, F.col("sentiment_score").isNotNull())
     agg = (s.groupBy("company")
-             .agg(F.avg("sentiment_score").alias("avg_sentiment"), F.count(F.lit(1)).alias("n"))
-             .where(F.col("n") > min_count))
-    return (agg.orderBy(F.asc("avg_sentiment"), F.asc_nulls_first("company"))
+             .agg(F.avg("sentiment_score").alias("avg_sentiment"), F.count(F.lit(1)).alias("n")))
+    return finish_benchmark(agg, min_count, limit)
+
+
+def finish_benchmark(agg: DataFrame, min_count: int = 500, limit: int = 15) -> DataFrame:
+    """M9 from (company, avg_sentiment, n = scored rows)."""
+    return (agg.where(F.col("n") > min_count).orderBy(F.asc("avg_sentiment"), F.asc_nulls_first("company"))
                .limit(limit).select("company", "avg_sentiment"))
 
 
@@ -72,6 +88,11 @@ def company_product_heatmap(sig: DataFrame, f: SignalFilter | None = None,
     s = apply_filter(sig, f)
     pairs = (s.groupBy("company", "product_service")
                .agg(F.avg("sentiment_score").alias("avg_sentiment"), F.count(F.lit(1)).alias("n")))
+    return finish_heatmap(pairs, pair_limit, product_limit)
+
+
+def finish_heatmap(pairs: DataFrame, pair_limit: int = 500, product_limit: int = 8) -> DataFrame:
+    """M10 from (company, product_service, avg_sentiment, n = rows)."""
     top = (pairs.orderBy(F.desc("n"), F.asc_nulls_first("company"),
                          F.asc_nulls_first("product_service"))
                 .limit(pair_limit))

@@ -25,6 +25,11 @@ def nps_proxy(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
         F.count_if(F.col("sentiment_label") == "positive").alias("promoters"),
         F.count_if(F.col("sentiment_label") == "negative").alias("detractors"),
     )
+    return finish_nps(agg)
+
+
+def finish_nps(agg: DataFrame) -> DataFrame:
+    """M1 from one row of (total_signals, promoters, detractors)."""
     units_p = F.coalesce(ratio_units(F.col("promoters") * 100, F.col("total_signals")), F.lit(0))
     units_d = F.coalesce(ratio_units(F.col("detractors") * 100, F.col("total_signals")), F.lit(0))
     return agg.select(
@@ -40,7 +45,10 @@ def nps_proxy(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
 
 def nps_breakdown(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
     """M1 breakdown + V6: three segments with count and share (1 dp)."""
-    kpi = nps_proxy(sig, f)
+    return breakdown_from_nps(nps_proxy(sig, f))
+
+
+def breakdown_from_nps(kpi: DataFrame) -> DataFrame:
     long = kpi.selectExpr(
         "total_signals",
         "stack(3, 'Promotores', promoters, 'Pasivos', passives, "
@@ -55,6 +63,10 @@ def complaint_velocity(sig: DataFrame, f: SignalFilter | None = None) -> DataFra
     s = apply_filter(sig, f, F.col("customer_action").isin(COMPLAINT_OR_CHURN_ACTIONS))
     out = (s.groupBy("year", quarter_label().alias("quarter"))
              .agg(F.count(F.lit(1)).alias("quejas")))
+    return finish_velocity(out)
+
+
+def finish_velocity(out: DataFrame) -> DataFrame:
     return (out.withColumn("periodo", F.concat(F.col("year").cast("string"), F.lit(" "),
                                                F.col("quarter")))
                .orderBy("year", "quarter"))
@@ -63,25 +75,37 @@ def complaint_velocity(sig: DataFrame, f: SignalFilter | None = None) -> DataFra
 def sentiment_by_channel(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
     """M3: mean sentiment score per source over non-null scores, descending."""
     s = apply_filter(sig, f, F.col("sentiment_score").isNotNull())
-    return (s.groupBy("source").agg(F.avg("sentiment_score").alias("avg_sentiment"))
-             .orderBy(F.desc("avg_sentiment"), F.asc("source")))
+    return finish_by_channel(s.groupBy("source").agg(F.avg("sentiment_score").alias("avg_sentiment")))
+
+
+def finish_by_channel(out: DataFrame) -> DataFrame:
+    return out.orderBy(F.desc("avg_sentiment"), F.asc("source"))
 
 
 def monthly_activity(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
     """M4: signal count per month with its Spanish label (NULL out of 1..12)."""
     s = apply_filter(sig, f)
-    return (s.groupBy("month").agg(F.count(F.lit(1)).alias("volumen"))
-             .withColumn("mes_label", month_label())
-             .orderBy(F.asc_nulls_first("month")))
+    return finish_monthly(s.groupBy("month").agg(F.count(F.lit(1)).alias("volumen")))
+
+
+def finish_monthly(out: DataFrame) -> DataFrame:
+    return out.withColumn("mes_label", month_label()).orderBy(F.asc_nulls_first("month"))
 
 
 def source_impact(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
     """M5: percentage of positive and negative labels per source (unrounded)."""
     s = apply_filter(sig, f)
-    n = F.count(F.lit(1))
-    return s.groupBy("source").agg(
-        (F.count_if(F.col("sentiment_label") == "positive").cast("double") * 100.0 / n)
-        .alias("pct_positive"),
-        (F.count_if(F.col("sentiment_label") == "negative").cast("double") * 100.0 / n)
-        .alias("pct_negative"),
+    out = s.groupBy("source").agg(
+        F.count_if(F.col("sentiment_label") == "positive").alias("pos"),
+        F.count_if(F.col("sentiment_label") == "negative").alias("neg"),
+        F.count(F.lit(1)).alias("n"))
+    return finish_source_impact(out)
+
+
+def finish_source_impact(out: DataFrame) -> DataFrame:
+    """M5 from (source, pos, neg, n)."""
+    return out.select(
+        "source",
+        (F.col("pos").cast("double") * 100.0 / F.col("n")).alias("pct_positive"),
+        (F.col("neg").cast("double") * 100.0 / F.col("n")).alias("pct_negative"),
     )

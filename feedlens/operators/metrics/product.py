@@ -42,15 +42,26 @@ def rating_distribution(sig: DataFrame, f: SignalFilter | None = None) -> DataFr
     positive rating passes, the result is empty (not five zeros).
     """
     s = apply_filter(sig, f, is_mobile() & F.col("rating").isNotNull() & (F.col("rating") > 0))
+    counts = s.groupBy(star_bucket()).agg(F.count(F.lit(1)).alias("cantidad"))
+    return finish_stars(counts)
+
+
+def star_bucket():
+    """Rating rounded half away from zero; outside 1..5 (0, 6+, overflow) -> bucket 0.
+
+    The zero fill drops bucket 0, so there are at most six groups: a proven
+    bound for the broadcast in :func:`finish_stars`.
+    """
     rounded = F.round(F.col("rating"), 0).try_cast("int")
-    # stars outside 1..5 (0, 6+, overflow) share bucket 0, which the zero fill
-    # drops: at most six groups, a proven bound for the broadcast below
-    stars = F.coalesce(F.when(rounded.between(1, 5), rounded), F.lit(0)).alias("estrellas")
-    counts = s.groupBy(stars).agg(F.count(F.lit(1)).alias("cantidad"))
+    return F.coalesce(F.when(rounded.between(1, 5), rounded), F.lit(0)).alias("estrellas")
+
+
+def finish_stars(counts: DataFrame) -> DataFrame:
+    """M17 from (estrellas bucket, cantidad); empty when ``counts`` is empty."""
     # max(struct) keeps the aggregate identical to the joined one, so the
     # subquery reuses its shuffle (a plain count would be pruned to a new plan)
     any_rows = counts.select(F.max(F.struct("cantidad", "estrellas")).isNotNull()).scalar()
-    domain = sig.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("estrellas"))
+    domain = counts.sparkSession.range(1, 6).select(F.col("id").cast("int").alias("estrellas"))
     hits = F.broadcast(counts)
     return (domain.where(any_rows).join(hits, "estrellas", "left")
                   .select("estrellas",

@@ -17,6 +17,10 @@ def escalation_rate(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
     s = apply_filter(sig, f, F.col("customer_action").isin(COMPLAINT_ACTIONS))
     agg = s.agg(F.count_if(F.col("customer_action") == "complaining").alias("complaining"),
                 F.count_if(F.col("customer_action") == "formal_complaint").alias("formal_complaint"))
+    return finish_escalation(agg)
+
+
+def finish_escalation(agg: DataFrame) -> DataFrame:
     return agg.select(
         "complaining", "formal_complaint",
         pct_round(F.col("formal_complaint"),
@@ -37,6 +41,11 @@ def behavior_cycle(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame:
         F.min(F.when(F.col("sentiment_label") == "negative", F.col("date"))).alias("date_neg"),
         F.max(F.when(is_churning(), F.col("date"))).alias("date_churn"),
     )
+    return finish_cycle(per_company)
+
+
+def finish_cycle(per_company: DataFrame) -> DataFrame:
+    """M12 from (company, date_neg, date_churn)."""
     spans = per_company.where(
         F.col("date_neg").isNotNull() & F.col("date_churn").isNotNull()
         & (F.col("date_churn") > F.col("date_neg")))
@@ -61,6 +70,11 @@ def product_risk(sig: DataFrame, f: SignalFilter | None = None, limit: int = 10)
         F.count_if(is_churning()).alias("churn"),
         F.count(F.lit(1)).alias("vol"),
     )
+    return finish_product_risk(per_product, limit)
+
+
+def finish_product_risk(per_product: DataFrame, limit: int = 10) -> DataFrame:
+    """M13 from (product, neg, churn, vol)."""
     # max over a struct led by vol keeps every aggregate of per_product alive,
     # so the subquery's plan equals the main one and AQE reuses its shuffle
     max_vol = per_product.select(F.max(F.struct("vol", "neg", "churn")).getField("vol")).scalar()
@@ -84,6 +98,11 @@ def complaint_topics(sig: DataFrame, f: SignalFilter | None = None) -> DataFrame
             .orderBy(F.desc("Frecuencia"), F.asc("Topic")))
 
 
+def finish_state(out: DataFrame, limit: int = 20) -> DataFrame:
+    """M15 from (estado, quejas)."""
+    return out.orderBy(F.desc("quejas"), F.asc("estado")).limit(limit)
+
+
 def state_name(country: str = "country"):
     out = F.col(country)
     for p in US_PREFIXES:
@@ -95,5 +114,5 @@ def state_intensity(sig: DataFrame, f: SignalFilter | None = None, limit: int =
     """Complaints per state (US prefixes removed), top ``limit``."""
     s = apply_filter(sig, f, F.col("customer_action").isin(COMPLAINT_ACTIONS)
                      & F.col("country").isNotNull())
-    return (s.groupBy(state_name().alias("estado")).agg(F.count(F.lit(1)).alias("quejas"))
-             .orderBy(F.desc("quejas"), F.asc("estado")).limit(limit))
+    return finish_state(s.groupBy(state_name().alias("estado"))
+                        .agg(F.count(F.lit(1)).alias("quejas")), limit)

@@ -1,9 +1,13 @@
 """Stakeholder bundles (B1-B4): the tables behind each dashboard tab.
 
-A bundle filters and prunes the signal table ONCE, optionally persists that
-narrow frame (MEMORY_AND_DISK: spills instead of failing, and a lost block
-is recomputed from lineage), and returns lazy DataFrames for every metric of
-the tab.  Use it as a context manager so the persisted frame is released.
+By default a bundle runs its tab as ONE grouping-sets aggregation over the
+filtered rows (:mod:`feedlens.plans.fused`): one scan and one shuffle for
+the whole tab, and only that small aggregate is persisted
+(MEMORY_AND_DISK: spills instead of failing; a lost block is recomputed
+from lineage).  ``fused=False`` runs each metric on its own over the
+filtered, column-pruned base instead (optionally persisted).  Both return
+the same tables.  Use a bundle as a context manager so the persisted frame
+is released.
 """
 
 from __future__ import annotations
@@ -14,8 +18,9 @@ from pyspark.sql import DataFrame
 from feedlens.operators import derived as V
 from feedlens.operators import metrics as M
 from feedlens.operators.filters import SignalFilter, as_filter
+from feedlens.plans import fused as FU
 
-# Columns each tab reads (column pruning before the persist).
+# Columns each tab reads (column pruning before a persist of the base).
 _COLUMNS = {
     "marketing": ["year", "month", "customer_action", "sentiment_score", "sentiment_label",
                   "source", "product_service", "company"],
@@ -23,20 +28,18 @@ _COLUMNS = {
                   "source", "company", "product_service"],
     "retention": ["date", "year", "month", "customer_action", "sentiment_label", "source",
                   "company", "product_service", "text", "country"],
-    "product": ["year", "month", "customer_action", "sentiment_score", "sentiment_label",
-                "source", "company", "product_service", "text", "rating"],
 }
 
 
 class Bundle(dict):
-    def __init__(self, frames: dict[str, DataFrame], base: DataFrame | None):
+    def __init__(self, frames: dict[str, DataFrame], held: DataFrame | None):
         super().__init__(frames)
-        self._base = base
+        self._held = held
 
     def close(self) -> None:
-        if self._base is not None:
-            self._base.unpersist()
-            self._base = None
+        if self._held is not None:
+            self._held.unpersist()
+            self._held = None
 
     def __enter__(self):
         return self
@@ -45,78 +48,86 @@ class Bundle(dict):
         self.close()
 
 
-def _base(sig: DataFrame, f: SignalFilter, tab: str, persist: bool) -> tuple[DataFrame, DataFrame | None]:
-    cols = [c for c in _COLUMNS[tab] if c in sig.columns]
-    base = f.apply(sig).select(*cols)
+def _hold(df: DataFrame, persist: bool) -> tuple[DataFrame, DataFrame | None]:
     if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
-        return base, base
-    return base, None
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        return df, df
+    return df, None
 
 
-def marketing(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True) -> Bundle:
-    """B1: M1-M5 + V3, V6, V9."""
-    base, held = _base(sig, as_filter(f), "marketing", persist)
-    nps = M.nps_proxy(base)
-    return Bundle({
-        "nps": V.nps_band(nps),
-        "nps_breakdown": M.nps_breakdown(base),
-        "complaint_velocity": M.complaint_velocity(base),
-        "sentiment_by_channel": V.channel_bands(M.sentiment_by_channel(base)),
-        "monthly_activity": M.monthly_activity(base),
-        "source_impact": M.source_impact(base),
-    }, held)
+def _base(sig: DataFrame, f: SignalFilter, tab: str) -> DataFrame:
+    return f.apply(sig).select(*[c for c in _COLUMNS[tab] if c in sig.columns])
 
 
-def direction(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True) -> Bundle:
+def marketing(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True,
+              fused: bool = True) -> Bundle:
+    """B1: M1-M5 + V3, V6, V9."""
+    f = as_filter(f)
+    if fused:
+        agg, held = _hold(FU.marketing_aggregate(f.apply(sig)), persist)
+        fr = FU.marketing_frames(agg)
+    else:
+        base, held = _hold(_base(sig, f, "marketing"), persist)
+        fr = {"nps": M.nps_proxy(base), "nps_breakdown": M.nps_breakdown(base),
+              "complaint_velocity": M.complaint_velocity(base),
+              "sentiment_by_channel": M.sentiment_by_channel(base),
+              "monthly_activity": M.monthly_activity(base), "source_impact": M.source_impact(base)}
+    fr["nps"] = V.nps_band(fr["nps"])
+    fr["sentiment_by_channel"] = V.channel_bands(fr["sentiment_by_channel"])
+    return Bundle(fr, held)
+
+
+def direction(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True,
+              fused: bool = True) -> Bundle:
     """B2: M6-M10 + V1, V2, V4, V7, V9."""
-    base, held = _base(sig, as_filter(f), "direction", persist)
-    trend = M.prechurn_trend(base)
-    heat = M.company_product_heatmap(base)
-    return Bundle({
-        "churn_causes": M.churn_causes(base),
-        "regulatory_exposure": V.regulatory_band(M.regulatory_exposure(base)),
-        "prechurn_trend": trend,
-        "prechurn_total": V.prechurn_total(trend),
-        "benchmark": V.benchmark_satisfaction(M.competitive_benchmark(base)),
-        "heatmap": heat,
-        "heatmap_cells": V.heatmap_cells(heat),
-    }, held)
-
-
-def retention(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True) -> Bundle:
+    f = as_filter(f)
+    if fused:
+        agg, held = _hold(FU.direction_aggregate(f.apply(sig)), persist)
+        fr = FU.direction_frames(agg)
+    else:
+        base, held = _hold(_base(sig, f, "direction"), persist)
+        fr = {"churn_causes": M.churn_causes(base), "regulatory_exposure": M.regulatory_exposure(base),
+              "prechurn_trend": M.prechurn_trend(base),
+              "competitive_benchmark": M.competitive_benchmark(base),
+              "company_product_heatmap": M.company_product_heatmap(base)}
+    fr["regulatory_exposure"] = V.regulatory_band(fr["regulatory_exposure"])
+    fr["prechurn_total"] = V.prechurn_total(fr["prechurn_trend"])
+    fr["benchmark_satisfaction"] = V.benchmark_satisfaction(fr["competitive_benchmark"])
+    fr["heatmap_cells"] = V.heatmap_cells(fr["company_product_heatmap"])
+    return Bundle(fr, held)
+
+
+def retention(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True,
+              fused: bool = True) -> Bundle:
     """M11-M15."""
-    base, held = _base(sig, as_filter(f), "retention", persist)
+    f = as_filter(f)
+    if fused:
+        agg, held = _hold(FU.retention_aggregate(f.apply(sig)), persist)
+        return Bundle(FU.retention_frames(agg), held)
+    base, held = _hold(_base(sig, f, "retention"), persist)
     return Bundle({
-        "escalation_rate": M.escalation_rate(base),
-        "behavior_cycle": M.behavior_cycle(base),
-        "product_risk": M.product_risk(base),
-        "complaint_topics": M.complaint_topics(base),
+        "escalation_rate": M.escalation_rate(base), "behavior_cycle": M.behavior_cycle(base),
+        "product_risk": M.product_risk(base), "complaint_topics": M.complaint_topics(base),
         "state_intensity": M.state_intensity(base),
     }, held)
 
 
 def product(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True,
-            reference_precedence: bool = False) -> Bundle:
-    """M16-M19 + V5, always without the source filter.
-
-    With ``reference_precedence`` the unfiltered table is used, since App
-    Store rows must bypass the filters.
-    """
+            fused: bool = True, reference_precedence: bool = False) -> Bundle:
+    """M16-M19 + V5, always without the source filter."""
     f = as_filter(f).without("sources")
-    if reference_precedence:
-        base, held = sig, None
-        g = f
+    if fused:
+        agg, held = _hold(FU.product_aggregate(sig, f, reference_precedence), persist)
+        fr = FU.product_frames(agg, has_rating="rating" in sig.columns)
     else:
-        base, held = _base(sig, f, "product", persist)
-        g = None
-    return Bundle({
-        "device_comparison": V.device_scaled(
-            M.device_comparison(base, g, reference_precedence=reference_precedence)),
-        "rating_distribution": M.rating_distribution(base, g),
-        "app_issue_topics": M.app_issue_topics(base, g),
-        "yoy_volume_sentiment": M.yoy_volume_sentiment(base, g, reference_precedence=reference_precedence),
-    }, held)
+        held = None
+        fr = {"device_comparison": M.device_comparison(sig, f, reference_precedence=reference_precedence),
+              "rating_distribution": M.rating_distribution(sig, f),
+              "app_issue_topics": M.app_issue_topics(sig, f),
+              "yoy_volume_sentiment": M.yoy_volume_sentiment(sig, f,
+                                                             reference_precedence=reference_precedence)}
+    fr["device_scaled"] = V.device_scaled(fr["device_comparison"])
+    return Bundle(fr, held)
 
 
 BUNDLES = {"marketing": marketing, "direction": direction, "retention": retention, "product": product}

@@ -109,25 +109,25 @@ SQL_ROWS_BY_DATASET = with_signals("SELECT dataset_id, COUNT(*) AS rows FROM sig
 
 # --- derived --------------------------------------------------------------
 
-def sql_benchmark_satisfaction() -> str:
+def sql_benchmark_satisfaction(flt: str = "") -> str:
     sat = numpy_round_sql("(avg_sentiment + 1) / 2 * 100", 1)
     return f"""SELECT company, avg_sentiment, sat_score,
         CASE WHEN sat_score < 40 THEN 'danger' WHEN sat_score < 55 THEN 'warning' ELSE 'success' END AS band
         FROM (SELECT company, avg_sentiment, {sat} AS sat_score
-              FROM {_sub(C.sql_competitive_benchmark())} m) s"""
+              FROM {_sub(C.sql_competitive_benchmark(flt))} m) s"""
 
 
-def sql_channel_bands() -> str:
+def sql_channel_bands(flt: str = "") -> str:
     return f"""SELECT source, avg_sentiment,
         CASE WHEN avg_sentiment < 0 THEN 'danger' WHEN avg_sentiment < 0.1 THEN 'warning'
              ELSE 'success' END AS band
-        FROM {_sub(C.sql_sentiment_by_channel())} m"""
+        FROM {_sub(C.sql_sentiment_by_channel(flt))} m"""
 
 
-def sql_heatmap_cells() -> str:
+def sql_heatmap_cells(flt: str = "") -> str:
     sat = numpy_round_sql("(avg_sentiment + 1) / 2 * 100", 0)
     cells = (f"SELECT company, product_service, {sat} AS sat_score "
-             f"FROM {_sub(C.sql_company_product_heatmap())} h WHERE company IS NOT NULL")
+             f"FROM {_sub(C.sql_company_product_heatmap(flt))} h WHERE company IS NOT NULL")
     return f"""SELECT company, product_service, sat_score FROM ({cells}) c
         WHERE company IN (SELECT company FROM ({cells}) c2 GROUP BY company
                           ORDER BY COUNT(sat_score) DESC, company ASC LIMIT 8)
@@ -138,13 +138,14 @@ def sql_heatmap_matrix() -> str:
     return f"PIVOT ({sql_heatmap_cells()}) ON product_service USING avg(sat_score) GROUP BY company"
 
 
-def sql_device_scaled() -> str:
+def sql_device_scaled(flt: str = "") -> str:
     return f"""SELECT source, avg_rating, avg_sentiment, (avg_sentiment + 1) / 2 * 5 AS sentiment_5
-        FROM {_sub(C.sql_device_comparison())} m"""
+        FROM {_sub(C.sql_device_comparison(flt))} m"""
 
 
-def sql_prechurn_total() -> str:
-    return f"SELECT CAST(COALESCE(SUM(prechurn), 0) AS BIGINT) AS prechurn_total FROM {_sub(C.sql_prechurn_trend())} m"
+def sql_prechurn_total(flt: str = "") -> str:
+    return (f"SELECT CAST(COALESCE(SUM(prechurn), 0) AS BIGINT) AS prechurn_total "
+            f"FROM {_sub(C.sql_prechurn_trend(flt))} m")
 
 
 def sql_status(metric_sql: str, title: str) -> str:
@@ -215,13 +216,78 @@ SQL_STORE_REGISTRY = with_signals("""
     UNION ALL SELECT CAST(2 AS BIGINT), 'testbed_csv', COUNT(*) FROM signals""")
 
 
+# --- fused bundles (one grouping-sets scan per tab), checked table by table ------
+
+PRODUCT_SQL_FILTER_A = "year BETWEEN 1994 AND 1997"  # the product tab drops the source filter
+# direction: a wide period so that companies pass the benchmark's > 500 threshold
+FILTER_D = SignalFilter(period=(1996, 2001))
+SQL_FILTER_D = "year BETWEEN 1996 AND 2001"
+
+BUNDLE_TABLES = {
+    "marketing": {
+        "nps": lambda flt: sql_nps_band(flt),
+        "nps_breakdown": C.sql_nps_breakdown,
+        "complaint_velocity": C.sql_complaint_velocity,
+        "sentiment_by_channel": sql_channel_bands,
+        "monthly_activity": C.sql_monthly_activity,
+        "source_impact": C.sql_source_impact,
+    },
+    "direction": {
+        "churn_causes": C.sql_churn_causes,
+        "regulatory_exposure": lambda flt: sql_regulatory_band(flt),
+        "prechurn_trend": C.sql_prechurn_trend,
+        "prechurn_total": sql_prechurn_total,
+        "competitive_benchmark": C.sql_competitive_benchmark,
+        "benchmark_satisfaction": sql_benchmark_satisfaction,
+        "company_product_heatmap": C.sql_company_product_heatmap,
+        "heatmap_cells": sql_heatmap_cells,
+    },
+    "retention": {
+        "escalation_rate": C.sql_escalation_rate,
+        "behavior_cycle": C.sql_behavior_cycle,
+        "product_risk": C.sql_product_risk,
+        "complaint_topics": C.sql_complaint_topics,
+        "state_intensity": C.sql_state_intensity,
+    },
+    "product": {
+        "device_comparison": C.sql_device_comparison,
+        "device_scaled": sql_device_scaled,
+        "rating_distribution": C.sql_rating_distribution,
+        "app_issue_topics": C.sql_app_issue_topics,
+        "yoy_volume_sentiment": C.sql_yoy_volume_sentiment,
+    },
+}
+
+
+def q_bundle_table(bundle: str, key: str, f: SignalFilter):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from feedlens.plans import bundles as B
+
+        return B.BUNDLES[bundle](_sig(spark, sf_dir), f, persist=False)[key]
+    return run
+
+
+def _bundle_queries() -> dict:
+    return {f"bundle_{b}_{k}": q_bundle_table(b, k, FILTER_D if b == "direction" else C.FILTER_A)
+            for b, tables in BUNDLE_TABLES.items() for k in tables}
+
+
+def _bundle_oracles() -> dict:
+    out = {}
+    for b, tables in BUNDLE_TABLES.items():
+        flt = {"product": PRODUCT_SQL_FILTER_A, "direction": SQL_FILTER_D}.get(b, C.SQL_FILTER_A)
+        for k, sql in tables.items():
+            out[f"bundle_{b}_{k}"] = sql(flt)
+    return out
+
+
 EMPTY_FILTER = SignalFilter(years=(1800,))
 EMPTY_SQL = "year IN (1800)"
 
 
 def queries() -> dict:
     s = _sig
-    return {
+    return _bundle_queries() | {
         "filter_options": q_facets(),
         "filter_options_filtered": q_facets(FACET_FILTER),
         "filter_options_tab_retention": q_facets(FACET_FILTER.for_tab("retention"), tab="retention"),
@@ -252,7 +318,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {
+    return _bundle_oracles() | {
         "filter_options": sql_facets(),
         "filter_options_filtered": sql_facets(FACET_FILTER),
         "filter_options_tab_retention": sql_facets(FACET_FILTER.for_tab("retention"), "retention"),
