@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions.dates import quarter_label
 from feedlens.functions.predicates import is_churning, is_mobile, mobile_parts
+from feedlens.functions.text import keyword_match
 from feedlens.operators.filters import SignalFilter, as_filter
 from feedlens.operators.metrics import direction as D
 from feedlens.operators.metrics import marketing as MK
@@ -56,7 +57,7 @@ def _count_if(c: Column, name: str) -> Column:
 
 def _topic_flags(topics, cond: Column, prefix: str) -> list[Column]:
     lowered = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return [(cond & lowered.rlike(rx)).alias(f"{prefix}{i}") for i, (_, rx) in enumerate(topics)]
+    return [(cond & keyword_match(lowered, rx)).alias(f"{prefix}{i}") for i, (_, rx) in enumerate(topics)]
 
 
 def _stack_topics(row: DataFrame, topics, prefix: str, label: str) -> DataFrame:
