@@ -211,6 +211,22 @@ def q_store_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.datasets().select("id", "name", "row_count")
 
 
+def q_streamed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived table staged as CSV part files, imported by the file stream.
+
+    Each staged file becomes one dataset; the union of all imported signals
+    must equal the batch-cleaned table.
+    """
+    from feedlens.session import scratch_path
+    from feedlens.sources.store import SignalStore
+    from feedlens.streaming.staged_import import import_staged
+
+    staging = _write_testbed(spark, sf_dir, "csv")
+    store = SignalStore(spark, scratch_path(spark, "stream-store"))
+    import_staged(spark, store, staging, checkpoint=scratch_path(spark, "stream-ckpt"))
+    return store.signals().drop("dataset_id")
+
+
 SQL_STORE_REGISTRY = with_signals("""
     SELECT CAST(1 AS BIGINT) AS id, 'testbed' AS name, COUNT(*) AS row_count FROM signals
     UNION ALL SELECT CAST(2 AS BIGINT), 'testbed_csv', COUNT(*) FROM signals""")
@@ -314,6 +330,7 @@ def queries() -> dict:
         "cleaned_json_roundtrip": q_cleaned_roundtrip("json"),
         "cleaned_parquet_roundtrip": q_cleaned_roundtrip("parquet"),
         "store_registry": q_store_registry,
+        "streamed_import": q_streamed_import,
     }
 
 
@@ -345,4 +362,5 @@ def oracle_sql() -> dict:
         "cleaned_json_roundtrip": SQL_CLEANED,
         "cleaned_parquet_roundtrip": SQL_CLEANED,
         "store_registry": SQL_STORE_REGISTRY,
+        "streamed_import": SQL_CLEANED,
     }
