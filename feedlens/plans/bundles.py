@@ -36,6 +36,22 @@ class Bundle(dict):
         super().__init__(frames)
         self._held = held
 
+    def collect(self, max_workers: int = 8) -> dict[str, list]:
+        """Run every table of the bundle at once and return their rows.
+
+        The tables are independent small jobs (aggregates and top-k cuts of
+        one persisted aggregate), so they are submitted concurrently from
+        driver threads and Spark schedules them side by side.  Every result
+        is bounded by its metric (groups of a dimension or a top-k).
+        """
+        from concurrent.futures import ThreadPoolExecutor
+
+        if self._held is not None:
+            self._held.count()  # materialise the shared aggregate once
+        with ThreadPoolExecutor(max_workers=max_workers) as pool:
+            futures = {k: pool.submit(df.collect) for k, df in self.items()}
+            return {k: f.result() for k, f in futures.items()}
+
     def close(self) -> None:
         if self._held is not None:
             self._held.unpersist()

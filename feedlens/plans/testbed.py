@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlens.operators.joins import broadcast_if_small
+
 _ACTIONS = [
     "formal_complaint", "complaining", "churning", "churning_due_to_price",
     "churning_due_to_policy", "positive_review", "negative_review", "advocating",
@@ -77,10 +79,10 @@ def signals_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     nat = F.broadcast(rd(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name"))
     part = rd(f"{sf_dir}/part.parquet").select("p_partkey", "p_type")
     sup_nat = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
-    # supplier and part grow with the scale factor: no hint, the planner's
-    # size check (autoBroadcastJoinThreshold) and AQE pick the strategy.
-    joined = (li.join(sup_nat, li.l_suppkey == sup_nat.s_suppkey)
-                .join(part, li.l_partkey == part.p_partkey))
+    # supplier and part grow with the scale factor: broadcast only under a
+    # checked row bound; beyond it the joins are shuffle joins on the keys.
+    joined = (li.join(broadcast_if_small(sup_nat), li.l_suppkey == sup_nat.s_suppkey)
+                .join(broadcast_if_small(part), li.l_partkey == part.p_partkey))
     return joined.selectExpr(*[f"{_spark_expr(e)} AS {n}" for n, e in SIGNAL_EXPRS])
 
 

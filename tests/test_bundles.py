@@ -40,3 +40,11 @@ def test_product_reference_precedence(sig):
         for key in a:
             assert _rows(a[key]) == _rows(b[key]), key
         assert sum(r.volumen for r in a["yoy_volume_sentiment"].collect()) == 8475
+
+
+def test_collect_runs_all_tables(sig):
+    f = SignalFilter(period=(1994, 1997))
+    with B.retention(sig, f) as b:
+        got = b.collect()
+        assert set(got) == set(b)
+        assert sorted(map(tuple, got["state_intensity"]), key=repr) == _rows(b["state_intensity"])
