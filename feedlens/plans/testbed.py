@@ -71,9 +71,12 @@ def signals_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A small fact file can be a single row group, i.e. one split for the whole
     # derivation.  Spread it over the cluster only then; at scale the scan
     # already has many splits and no shuffle is added.
-    slots = spark.sparkContext.defaultParallelism
-    if li.rdd.getNumPartitions() < slots:
-        li = li.repartition(slots)
+    try:
+        slots = spark.sparkContext.defaultParallelism
+        if li.rdd.getNumPartitions() < slots:
+            li = li.repartition(slots)
+    except Exception:  # sessions without an RDD view (remote clients): plan as is
+        pass
     sup = rd(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
     # nation has a fixed 25 rows in every scale factor: a proven broadcast bound.
     nat = F.broadcast(rd(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name"))
