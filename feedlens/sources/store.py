@@ -112,18 +112,24 @@ class SignalStore:
         row.write.mode("append").partitionBy("id").parquet(self.datasets_path)
 
     # -- writes ---------------------------------------------------------------
+    # Columns the written rows are sorted by inside each task: the filters used
+    # most (period, channel) then skip Parquet row groups by their min/max.
+    CLUSTER_BY = ("year", "source")
+
     def load(self, clean: DataFrame, name: str, source_path: str | None = None,
              source_mtime=None) -> int:
         """S6 + S10: append a cleaned frame as a new dataset; returns its id.
 
         Never deduplicates.  The signal partition is written by the tasks
         that produced the rows (no repartition by dataset id, which would
-        funnel a whole dataset through one task); its row count is read back
-        from that partition only.
+        funnel a whole dataset through one task), each sorting its rows by
+        ``CLUSTER_BY`` so Parquet statistics prune row groups; the row count
+        is read back from that partition only.
         """
         id_ = self._next_id()
         self._allocate(id_)
         (clean.select(F.lit(id_).cast("bigint").alias("dataset_id"), *clean.columns)
+         .sortWithinPartitions(*self.CLUSTER_BY)  # per task: no shuffle
          .write.mode("append").partitionBy("dataset_id").parquet(self.signals_path))
         written = (self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path)
                    .where(F.col("dataset_id") == id_).count())
