@@ -166,10 +166,16 @@ def sql_regulatory_band(flt: str = "") -> str:
 
 # --- ingest and store round trips (S1-S10, C1-C7, R1) ------------------------------
 
-def _write_testbed(spark: SparkSession, sf_dir: str, fmt: str) -> str:
+def _write_testbed(spark: SparkSession, sf_dir: str, fmt: str, as_table: bool = False) -> str:
+    """Write the derived table as ``fmt`` part files.
+
+    ``as_table`` names the output folder with the format's extension, so
+    ``SignalStore.ingest`` reads all its parts as ONE dataset (a folder without
+    an extension is a staging folder, where S5 picks one best file).
+    """
     from feedlens.session import scratch_path
 
-    path = scratch_path(spark, f"testbed-{fmt}")
+    path = scratch_path(spark, f"testbed-{fmt}") + (f".{fmt}" if as_table else "")
     w = signals_from_tables(spark, sf_dir).drop("dataset_id").write
     if fmt == "csv":
         w.option("header", True).csv(path)
@@ -207,7 +213,7 @@ def q_store_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     store = SignalStore(spark, scratch_path(spark, "store"))
     store.append_table(signals_from_tables(spark, sf_dir).drop("dataset_id"), "testbed")
-    store.ingest(_write_testbed(spark, sf_dir, "csv"), name="testbed_csv")
+    store.ingest(_write_testbed(spark, sf_dir, "csv", as_table=True), name="testbed_csv")
     return store.datasets().select("id", "name", "row_count")
 
 
