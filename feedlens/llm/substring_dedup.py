@@ -10,13 +10,14 @@ hashed only at positions whose remainder modulo a period lies in a difference
 cover: for any two positions there is a shift below the period that brings both
 onto the cover, so two equal windows always share an aligned anchor inside.
 Anchors seen in two documents or more are extended to the windows around them;
-these are then compared exactly, all over the corpus.
+these are then compared exactly, all over the corpus.  A document whose whole
+word sequence equals an earlier document's is settled by that alone.
 
 Defined cases: null or empty text has no words and keeps the hash of the empty
 string; a document shorter than a window keeps everything; rows that repeat a
-doc_id are one document's text twice and do not remove each other; a null
-doc_id is later than all others and never removes from a document; other
-columns, whatever their names, are not read.
+doc_id do not remove each other; a null doc_id is later than all others and
+never removes from a document; other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14,
           31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 WINDOW = 13
 FILTER_BITS = 26  # 8 MB broadcast, whatever the data
+COPY_BITS = 23    # 1 MB
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -68,54 +70,104 @@ def _prepared(docs: DataFrame) -> DataFrame:
 def shared_anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(h): the anchor hashes that occur in two documents or more."""
     def emit(batch):
-        ids = _ids(batch)
         for w in W.word_chunks(batch.column(1)):
             h, at, _ = _anchors(w, w.hashes(), window)
-            v, d = W.distinct_per_doc(h, w.doc_of_word()[at])
-            yield {"h": longs(v), "doc": pa.array(ids[w.first + d])}
+            v, _ = W.distinct_per_doc(h, w.doc_of_word()[at])
+            yield {"h": longs(v)}  # once per document
+
+    found = map_arrow(_prepared(docs), emit, "h long")
+    return found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+
+
+def _sequences(w: W.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each document's whole word sequence."""
+    place = (np.arange(len(h)) - np.repeat(w.ptr[:-1], w.counts)).astype(np.uint64)
+    out = []
+    for salt in (101, 202):
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(W.mix(h + W.mix(place + np.uint64(salt))), out=sums[1:])
+        out.append(W.mix(sums[w.ptr[1:]] - sums[w.ptr[:-1]] + w.counts.astype(np.uint64)))
+    return out[0], out[1]
+
+
+def whole_copies(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(s1, s2, first): word sequences of at least a window that two documents or more have."""
+    def emit(batch):
+        ids = _ids(batch)
+        for w in W.word_chunks(batch.column(1)):
+            one, two = _sequences(w, w.hashes())
+            long = w.counts >= window
+            yield {"s1": longs(one[long]), "s2": longs(two[long]),
+                   "doc_id": pa.array(ids[w.first:w.first + w.n_docs][long])}
 
-    found = map_arrow(_prepared(docs), emit, "h long, doc long")
-    return (found.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-            .where("lo < hi").select("h"))
+    found = map_arrow(_prepared(docs), emit, "s1 long, s2 long, doc_id long")
+    return (found.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+            .where("first < last").select("s1", "s2", "first"))
 
 
 def _digest(parts: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(parts)).hexdigest()
 
 
-def _candidates(docs: DataFrame, shared: BitFilter, window: int) -> DataFrame:
-    """Per document: its text and the windows around shared anchors; without any, text is null."""
-    schema = ("doc_id long, n_words long, whole_sha256 string, text string, "
-              "starts array<int>, h array<long>")
+def _extended(w: W.Words, hashes: np.ndarray, shared: BitFilter, window: int):
+    """The windows around shared anchors: first words, hashes, and their bounds per document."""
+    a, at, period = _anchors(w, hashes, window)
+    flags = np.zeros(len(hashes) + 1, np.int64)
+    flags[at[shared.hits(a)] + 1] = 1
+    seen = np.cumsum(flags)
+    whole = np.flatnonzero(w.left() >= window)
+    whole = whole[seen[whole + period] > seen[whole]]  # an anchor at shift 0 .. period - 1
+    docs_of = w.doc_of_word()[whole]
+    ptr = np.searchsorted(docs_of, np.arange(w.n_docs + 1))
+    return (whole - w.ptr[docs_of]).astype(np.int32), W.windows(hashes, window)[whole], ptr
 
+
+_FOUND = ("doc_id long, n_words long, whole_sha256 string, text string, s1 long, s2 long, "
+          "starts array<int>, h array<long>")
+
+
+def _candidates(docs: DataFrame, shared: BitFilter, copied: BitFilter, window: int) -> DataFrame:
+    """Per document: its text and the windows around shared anchors; without any, its text is null.
+
+    Documents that may be whole copies have their sequence's hashes (s1, s2) instead of windows.
+    """
     def emit(batch):
         ids, texts = _ids(batch), batch.column(1)
         for w in W.word_chunks(texts):
             hashes = w.hashes()
-            a, at, period = _anchors(w, hashes, window)
-            flags = np.zeros(len(hashes) + 1, np.int64)
-            flags[at[shared.hits(a)] + 1] = 1
-            seen = np.cumsum(flags)
-            whole = np.flatnonzero(w.left() >= window)
-            whole = whole[seen[whole + period] > seen[whole]]  # an anchor at shift 0 .. period - 1
-            full = W.windows(hashes, window)
-            docs_of = w.doc_of_word()[whole]
-            ptr = np.searchsorted(docs_of, np.arange(w.n_docs + 1))
-            some = np.diff(ptr) > 0
-            part = texts.slice(w.first, w.n_docs).fill_null("")
-            data = w.data
-            shas = [None if s else _digest(data[o:e].tobytes().split())
+            one, two = _sequences(w, hashes)
+            maybe = copied.hits(one) & (w.counts >= window)
+            starts, h, ptr = _extended(w, hashes, shared, window)
+            use = ~np.repeat(maybe, np.diff(ptr))
+            sizes = np.where(maybe, 0, np.diff(ptr))
+            bounds = np.concatenate([[0], np.cumsum(sizes)])
+            some = maybe | (sizes > 0)
+            shas = [None if s else _digest(w.data[o:e].tobytes().split())
                     for s, o, e in zip(some, w.offsets[:-1], w.offsets[1:])]
             yield {
                 "doc_id": pa.array(ids[w.first:w.first + w.n_docs]),
                 "n_words": pa.array(w.counts.astype(np.int64)),
                 "whole_sha256": pa.array(shas, pa.string()),
-                "text": pa.array(np.where(some, np.array(part.to_pylist(), object), None), pa.string()),
-                "starts": W.list_column((whole - w.ptr[docs_of]).astype(np.int32), ptr, pa.int32()),
-                "h": W.list_column(full[whole].view(np.int64), ptr, pa.int64()),
+                "text": texts.take(pa.array(np.arange(w.first, w.first + w.n_docs), mask=~some)),
+                "s1": pa.array(one.view(np.int64), mask=~maybe), "s2": pa.array(two.view(np.int64), mask=~maybe),
+                "starts": W.list_column(starts[use], bounds, pa.int32()),
+                "h": W.list_column(h[use].view(np.int64), bounds, pa.int64()),
             }
 
-    return map_arrow(_prepared(docs), emit, schema)
+    return map_arrow(_prepared(docs), emit, _FOUND)
+
+
+def _late_candidates(rows: DataFrame, shared: BitFilter, window: int) -> DataFrame:
+    """(row, doc_id, text, starts, h) of (row, doc_id, text)."""
+    def emit(batch):
+        for w in W.word_chunks(batch.column(2)):
+            starts, h, ptr = _extended(w, w.hashes(), shared, window)
+            yield {**{c: batch.column(i).slice(w.first, w.n_docs) for i, c in enumerate(("row", "doc_id", "text"))},
+                   "starts": W.list_column(starts, ptr, pa.int32()),
+                   "h": W.list_column(h.view(np.int64), ptr, pa.int64())}
+
+    return map_arrow(rows.select("row", "doc_id", "text"), emit,
+                     "row long, doc_id long, text string, starts array<int>, h array<long>")
 
 
 def _cut(batch: pa.RecordBatch, window: int):
@@ -143,24 +195,38 @@ _RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Per document (doc_id, n_words, n_removed, kept_text, kept_sha256).
+    """Per document row (doc_id, n_words, n_removed, kept_text, kept_sha256).
 
     ``kept_sha256`` is of the kept words joined by one space; ``kept_text`` is
     that text, or null where nothing was removed (the document stays as it is).
     """
-    anchors = BitFilter(shared_anchors(docs, window), "h", filter_bits)
-    found = written(_candidates(docs, anchors, window), "windows")
-    some = F.col("text").isNotNull()
-    spread = (found.where(some).select("doc_id", F.explode(F.arrays_zip("starts", "h")).alias("w"))
-              .select("doc_id", F.col("w.starts").alias("start"), F.col("w.h").alias("h")))
+    copies = written(whole_copies(docs, window), "copies")
+    copied = BitFilter(copies, "s1", COPY_BITS)
+    shared = BitFilter(shared_anchors(docs, window), "h", filter_bits)
+    found = written(_candidates(docs, shared, copied, window)
+                    .withColumn("row", F.monotonically_increasing_id()), "windows")
+
+    # documents that may be copies: copies lose all words, the others are extended now
+    maybe = (found.where("s1 is not null").join(copies, ["s1", "s2"], "left")
+             .withColumn("is_copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))))
+    late = written(_late_candidates(maybe.where("not is_copy"), shared, window), "late-windows")
+    cands = found.where("s1 is null and text is not null").select("row", "doc_id", "text", "starts", "h").union(late)
+
+    spread = (cands.select("row", "doc_id", F.explode(F.arrays_zip("starts", "h")).alias("w"))
+              .select("row", "doc_id", F.col("w.starts").alias("start"), F.col("w.h").alias("h")))
     first = written(spread.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                     .where("lo < hi").select("h", "lo"), "first-windows")
     # both sides are plain exchanges, so a passage that very many documents share is split
     gone = (spread.join(first, "h").where("doc_id > lo")
-            .groupBy("doc_id").agg(F.collect_set("start").alias("at")))
-    touched = found.where(some).select("doc_id", "text").join(gone, "doc_id", "left")
+            .groupBy("row").agg(F.collect_list("start").alias("at")))
+    touched = cands.select("row", "doc_id", "text").join(gone, "row", "left")
     cut = map_arrow(touched.select("doc_id", "text", "at"), lambda b: _cut(b, window), _RESULT)
-    whole = found.where(~some).select(
-        "doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"),
+    nothing = F.lit(0).cast("long")
+    whole = found.where("text is null").select(
+        "doc_id", "n_words", nothing.alias("n_removed"),
         F.lit(None).cast("string").alias("kept_text"), F.col("whole_sha256").alias("kept_sha256"))
-    return whole.unionByName(cut).withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
+    emptied = maybe.where("is_copy").select(
+        "doc_id", "n_words", F.col("n_words").alias("n_removed"),
+        F.lit("").alias("kept_text"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
+    out = whole.unionByName(emptied).unionByName(cut)
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
