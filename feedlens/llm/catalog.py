@@ -5,10 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .compression import compression_quality
+from .decontamination import decontaminate
+from .line_dedup import dedup_lines
 from .minhash_dedup import near_duplicates
+from .mixing import assign
 from .substring_dedup import dedup_substrings
 from .tables import table
+from .token_counts import count_tokens
+from .toxicity import toxicity
+from .url_filter import filter_urls
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +47,144 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, range-sorted by the position of its first copy; untaken ones last."""
+    first = F.col("copies")[0]["position"]
+    return (assign(table(spark, sf_dir, "documents"))
+            .select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"),
+                    F.when(F.size("copies") > 0, first).alias("first_position"))
+            .orderBy(F.col("first_position").asc_nulls_last(), "doc_id"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("line_dedup_lines").alias("n_lines"), F.col("line_dedup_removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_minhash_dedup, op8_substring_dedup)}
+    return {f.__name__: f for f in (
+        op1_token_counts, op2_url_filter, op4_decontamination, op5_quality_rules, op6_toxicity,
+        op7_minhash_dedup, op8_substring_dedup, op9_mixing, op10_line_dedup)}
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACE = r"[^\x20\x09-\x0D]+"
+
+
+def _url_sql() -> str:
+    from .url_filter import SOFT, SOFT_LIMIT, STRICT
+
+    def count(terms):
+        listed = ", ".join(f"'{t}'" for t in terms)
+        return (f"len(list_filter([{listed}], lambda t: regexp_matches(u, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')))")
+
+    # the four rules, spelled out; the longest that fits wins
+    return f"""
+WITH p AS (
+  SELECT page_id, {_LOWER.format("coalesce(url, '')")} AS u,
+         {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1)")} AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+    CAST({count(STRICT)} AS INTEGER) AS n_strict, CAST({count(SOFT)} AS INTEGER) AS n_soft
+  FROM p)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN n_strict > 0 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+       n_strict, n_soft
+FROM r"""
+
+
+_DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM (SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0))),
+grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM d, (SELECT DISTINCT n FROM win))),
+hits AS (SELECT doc_id, item, i, n FROM grams JOIN win USING (n, g)),
+words AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM hits))
+  GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+_SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '""" + _SPACE + r"""') AS w FROM documents),
+grams AS (
+  SELECT doc_id, i, hash(w[i:i + 12]) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+first AS (SELECT g, min(doc_id) AS lo FROM grams GROUP BY g),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place
+  FROM grams JOIN first USING (g) WHERE lo < doc_id),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+  FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d)
+  ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+_LINE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, line, place, list_distinct(regexp_extract_all(lower(line), '""" + _SPACE + r"""')) AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)),
+c AS (
+  SELECT list_sort(w) AS w, len(w) AS n, min((doc_id, place)) AS first FROM l WHERE len(w) > 0 GROUP BY list_sort(w), len(w)),
+k AS (SELECT row_number() OVER (ORDER BY first) AS id, * FROM c),
+t AS (SELECT id, n, unnest(w) AS word FROM k),
+df AS (SELECT word, count(*) AS f FROM t GROUP BY word),
+-- similar sets share one of the rarest words of either: the first n - ceil(0.8 n) + 1
+p AS (
+  SELECT id, n, word FROM (
+    SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY f, word) AS r FROM t JOIN df USING (word))
+  WHERE r <= n - CAST(ceil(n * 80 / 100) AS BIGINT) + 1),
+pairs AS (
+  SELECT DISTINCT a.id AS early, b.id AS late FROM p a JOIN p b
+  ON a.word = b.word AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+gone AS (
+  SELECT DISTINCT late AS id FROM (
+    SELECT late, x.n + y.n AS s, len(list_intersect(x.w, y.w)) AS o
+    FROM pairs JOIN k x ON x.id = early JOIN k y ON y.id = late)
+  WHERE 100 * o >= 80 * (s - o)),
+decided AS (
+  SELECT doc_id, place, line, len(l.w) > 0 AS filled,
+         len(l.w) > 0 AND (gone.id IS NOT NULL OR (doc_id, place) <> k.first) AS removed
+  FROM l LEFT JOIN k ON k.w = list_sort(l.w) LEFT JOIN gone ON gone.id = k.id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (filled) AS n_lines, count(*) FILTER (removed) AS n_removed,
+         string_agg(line, chr(10) ORDER BY place) FILTER (NOT removed) AS kept
+  FROM decided GROUP BY doc_id) USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the operators that SQL can express; the tests hold the others against plain Python."""
+    return {"op2_url_filter": _url_sql(), "op4_decontamination": _DECONTAMINATION_SQL,
+            "op8_substring_dedup": _SUBSTRING_SQL, "op10_line_dedup": _LINE_SQL}
