@@ -20,8 +20,8 @@ of different groups are compared pairwise if their sizes and minhashes allow
 it; a pair at the threshold agrees in 41.6 of 52 minhashes on average with a
 deviation of 2.9, and pairs with fewer than ``AGREE`` are not compared.
 
-Defined cases: null doc_ids take no part and come back as kept groups of their
-own; rows that repeat a doc_id are one document; ties go to the smaller
+Defined cases: rows with a null doc_id take no part and come back kept, with a
+null component; rows that repeat a doc_id are one document; ties go to the smaller
 doc_id; other columns, whatever their names, are not read.
 """
 
@@ -40,7 +40,7 @@ RIGHT, RIGHT_ROWS = 12, 3
 HASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS  # 52
 AGREE = 24
 PACKED = (HASHES + 7) // 8  # minhashes, one byte each, in longs
-KEY_BITS = 24   # 2 MB broadcast, whatever the data
+KEY_BITS = 25   # 4 MB broadcast, whatever the data
 NODE_BITS = 23  # 1 MB
 
 _MULTIPLY = W.seeds(HASHES, 77)
@@ -92,64 +92,84 @@ def table_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return W.mix(left[:, :, None] * np.uint64(3) + right[:, None, :]).reshape(len(left), LEFT * RIGHT)
 
 
-def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    fields = "".join(f", m{i} long" for i in range(PACKED))
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, hash of doc_id) of the rows that have a doc_id."""
+    return (docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .withColumn("h", _id_hash("doc_id")))
+
+
+def _id_hash(c: str):
+    return F.xxhash64(F.col(c).cast("long"))
 
+
+def _set_hashes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, set1, set2) of every row; equal sets have equal hashes."""
     def emit(batch):
-        ids = batch.column(0).to_numpy()
+        ids = batch.column(0)
         for w in W.word_chunks(batch.column(1), lower=True):
             values, ptr = shingle_sets(w, k)
-            sizes = np.diff(ptr)
-            full = np.flatnonzero(sizes)
-            bounds = np.append(ptr[full], len(values))
-            sig = signatures(values, bounds) if len(full) else np.zeros((0, HASHES), np.uint32)
-            low = np.zeros((w.n_docs, PACKED * 8), np.uint8)
-            low[full, :HASHES] = sig & np.uint32(0xFF)
-            packed = low.view(np.int64)
+            full = np.flatnonzero(np.diff(ptr))
             one, two = np.zeros(w.n_docs, np.uint64), np.zeros(w.n_docs, np.uint64)
             if len(full):
-                one[full] = np.add.reduceat(W.mix(values), bounds[:-1])
-                two[full] = np.bitwise_xor.reduceat(W.mix(values + np.uint64(12345)), bounds[:-1])
-            left, right = sub_bands(sig)
-            keys = table_keys(left, right).reshape(-1).view(np.int64)
-            bands = (np.hstack([left, right]) >> np.uint64(32)).astype(np.uint32).reshape(-1).view(np.int32)
-            filled = np.concatenate([[0], np.cumsum(sizes > 0)])
-            yield {
-                "doc_id": pa.array(ids[w.first:w.first + w.n_docs]),
-                "n_shingles": pa.array(sizes.astype(np.int64)),
-                "set1": longs(one), "set2": longs(two),
-                "keys": W.list_column(keys, filled * (LEFT * RIGHT), pa.int64()),
-                "bands": W.list_column(bands, filled * (LEFT + RIGHT), pa.int32()),
-                **{f"m{i}": pa.array(np.ascontiguousarray(packed[:, i])) for i in range(PACKED)},
-            }
-
-    schema = "doc_id long, n_shingles long, set1 long, set2 long, keys array<long>, bands array<int>" + fields
-    return map_arrow(_texts(docs), emit, schema)
-
-
-def _full_sets(docs: DataFrame, nodes: BitFilter, k: int) -> DataFrame:
-    """(node, values): the full sets of the documents that take part in comparisons."""
-    def emit(batch):
-        ids, hashes = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-        stay = np.flatnonzero(nodes.hits(hashes))
-        if not len(stay):
-            return
-        for w in W.word_chunks(batch.column(1).take(pa.array(stay)), lower=True):
-            values, ptr = shingle_sets(w, k)
-            yield {"node": pa.array(ids[stay[w.first:w.first + w.n_docs]]),
-                   "values": pa.LargeBinaryArray.from_buffers(
-                       pa.large_binary(), w.n_docs,
-                       [None, pa.py_buffer((ptr * 8).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())}
+                one[full] = np.add.reduceat(W.mix(values), ptr[full])
+                two[full] = np.bitwise_xor.reduceat(W.mix(values + np.uint64(12345)), ptr[full])
+            yield {"doc_id": ids.slice(w.first, w.n_docs), "n_shingles": pa.array(np.diff(ptr).astype(np.int64)),
+                   "set1": longs(one), "set2": longs(two)}
 
-    return map_arrow(_texts(docs).select("doc_id", "text", _id_hash("doc_id")), emit, "node long, values binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), emit,
+                     "doc_id long, n_shingles long, set1 long, set2 long")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _some(docs: DataFrame, wanted: BitFilter, inside: bool, emit, schema: str) -> DataFrame:
+    """``emit(ids, words)`` over the documents that (do not) pass a filter of doc_ids; empty ones are left out."""
+    def run(batch):
+        rows = np.flatnonzero(wanted.hits(batch.column(2).to_numpy().view(np.uint64)) == inside)
+        if len(rows):
+            ids = batch.column(0).to_numpy()[rows]
+            for w in W.word_chunks(batch.column(1).take(pa.array(rows)), lower=True):
+                yield from emit(ids[w.first:w.first + w.n_docs], w)
 
+    return map_arrow(_texts(docs), run, schema)
 
-def _id_hash(c: str):
-    return F.xxhash64(F.col(c).cast("long"))
+
+_MARKS = [f"m{i}" for i in range(PACKED)]
+
+
+def _sketches(docs: DataFrame, copies: BitFilter, inside: bool, k: int) -> DataFrame:
+    """(node, n, keys, bands, m0 ..): table keys, sub-bands and packed minhashes of non-empty sets."""
+    def emit(ids, w):
+        values, ptr = shingle_sets(w, k)
+        full = np.flatnonzero(np.diff(ptr))
+        if not len(full):
+            return
+        sig = signatures(values, np.append(ptr[full], len(values)))
+        packed = np.zeros((len(full), PACKED * 8), np.uint8)
+        packed[:, :HASHES] = sig & np.uint32(0xFF)
+        packed = packed.view(np.int64)
+        left, right = sub_bands(sig)
+        bands = (np.hstack([left, right]) >> np.uint64(32)).astype(np.uint32).reshape(-1).view(np.int32)
+        rows = np.arange(len(full) + 1)
+        yield {"node": pa.array(ids[full]), "n": pa.array(np.diff(ptr)[full].astype(np.int64)),
+               "keys": W.list_column(table_keys(left, right).reshape(-1).view(np.int64), rows * (LEFT * RIGHT), pa.int64()),
+               "bands": W.list_column(bands, rows * (LEFT + RIGHT), pa.int32()),
+               **{m: pa.array(np.ascontiguousarray(packed[:, i])) for i, m in enumerate(_MARKS)}}
+
+    schema = "node long, n long, keys array<long>, bands array<int>" + "".join(f", {m} long" for m in _MARKS)
+    return _some(docs, copies, inside, emit, schema)
+
+
+def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, values): the full sets of ``nodes``."""
+    def emit(ids, w):
+        values, ptr = shingle_sets(w, k)
+        yield {"node": pa.array(ids),
+               "values": pa.LargeBinaryArray.from_buffers(
+                   pa.large_binary(), w.n_docs,
+                   [None, pa.py_buffer((ptr * 8).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())}
+
+    wanted = BitFilter(nodes.select(_id_hash("node").alias("h")), "h", NODE_BITS)
+    return written(_some(docs, wanted, True, emit, "node long, values binary")
+                   .join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,19 +231,20 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
-    """Per document (doc_id, n_shingles, component_id, kept)."""
-    marks = [f"m{i}" for i in range(PACKED)]
-    sketch = written(_sketches(docs, shingle), "sketches")
-    filled = sketch.where("n_shingles > 0")
-    same_set = ["set1", "set2", "n_shingles"]
+    """Per document row (doc_id, n_shingles, component_id, kept)."""
+    own = written(_set_hashes(docs, shingle), "set-hashes")
+    filled, same_set = own.where("n_shingles > 0 and doc_id is not null"), ["set1", "set2", "n_shingles"]
     classes = written(filled.groupBy(*same_set).agg(F.min("doc_id").alias("node")), "classes")
-    nodes = written(
-        filled.join(classes.select(F.col("node").alias("doc_id"), *same_set), ["doc_id", *same_set], "left_semi")
-        .select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "keys", "bands", *marks), "nodes")
+    copies = written(filled.join(classes, same_set).where("doc_id <> node").select("doc_id", "node").distinct(), "copies")
+
+    # rows that may be copies are compared with the list of copies; all others are nodes where they stand
+    flagged = BitFilter(copies.select(_id_hash("doc_id").alias("h")), "h", NODE_BITS)
+    maybe = _sketches(docs, flagged, True, shingle).join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti")
+    nodes = written(_sketches(docs, flagged, False, shingle).union(maybe), "nodes")
 
     keys = (nodes.select("node", F.explode("keys").alias("key")).groupBy("key")
             .agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
-    shared = BitFilter(keys.select(F.col("key")), "key", KEY_BITS)
+    shared = BitFilter(keys, "key", KEY_BITS)
 
     def keep_shared(batch):
         lists = batch.column(1)
@@ -233,33 +254,38 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
         t = np.tile(np.arange(LEFT * RIGHT, dtype=np.int32), len(lists))
         yield {"node": pa.array(node[hit]), "t": pa.array(t[hit]), "key": longs(keys[hit])}
 
-    # a few keys that only one node has may pass the filter; they make no pairs
+    # a few keys that only one node has pass the filter too; they make no pairs
     members = written(map_arrow(nodes.select("node", "keys"), keep_shared, "node long, t int, key long"), "members")
-    info = nodes.select("node", "n", *marks)
-    taking_part = BitFilter(members.select(F.col("node")).distinct().select(_id_hash("node").alias("h")), "h", NODE_BITS)
-    sets = written(_full_sets(docs, taking_part, shingle).join(classes.select("node"), "node", "left_semi"), "sets")
+    info = nodes.select("node", F.struct("n", *_MARKS).alias("x"))
 
     links, groups = None, None
     for order in ("node", "xxhash64(node, key)", None):
         now = members.withColumn("group", F.col("node")) if groups is None else (
             members.join(groups.withColumnRenamed("component", "group"), "node", "left")
             .withColumn("group", F.coalesce("group", "node")))
-        open_keys = now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")) \
-            .where("lo < hi").select("key")
-        now = written(now.join(open_keys, "key", "left_semi"), "members")
+        open_keys = (now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
+                     .where("lo < hi").select("key"))
+        members = written(now.join(open_keys, "key", "left_semi"), "members")
         if order is None:
-            pairs = _crossing(now.join(nodes.drop("keys"), "node"), percent)
+            pairs = _crossing(members.join(nodes.drop("keys"), "node"), percent)
         else:
-            pairs = (_stars(now, order).join(info.select(F.struct("n", *marks).alias("x"), F.col("node").alias("a")), "a")
-                     .join(info.select(F.struct("n", *marks).alias("y"), F.col("node").alias("b")), "b")
+            pairs = (_stars(members, order).join(info.withColumnRenamed("node", "a"), "a")
+                     .join(info.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
                      .where(_possible("x", "y", percent)).select("a", "b"))
-        found = written(_confirmed(written(pairs, "pairs"), sets, percent), "links")
+        pairs = written(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        found = written(_confirmed(pairs, _full_sets(docs, asked, shingle), percent), "links")
         links = found if links is None else links.union(found)
         groups = components(links)
-
-    own = (filled.join(classes, same_set).select("doc_id", "node").distinct()
-           .join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id")))
-    out = (sketch.select("doc_id", "n_shingles").join(own, "doc_id", "left")
-           .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-           .withColumn("kept", F.col("doc_id") == F.col("component_id")))
-    return out
+        members = members.drop("group")
+
+    node = F.coalesce("node", "doc_id")
+    group = (own.select("doc_id").distinct().join(copies.groupBy("doc_id").agg(F.min("node").alias("node")), "doc_id", "left")
+             .select("doc_id", node.alias("node")))
+    if groups is not None:
+        group = group.join(groups, "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
+    return (own.select("doc_id", "n_shingles")
+            .join(group.withColumnRenamed("node", "component_id"), "doc_id", "left")
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -36,7 +36,7 @@ from .tables import BitFilter, longs, map_arrow, written
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16),
           31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 WINDOW = 13
-FILTER_BITS = 26  # 8 MB broadcast, whatever the data
+FILTER_BITS = 27  # 16 MB broadcast, whatever the data
 COPY_BITS = 23    # 1 MB
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 

@@ -37,33 +37,33 @@ def crc_fold(c: str | Column, folds: int = 5) -> Column:
 
 
 class BitFilter:
-    """A set of 64-bit hashes as a bit table of fixed size: no false negatives.
+    """A set of 64-bit hashes as a bit table of fixed size (a Bloom filter): no false negatives.
 
+    Two bits stand for a hash, by its upper and its lower ``bits`` bits.
     ``2 ** bits`` bits are broadcast whatever the data's size, so this is only
     ever a filter before an exact step: when the table fills up, more rows pass
     and the result stays the same.
     """
 
     def __init__(self, df: DataFrame, col: str, bits: int):
-        spark = df.sparkSession
-        at = F.shiftrightunsigned(F.col(col), 64 - bits)
+        places = F.array(F.shiftrightunsigned(F.col(col), 64 - bits),
+                         F.col(col).bitwiseAND(F.lit((1 << bits) - 1)))
         rows = (
-            df.select(F.shiftright(at, 6).alias("w"),
-                      F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{col}`, {64 - bits}) & 63 as int))").alias("b"))
+            df.select(F.explode(places).alias("at"))
+            .select(F.shiftright("at", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b"))
             .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
         )
         filled = np.zeros(1 << (bits - 6), np.int64)
         filled[rows["w"].to_numpy()] = rows["b"].to_numpy()
         self.bits = bits
-        self.shared = spark.sparkContext.broadcast(filled.view(np.uint64))
-
-    def __contains__(self, _):  # membership is tested on arrays
-        raise TypeError("use hits()")
+        self.shared = df.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - self.bits)
-        words = self.shared.value[(at >> np.uint64(6)).astype(np.int64)]
-        return ((words >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        """Which of the hashes may be in the set."""
+        table, out = self.shared.value, np.ones(len(hashes), bool)
+        for at in (hashes >> np.uint64(64 - self.bits), hashes & np.uint64((1 << self.bits) - 1)):
+            out &= ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        return out
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
