@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .compression import compression_quality
 from .decontamination import decontaminate
 from .line_dedup import dedup_lines
+from .lm_scoring import score_documents
 from .minhash_dedup import near_duplicates
 from .mixing import assign
 from .substring_dedup import dedup_substrings
@@ -27,6 +28,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +69,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_token_counts, op2_url_filter, op4_decontamination, op5_quality_rules, op6_toxicity,
+        op1_token_counts, op2_url_filter, op3_lm_scoring, op4_decontamination, op5_quality_rules, op6_toxicity,
         op7_minhash_dedup, op8_substring_dedup, op9_mixing, op10_line_dedup)}
 
 
