@@ -14,11 +14,14 @@ probability (1 - (1 - s**2)**LEFT) * (1 - (1 - s**3)**RIGHT): 0.9996 at 0.8,
 above 0.99999 at 0.9.
 
 Documents with equal sets are one node from the start.  In each table's
-bucket, the smallest node is compared with every other (a star, linear in the
-bucket).  Only where a bucket still holds several groups after that, its nodes
-of different groups are compared pairwise if their sizes and minhashes allow
-it; a pair at the threshold agrees in 41.6 of 52 minhashes on average with a
-deviation of 2.9, and pairs with fewer than ``AGREE`` are not compared.
+bucket, the smallest node and one picked by hash are compared with every other
+(stars, linear in the bucket).  Only where a bucket still holds several groups
+after that, its nodes of different groups are compared pairwise.  Full sets are
+fetched for pairs that three tests allow: their sizes; the parity of their
+shingles on ``PARITY`` bits (sets differ in at least as many shingles as their
+parities differ in bits, so this loses nothing); and their minhashes, of which
+a pair at the threshold shares 41.6 of 52 on average with a deviation of 2.9,
+and must share ``AGREE``.
 
 Defined cases: rows with a null doc_id take no part and come back kept, with a
 null component; rows that repeat a doc_id are one document; ties go to the smaller
@@ -39,6 +42,7 @@ LEFT, LEFT_ROWS = 8, 2
 RIGHT, RIGHT_ROWS = 12, 3
 HASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS  # 52
 AGREE = 24
+PARITY = 512
 PACKED = (HASHES + 7) // 8  # minhashes, one byte each, in longs
 KEY_BITS = 25   # 4 MB broadcast, whatever the data
 NODE_BITS = 23  # 1 MB
@@ -132,7 +136,15 @@ def _some(docs: DataFrame, wanted: BitFilter, inside: bool, emit, schema: str) -
     return map_arrow(_texts(docs), run, schema)
 
 
-_MARKS = [f"m{i}" for i in range(PACKED)]
+_MARKS = [f"m{i}" for i in range(PACKED)] + [f"p{i}" for i in range(PARITY // 64)]
+
+
+def parities(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+    """Of each set, for each of PARITY bits, whether an odd number of its values falls there: as longs."""
+    docs = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    at = docs * PARITY + (values >> np.uint64(17)).astype(np.int64) % PARITY
+    odd = np.bincount(at, minlength=(len(ptr) - 1) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, PARITY), axis=1).view(np.int64)
 
 
 def _sketches(docs: DataFrame, copies: BitFilter, inside: bool, k: int) -> DataFrame:
@@ -142,10 +154,11 @@ def _sketches(docs: DataFrame, copies: BitFilter, inside: bool, k: int) -> DataF
         full = np.flatnonzero(np.diff(ptr))
         if not len(full):
             return
-        sig = signatures(values, np.append(ptr[full], len(values)))
+        bounds = np.append(ptr[full], len(values))
+        sig = signatures(values, bounds)
         packed = np.zeros((len(full), PACKED * 8), np.uint8)
         packed[:, :HASHES] = sig & np.uint32(0xFF)
-        packed = packed.view(np.int64)
+        packed = np.hstack([packed.view(np.int64), parities(values, bounds)])
         left, right = sub_bands(sig)
         bands = (np.hstack([left, right]) >> np.uint64(32)).astype(np.uint32).reshape(-1).view(np.int32)
         rows = np.arange(len(full) + 1)
@@ -202,16 +215,18 @@ def _agreeing(a: str, b: str):
 
 
 def _possible(a: str, b: str, percent: int):
-    """Whether sizes and minhashes of two rows allow the similarity."""
+    """Whether sizes, parities and minhashes of two rows allow the similarity."""
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (_agreeing(a, b) >= AGREE)
+    differ = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY // 64)), F.lit(0))
+    return ((F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+            & (differ * (100 + percent) <= (x + y) * (100 - percent)) & (_agreeing(a, b) >= AGREE))
 
 
-def _stars(members: DataFrame, order: str) -> DataFrame:
-    """Pairs (a, b) of each bucket's first node, in a given order, and every node of another group."""
-    first = F.min_by(F.struct("node", "group"), F.expr(order)).alias("first")
-    heads = members.groupBy("key").agg(first).select("key", "first.*").toDF("key", "head", "head_group")
-    return (members.join(heads, "key").where("group <> head_group")
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every node and two heads of each of its buckets: the smallest, and one picked by hash."""
+    heads = (members.groupBy("key").agg(F.min("node").alias("low"), F.min_by("node", F.xxhash64("node", "key")).alias("any"))
+             .select("key", F.explode(F.array_distinct(F.array("low", "any"))).alias("head")))
+    return (members.select("key", "node").join(heads, "key").where("node <> head")
             .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
 
 
@@ -259,17 +274,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     info = nodes.select("node", F.struct("n", *_MARKS).alias("x"))
 
     links, groups = None, None
-    for order in ("node", "xxhash64(node, key)", None):
+    for crossing in (False, True):
         now = members.withColumn("group", F.col("node")) if groups is None else (
             members.join(groups.withColumnRenamed("component", "group"), "node", "left")
             .withColumn("group", F.coalesce("group", "node")))
         open_keys = (now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
                      .where("lo < hi").select("key"))
         members = written(now.join(open_keys, "key", "left_semi"), "members")
-        if order is None:
+        if crossing:
             pairs = _crossing(members.join(nodes.drop("keys"), "node"), percent)
         else:
-            pairs = (_stars(members, order).join(info.withColumnRenamed("node", "a"), "a")
+            pairs = (_stars(members).join(info.withColumnRenamed("node", "a"), "a")
                      .join(info.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
                      .where(_possible("x", "y", percent)).select("a", "b"))
         pairs = written(pairs, "pairs")

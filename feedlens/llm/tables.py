@@ -88,28 +88,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbour of a node (a pre-aggregated minimum and a join), never the list
     of its neighbours, and the number of steps is logarithmic.
     """
-    spark = edges.sparkSession
-    cur = written(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where("u > v").distinct(), "edges")
+    cur = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "edges")
     before = None
     while True:
-        # large star: every larger neighbour of a node goes to the node's smallest neighbour
+        # large star: every larger neighbour of a node goes to the smallest of the node and its neighbours
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.where("v > u").join(low, "u")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
-        # small star: a node's smaller neighbours, and itself, go to the smallest of them
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        # small star: a node, and its smaller neighbours, go to the smallest of these
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        nxt = written(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "edges")
-        now = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        cur = nxt
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        cur = written(small.where("u > v").distinct(), "edges")
+        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
         before = now
-    del spark
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
