@@ -102,7 +102,7 @@ def _when_reached(share: Column, knots: Sequence[tuple[float, float]]) -> Column
         if abs(slope) < 1e-12:
             t = t0 + d / a
         else:  # a x + slope x**2 / 2 = d, in the form that is stable for small slopes
-            t = t0 + 2 * d / (F.sqrt(F.greatest(a * a + 2 * slope * d, F.lit(0.0))) + a)
+            t = t0 + 2 * d / F.greatest(F.sqrt(F.greatest(a * a + 2 * slope * d, F.lit(0.0))) + a, F.lit(1e-12))
         t = F.least(t, F.lit(t1))
         out = t if out is None else F.when(share * area >= before, t).otherwise(out)
     return out

@@ -162,7 +162,7 @@ def line_dedup(rows, percent=80):
         d, t = rows[i]
         kept, gone, n = [], 0, 0
         for line in ("" if t is None else t).split("\n"):
-            s = set(words(lower(line)))
+            s = set(words(line.lower()))
             n += bool(s)
             same = s and any(
                 100 * len(s & e) >= percent * len(s | e) for e in earlier
