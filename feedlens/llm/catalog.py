@@ -156,7 +156,7 @@ FROM d LEFT JOIN kept USING (doc_id)"""
 
 _LINE_SQL = r"""
 WITH l AS (
-  SELECT doc_id, line, place, list_distinct(regexp_extract_all(lower(line), '""" + _SPACE + r"""')) AS w
+  SELECT doc_id, line, place, list_distinct(regexp_extract_all(""" + _LOWER.format("line") + r""", '""" + _SPACE + r"""')) AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents)),
 c AS (

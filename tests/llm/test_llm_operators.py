@@ -432,13 +432,3 @@ def test_line_dedup_near_lines(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert lines(docs) == sorted(brute.line_dedup(rows), key=str)
-
-
-def test_line_dedup_is_native(spark, awkward):
-    import io
-    from contextlib import redirect_stdout
-
-    out = io.StringIO()
-    with redirect_stdout(out):
-        dedup_lines(awkward).explain()
-    assert not any(x in out.getvalue() for x in ("Python", "Pandas", "Arrow"))
