@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlens.functions.text import strip_ws
+
 # Fixed list of accepted textual date layouts, tried in this order after the
 # ISO / timestamp cast.
 DATE_FORMATS = ["yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy"]
@@ -15,13 +17,15 @@ def lenient_date(c: Column, dtype: T.DataType) -> Column:
     """Parse a date column of any input type; NULL when nothing matches.
 
     Date and timestamp inputs are cast directly.  Strings are tried first with
-    ``try_cast(... AS DATE)`` (ISO dates, ``yyyy-MM-dd HH:mm:ss``), then with
-    the layouts of :data:`DATE_FORMATS`.
+    ``try_cast(... AS DATE)`` (full ISO dates, ``yyyy-MM-dd HH:mm:ss``; a bare
+    year or year and month is no date), then with the layouts of
+    :data:`DATE_FORMATS`.
     """
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
-    s = F.trim(c.cast("string"))
-    attempts = [s.try_cast("date")] + [F.try_to_date(s, fmt) for fmt in DATE_FORMATS]
+    s = strip_ws(c.cast("string"))
+    iso = F.when(s.rlike(r"^[+-]?\d{4,}-\d{1,2}-\d{1,2}"), s.try_cast("date"))
+    attempts = [iso] + [F.try_to_date(s, fmt) for fmt in DATE_FORMATS]
     return F.coalesce(*attempts)
 
 

@@ -34,6 +34,11 @@ def _nan_to_null(c):
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+def _lenient_int(c):
+    """An integer, or a number as pandas writes it beside missing ones (``2019.0``), truncated."""
+    return F.coalesce(c.try_cast("int"), c.try_cast("double").try_cast("int"))
+
+
 def transform_and_clean(raw: DataFrame) -> DataFrame:
     """C1-C7 on a raw frame of any column types; returns the 12 signal columns.
 
@@ -50,8 +55,8 @@ def transform_and_clean(raw: DataFrame) -> DataFrame:
     rating = F.coalesce(F.col("rating").try_cast("double"), F.lit(0.0))
     out = df.select(
         parsed.alias("date"),
-        F.coalesce(F.col("year").try_cast("int"), F.year(parsed)).alias("year"),
-        F.coalesce(F.col("month").try_cast("int"), F.month(parsed)).alias("month"),
+        F.coalesce(_lenient_int(F.col("year")), F.year(parsed)).alias("year"),
+        F.coalesce(_lenient_int(F.col("month")), F.month(parsed)).alias("month"),
         F.col("customer_action").cast("string").alias("customer_action"),
         _nan_to_null(score).alias("sentiment_score"),
         F.col("sentiment_label").cast("string").alias("sentiment_label"),
@@ -69,16 +74,23 @@ def conform_shaped(df: DataFrame) -> DataFrame:
     """S9 input: an already-shaped signal table, cast to the schema, NOT cleaned.
 
     All 12 columns are required (the reference's insert has a placeholder
-    for each); NULLs are kept.
+    for each); NULLs are kept.  See :func:`unfit_values` for values that have
+    no place in the schema.
     """
     df = normalize_columns(df)
     missing = [c for c in SIGNAL_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"pre-shaped table lacks columns: {missing}")
-    cols = []
-    for c in SIGNAL_COLUMNS:
-        if c == "date":
-            cols.append(lenient_date(F.col("date"), df.schema["date"].dataType).alias("date"))
-        else:
-            cols.append(F.col(c).try_cast(SIGNAL_TYPES[c]).alias(c))
-    return df.select(*cols)
+    return df.select(*[_shaped(df, c).alias(c) for c in SIGNAL_COLUMNS])
+
+
+def _shaped(df: DataFrame, c: str):
+    if c == "date":
+        return lenient_date(F.col("date"), df.schema["date"].dataType)
+    return F.col(c).try_cast(SIGNAL_TYPES[c])
+
+
+def unfit_values(df: DataFrame) -> DataFrame:
+    """One row: per column, how many non-null values of a pre-shaped table the schema cannot hold."""
+    df = normalize_columns(df)
+    return df.agg(*[F.count_if(F.col(c).isNotNull() & _shaped(df, c).isNull()).alias(c) for c in SIGNAL_COLUMNS])

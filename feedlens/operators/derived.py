@@ -5,7 +5,10 @@ Each takes a metric result (a small DataFrame) and returns a DataFrame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.functions.rounding import numpy_round
@@ -48,18 +51,18 @@ def heatmap_cells(heat: DataFrame, company_limit: int = 8) -> DataFrame:
                  .where(F.col("product_service").isNotNull() & F.col("sat_score").isNotNull()))
 
 
-def heatmap_matrix(cells: DataFrame, max_products: int = 64) -> DataFrame:
+def heatmap_matrix(cells: DataFrame, products: Sequence[str] | None = None) -> DataFrame:
     """V4 (wide form): company x product matrix of mean satisfaction.
 
-    The pivot values are the distinct products of ``cells`` (at most the
-    heatmap metric's product limit); more than ``max_products`` is refused
-    rather than collected.
+    With ``products`` a column for each of them; without, one map column
+    ``scores`` from product to score, so that no value has to be known, and
+    nothing collected, before the plan runs.
     """
-    products = [r[0] for r in cells.select("product_service").distinct()
-                .orderBy("product_service").limit(max_products + 1).collect()]
-    if len(products) > max_products:
-        raise ValueError(f"heatmap has more than {max_products} products")
-    return cells.groupBy("company").pivot("product_service", products).agg(F.avg("sat_score"))
+    if products is not None:
+        return cells.groupBy("company").pivot("product_service", list(products)).agg(F.avg("sat_score"))
+    means = cells.groupBy("company", "product_service").agg(F.avg("sat_score").alias("score"))
+    return means.groupBy("company").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("product_service", "score")))).alias("scores"))
 
 
 def device_scaled(device: DataFrame) -> DataFrame:
@@ -72,15 +75,57 @@ def prechurn_total(trend: DataFrame) -> DataFrame:
     return trend.agg(F.coalesce(F.sum("prechurn"), F.lit(0)).cast("bigint").alias("prechurn_total"))
 
 
-def status(df: DataFrame, title: str) -> DataFrame:
+# V8: when a result counts as empty.  "rows": no rows; "zero": its value (one row) is zero;
+# "sum": the columns add up to zero or there are no rows; "fewer": fewer rows than needed.
+EMPTY_RULES = {
+    "nps": ("zero", "total_signals"),
+    "complaint_velocity": ("sum", "quejas"),
+    "sentiment_by_channel": ("rows",),
+    "monthly_activity": ("sum", "volumen"),
+    "source_impact": ("sum", "pct_positive", "pct_negative"),
+    "churn_causes": ("rows",),
+    "regulatory_exposure": ("zero", "total"),
+    "prechurn_trend": ("rows",),
+    "competitive_benchmark": ("rows",),
+    "company_product_heatmap": ("rows",),
+    "escalation_rate": ("zero", "escalation_rate"),
+    "behavior_cycle": ("zero", "avg_days"),
+    "product_risk": ("fewer", 3),
+    "complaint_topics": ("sum", "Frecuencia"),
+    "state_intensity": ("sum", "quejas"),
+    "device_comparison": ("rows",),
+    "rating_distribution": ("sum", "cantidad"),
+    "app_issue_topics": ("sum", "Frecuencia"),
+    "yoy_volume_sentiment": ("rows",),
+}
+
+
+def is_empty(rule: tuple) -> Column:
+    """The aggregate that tells whether a result is empty by a rule of :data:`EMPTY_RULES`."""
+    kind, *args = rule
+    if kind == "rows":
+        return F.count(F.lit(1)) == 0
+    if kind == "fewer":
+        return F.count(F.lit(1)) < args[0]
+    total = sum((F.coalesce(F.sum(c), F.lit(0)) for c in args[1:]), F.coalesce(F.sum(args[0]), F.lit(0)))
+    return total == 0
+
+
+def status(df: DataFrame, title: str, rule: tuple = ("rows",)) -> DataFrame:
     """V8: one row: title, is_empty, title with the no-data suffix when empty."""
-    agg = df.agg((F.count(F.lit(1)) == 0).alias("is_empty"))
+    agg = df.agg(is_empty(rule).alias("is_empty"))
     return agg.select(
         F.lit(title).alias("title"), "is_empty",
         F.when(F.col("is_empty"), F.lit(f"{title} (Sin datos para la selección)"))
         .otherwise(F.lit(title)).alias("display_title"))
 
 
+def status_table(tables: dict[str, DataFrame]) -> DataFrame:
+    """V8 for a bundle: a row for each of its results that has an emptiness rule."""
+    rows = [status(df, name, EMPTY_RULES[name]) for name, df in tables.items() if name in EMPTY_RULES]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def nps_band(nps: DataFrame) -> DataFrame:
     """V9: NPS sign band (>= 0 success, else danger; 'empty' without rows)."""
     return nps.withColumn(

@@ -12,6 +12,7 @@ whole dimension.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,18 +39,20 @@ def _all_but(conds: dict[str, Column], own: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, rest) if rest else F.lit(True)
 
 
-def facet_counts(sig: DataFrame, f: SignalFilter | dict | None = None) -> DataFrame:
-    """(dim, value, cnt) for every dimension, leave-one-out, one scan."""
+def facet_counts(sig: DataFrame, f: SignalFilter | dict | None = None,
+                 dimensions: Iterable[str] = tuple(DIMENSIONS)) -> DataFrame:
+    """(dim, value, cnt) for the wanted dimensions, leave-one-out, one scan."""
     conds = as_filter(f).conditions()
-    keeps = {d: _all_but(conds, own) for d, (_, own) in DIMENSIONS.items()}
+    wanted = {d: DIMENSIONS[d] for d in dimensions}
+    keeps = {d: _all_but(conds, own) for d, (_, own) in wanted.items()}
     # a row can only count somewhere if it passes all but at most one group
     pre = reduce(lambda a, b: a | b, keeps.values())
     flagged = sig.where(pre).select(
-        *[F.col(c).cast("string").alias(f"v_{d}") for d, (c, _) in DIMENSIONS.items()],
+        *[F.col(c).cast("string").alias(f"v_{d}") for d, (c, _) in wanted.items()],
         *[k.alias(f"k_{d}") for d, k in keeps.items()],
     )
-    pairs = ", ".join(f"'{d}', v_{d}, k_{d}" for d in DIMENSIONS)
-    long = flagged.selectExpr(f"stack({len(DIMENSIONS)}, {pairs}) AS (dim, value, keep)")
+    pairs = ", ".join(f"'{d}', v_{d}, k_{d}" for d in wanted)
+    long = flagged.selectExpr(f"stack({len(wanted)}, {pairs}) AS (dim, value, keep)")
     return (long.where(F.col("keep") & F.col("value").isNotNull())
                 .groupBy("dim", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
@@ -65,17 +68,18 @@ def _label(dim: str) -> Column:
 
 
 def facet_options(sig: DataFrame, f: SignalFilter | dict | None = None, tab: str | None = None,
-                  min_count: dict | None = None, cap: dict | None = None) -> DataFrame:
-    """O1-O5 (+ the tab's source allow-list, F12): dim, value, cnt, label.
+                  min_count: dict | None = None, cap: dict | None = None,
+                  dimensions: Iterable[str] = tuple(DIMENSIONS)) -> DataFrame:
+    """O1-O5 (+ the tab's source allow-list, F12): dim, value, cnt, label, for the wanted dimensions.
 
     Rows are sorted by dimension, then year ascending / count descending
     (value as tie-break).  ``min_count`` and ``cap`` override the defaults.
     """
     mins = {**FACET_MIN_COUNT, **(min_count or {})}
     caps = {**FACET_CAP, **(cap or {})}
-    counts = facet_counts(sig, f)
+    counts = facet_counts(sig, f, dimensions)
     parts = []
-    for dim in DIMENSIONS:
+    for dim in dimensions:
         # One predicate over (dim, value, cnt): a filter on the grouping columns
         # alone would be pushed below the aggregate, giving five different plans
         # and five scans; this way all branches share one aggregate and its

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.schema import (
-    ALL_FILTER_COLUMNS, DEFAULT_YEAR_FROM, DEFAULT_YEAR_TO, TAB_CONFIG,
+    DEFAULT_YEAR_FROM, DEFAULT_YEAR_TO, TAB_CONFIG,
 )
 
 # Filter key -> signal column.
@@ -28,6 +28,11 @@ _IN_COLUMNS = {
     "products": "product_service",
     "actions": "customer_action",
 }
+# Period mode -> the filter keys that it sets.
+PERIOD_MODES = {"rango": ("period",), "anios": ("years",), "anios_meses": ("years", "months")}
+# Dimension of a tab -> its filter key.
+DIMENSION_KEYS = {"source": "sources", "company": "companies", "product": "products", "action": "actions",
+                  "sentiment": "sentiment"}
 KEYS = ("period", "years", "months", "sources", "companies", "products",
         "actions", "sentiment")
 
@@ -85,21 +90,13 @@ class SignalFilter:
     def from_period(cls, mode: str, year_from: int | None = None,
                     year_to: int | None = None, years: Iterable[int] | None = None,
                     months: Iterable[int] | None = None, **others) -> "SignalFilter":
-        """period mode -> filter keys.
+        """a period mode sets the keys that :data:`PERIOD_MODES` lists for it, and no other period key.
 
-        ``rango`` -> period (defaults 2010..2027); ``anios`` -> years;
-        ``anios_meses`` -> years and months.  Other modes set no period key.
+        An open end of the range is the default year; an empty list is no filter.
         """
-        kw: dict = {}
-        if mode == "rango":
-            kw["period"] = (year_from or DEFAULT_YEAR_FROM, year_to or DEFAULT_YEAR_TO)
-        elif mode in ("anios", "anios_meses"):
-            if years:
-                kw["years"] = tuple(int(y) for y in years)
-            if mode == "anios_meses" and months:
-                kw["months"] = tuple(int(m) for m in months)
-        kw.update(others)
-        return cls(**kw)
+        given = {"period": (year_from or DEFAULT_YEAR_FROM, year_to or DEFAULT_YEAR_TO),
+                 "years": years, "months": months}
+        return cls(**{key: given[key] for key in PERIOD_MODES.get(mode, ())}, **others)
 
     def as_dict(self) -> dict:
         return {k: getattr(self, k) for k in KEYS if self._active(k)}
@@ -116,27 +113,19 @@ class SignalFilter:
         return replace(self, **{k: None for k in keys})
 
     def for_tab(self, tab: str) -> "SignalFilter":
-        """prune the filter for a stakeholder tab.
+        """the filter as a stakeholder tab sees it.
 
-        Hidden dimensions are reset; sources are restricted to the tab's
-        allow-list, and when none remain the source filter is off.
+        Keys of dimensions that the tab hides are off; of the sources, those
+        that the tab offers stay, and without any the source filter is off.
         """
-        cfg = TAB_CONFIG.get(tab, {})
-        visible = cfg.get("visible", ALL_FILTER_COLUMNS)
-        allowed = cfg.get("sources")
-        sources = self.sources
-        if "source" not in visible:
-            sources = None
-        elif allowed is not None and sources:
-            sources = tuple(s for s in sources if s in allowed) or None
-        return replace(
-            self,
-            sources=sources,
-            companies=self.companies if "company" in visible else None,
-            products=self.products if "product" in visible else None,
-            actions=self.actions if "action" in visible else None,
-            sentiment=self.sentiment if "sentiment" in visible else None,
-        )
+        config = TAB_CONFIG.get(tab)
+        if config is None:
+            return self
+        pruned = self.without(*[key for dim, key in DIMENSION_KEYS.items() if dim not in config["visible"]])
+        if pruned.sources and config["sources"]:
+            offered = frozenset(config["sources"])
+            pruned = replace(pruned, sources=tuple(filter(offered.__contains__, pruned.sources)))
+        return pruned
 
     def conditions(self) -> dict[str, Column]:
         """One predicate per active key (F1-F8)."""

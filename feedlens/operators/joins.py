@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a dimension may have to be broadcast to every executor (a few columns
-# wide: tens of MB at most).
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Bytes (the planner's estimate) up to which a dimension is broadcast.
+DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(dim: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``dim`` only behind a checked size bound, else leave it to the planner.
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's size estimate of a frame; runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    The row count is one cheap scan of the dimension (no column data).  Below
-    the bound the dimension becomes the build side, so the fact side keeps
-    its partitioning and is never the broadcast.  Above it the join stays a
-    shuffle join (sort-merge, with AQE's skew split for hot keys).
+
+def broadcast_if_small(dim: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``dim`` if its estimated size is at most ``max_bytes``, else leave it to the planner.
+
+    Estimates come from file sizes and are upper bounds for filtered inputs;
+    beyond the bound the join stays a shuffle join (sort-merge, with AQE's skew
+    split for hot keys).
     """
-    return F.broadcast(dim) if dim.count() <= max_rows else dim
+    return F.broadcast(dim) if estimated_bytes(dim) <= max_bytes else dim

@@ -12,6 +12,8 @@ is released.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -41,8 +43,9 @@ class Bundle(dict):
 
         The tables are independent small jobs (aggregates and top-k cuts of
         one persisted aggregate), so they are submitted concurrently from
-        driver threads and Spark schedules them side by side.  Every result
-        is bounded by its metric (groups of a dimension or a top-k).
+        driver threads and Spark schedules them side by side.  Results are
+        top-k cuts or one row per group; per-source tables have a row for each
+        distinct source name.
         """
         from concurrent.futures import ThreadPoolExecutor
 
@@ -90,12 +93,13 @@ def marketing(sig: DataFrame, f: SignalFilter | dict | None = None, persist: boo
               "monthly_activity": M.monthly_activity(base), "source_impact": M.source_impact(base)}
     fr["nps"] = V.nps_band(fr["nps"])
     fr["sentiment_by_channel"] = V.channel_bands(fr["sentiment_by_channel"])
+    fr["status"] = V.status_table(fr)
     return Bundle(fr, held)
 
 
 def direction(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True,
-              fused: bool = True) -> Bundle:
-    """B2: M6-M10 + V1, V2, V4, V7, V9."""
+              fused: bool = True, heatmap_products: Sequence[str] | None = None) -> Bundle:
+    """B2: M6-M10 + V1, V2, V4, V7, V9.  ``heatmap_products``: see :func:`~feedlens.operators.derived.heatmap_matrix`."""
     f = as_filter(f)
     if fused:
         agg, held = _hold(FU.direction_aggregate(f.apply(sig)), persist)
@@ -110,6 +114,8 @@ def direction(sig: DataFrame, f: SignalFilter | dict | None = None, persist: boo
     fr["prechurn_total"] = V.prechurn_total(fr["prechurn_trend"])
     fr["benchmark_satisfaction"] = V.benchmark_satisfaction(fr["competitive_benchmark"])
     fr["heatmap_cells"] = V.heatmap_cells(fr["company_product_heatmap"])
+    fr["heatmap_matrix"] = V.heatmap_matrix(fr["heatmap_cells"], heatmap_products)
+    fr["status"] = V.status_table(fr)
     return Bundle(fr, held)
 
 
@@ -119,13 +125,14 @@ def retention(sig: DataFrame, f: SignalFilter | dict | None = None, persist: boo
     f = as_filter(f)
     if fused:
         agg, held = _hold(FU.retention_aggregate(f.apply(sig)), persist)
-        return Bundle(FU.retention_frames(agg), held)
-    base, held = _hold(_base(sig, f, "retention"), persist)
-    return Bundle({
-        "escalation_rate": M.escalation_rate(base), "behavior_cycle": M.behavior_cycle(base),
-        "product_risk": M.product_risk(base), "complaint_topics": M.complaint_topics(base),
-        "state_intensity": M.state_intensity(base),
-    }, held)
+        fr = FU.retention_frames(agg)
+    else:
+        base, held = _hold(_base(sig, f, "retention"), persist)
+        fr = {"escalation_rate": M.escalation_rate(base), "behavior_cycle": M.behavior_cycle(base),
+              "product_risk": M.product_risk(base), "complaint_topics": M.complaint_topics(base),
+              "state_intensity": M.state_intensity(base)}
+    fr["status"] = V.status_table(fr)
+    return Bundle(fr, held)
 
 
 def product(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool = True,
@@ -143,6 +150,7 @@ def product(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool
               "yoy_volume_sentiment": M.yoy_volume_sentiment(sig, f,
                                                              reference_precedence=reference_precedence)}
     fr["device_scaled"] = V.device_scaled(fr["device_comparison"])
+    fr["status"] = V.status_table(fr)
     return Bundle(fr, held)
 
 

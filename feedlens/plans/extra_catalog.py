@@ -8,11 +8,12 @@ from feedlens.functions.rounding import numpy_round_sql
 from feedlens.operators import derived as V
 from feedlens.operators import metrics as M
 from feedlens.operators import quality as Q
-from feedlens.operators.facets import DIMENSIONS, facet_options, year_bounds
+from feedlens.operators.facets import facet_options, year_bounds
 from feedlens.operators.filters import SignalFilter
 from feedlens.plans import catalog as C
+from feedlens.plans import ingest_catalog as I
 from feedlens.plans.testbed import signals_from_tables, with_signals
-from feedlens.schema import FACET_CAP, FACET_LABEL_WIDTH, FACET_MIN_COUNT, TAB_CONFIG, VALID_ACTIONS
+from feedlens.schema import VALID_ACTIONS
 
 FACET_FILTER = SignalFilter(period=(1994, 1998), sources=("Reddit", "CFPB", "AppStore"),
                             companies=("Supplier#000000001", "Supplier#000000002",
@@ -32,33 +33,51 @@ def _sub(sql: str) -> str:
 
 # --- facets ---------------------------------------------------------------
 
-def sql_facets(f: SignalFilter | None = None, tab: str | None = None) -> str:
-    conds = (f or SignalFilter()).sql_conditions()
-    branches = []
-    for dim, (col, own) in DIMENSIONS.items():
-        rest = [c for k, c in conds.items() if k not in own]
-        where = " AND ".join([f"({c})" for c in rest] + [f"{col} IS NOT NULL"])
-        extra = f"HAVING COUNT(*) >= {FACET_MIN_COUNT[dim]}"
-        sel = (f"SELECT '{dim}' AS dim, CAST({col} AS VARCHAR) AS value, COUNT(*) AS cnt "
-               f"FROM signals WHERE {where} GROUP BY {col} {extra}")
-        outer = []
-        if dim == "action":
-            outer.append("value IN (" + ", ".join(f"'{a}'" for a in VALID_ACTIONS) + ")")
-        if dim == "source" and tab and TAB_CONFIG.get(tab, {}).get("sources"):
-            outer.append("value IN (" + ", ".join(f"'{s}'" for s in TAB_CONFIG[tab]["sources"]) + ")")
-        q = f"SELECT * FROM ({sel}) g" + (" WHERE " + " AND ".join(outer) if outer else "")
-        if dim in FACET_CAP:
-            q += f" ORDER BY cnt DESC, value ASC LIMIT {FACET_CAP[dim]}"
-        if dim == "year":
-            label = "value"
-        else:
-            v = "value"
-            if dim in FACET_LABEL_WIDTH:
-                w = FACET_LABEL_WIDTH[dim]
-                v = f"(substring(value, 1, {w}) || CASE WHEN length(value) > {w} THEN '…' ELSE '' END)"
-            label = f"{v} || ' (' || format('{{:,}}', cnt) || ')'"
-        branches.append(f"SELECT dim, value, cnt, {label} AS label FROM ({q}) b_{dim}")
-    return with_signals(" UNION ALL ".join(branches))
+# Conditions of FACET_FILTER by option list, its own condition left out, written by hand.
+_YEARS, _ACTIONS = "year >= 1994 AND year <= 1998", "customer_action IN ('complaining', 'formal_complaint', 'venting', 'churning')"
+_NEGATIVE, _COMPANIES = "sentiment_label = 'negative'", "company IN ('Supplier#000000001', 'Supplier#000000002', 'Supplier#000000003')"
+_SOURCES, _RETENTION_SOURCES = "source IN ('Reddit', 'CFPB', 'AppStore')", "source = 'CFPB'"
+FACETS_ALL = dict.fromkeys(("year", "source", "company", "product", "action"), "true")
+FACETS_FILTERED = {
+    "year": f"{_SOURCES} AND {_COMPANIES} AND {_ACTIONS} AND {_NEGATIVE}",
+    "source": f"{_YEARS} AND {_COMPANIES} AND {_ACTIONS} AND {_NEGATIVE}",
+    "company": f"{_YEARS} AND {_SOURCES} AND {_ACTIONS} AND {_NEGATIVE}",
+    "product": f"{_YEARS} AND {_SOURCES} AND {_COMPANIES} AND {_ACTIONS} AND {_NEGATIVE}",
+    "action": f"{_YEARS} AND {_SOURCES} AND {_COMPANIES} AND {_NEGATIVE}",
+}
+# the retention tab hides companies and offers CFPB and Trustpilot
+FACETS_RETENTION = {
+    "year": f"{_RETENTION_SOURCES} AND {_ACTIONS} AND {_NEGATIVE}",
+    "source": f"{_YEARS} AND {_ACTIONS} AND {_NEGATIVE} AND source IN ('CFPB', 'Trustpilot')",
+    "company": f"{_YEARS} AND {_RETENTION_SOURCES} AND {_ACTIONS} AND {_NEGATIVE}",
+    "product": f"{_YEARS} AND {_RETENTION_SOURCES} AND {_ACTIONS} AND {_NEGATIVE}",
+    "action": f"{_YEARS} AND {_RETENTION_SOURCES} AND {_NEGATIVE}",
+}
+
+
+def sql_facets(where: dict[str, str]) -> str:
+    """Option lists: smallest counts 1, 100, 500, 1000 and 10; 30 companies and 20 products at most."""
+    valid = ", ".join(f"'{a}'" for a in VALID_ACTIONS)
+    number = "' (' || format('{:,}', cnt) || ')'"
+    return with_signals(f"""
+        SELECT 'year' AS dim, CAST(year AS VARCHAR) AS value, COUNT(*) AS cnt, CAST(year AS VARCHAR) AS label
+        FROM signals WHERE {where["year"]} GROUP BY year HAVING year IS NOT NULL
+        UNION ALL
+        SELECT 'source', source, cnt, source || {number} FROM (
+            SELECT source, COUNT(*) AS cnt FROM signals WHERE {where["source"]} GROUP BY source) s
+        WHERE cnt >= 100 AND source IS NOT NULL
+        UNION ALL
+        SELECT 'company', company, cnt, CASE WHEN length(company) > 45 THEN left(company, 45) || '…' ELSE company END || {number}
+        FROM (SELECT company, COUNT(*) AS cnt FROM signals WHERE {where["company"]} AND company IS NOT NULL GROUP BY company
+              HAVING COUNT(*) >= 500 ORDER BY cnt DESC, company LIMIT 30) c
+        UNION ALL
+        SELECT 'product', p, cnt, CASE WHEN length(p) > 50 THEN left(p, 50) || '…' ELSE p END || {number}
+        FROM (SELECT product_service AS p, COUNT(*) AS cnt FROM signals WHERE {where["product"]} AND product_service IS NOT NULL
+              GROUP BY product_service HAVING COUNT(*) >= 1000 ORDER BY cnt DESC, p LIMIT 20) q
+        UNION ALL
+        SELECT 'action', customer_action, cnt, customer_action || {number} FROM (
+            SELECT customer_action, COUNT(*) AS cnt FROM signals WHERE {where["action"]} GROUP BY customer_action) a
+        WHERE cnt >= 10 AND customer_action IN ({valid})""")
 
 
 def q_facets(f=None, tab=None):
@@ -68,7 +87,7 @@ def q_facets(f=None, tab=None):
 
 
 def q_year_bounds(spark, sf_dir):
-    return year_bounds(facet_options(_sig(spark, sf_dir)), 1994, 1997)
+    return year_bounds(facet_options(_sig(spark, sf_dir), dimensions=["year"]), 1994, 1997)
 
 
 def sql_year_bounds() -> str:
@@ -94,13 +113,17 @@ def sql_distinct_sample() -> str:
 
 
 SQL_COVERAGE = with_signals("""
-    SELECT source, COUNT(*) AS total, COUNT(sentiment_score) AS with_sentiment,
-           COUNT(rating) AS with_rating, COUNT(company) AS with_company,
-           COUNT(product_service) AS with_product
-    FROM signals GROUP BY source""")
+    SELECT source, CAST(SUM(one) AS BIGINT) AS total, CAST(SUM(has_score) AS BIGINT) AS with_sentiment,
+           CAST(SUM(has_rating) AS BIGINT) AS with_rating, CAST(SUM(has_company) AS BIGINT) AS with_company,
+           CAST(SUM(has_product) AS BIGINT) AS with_product
+    FROM (SELECT source, 1 AS one, CAST(sentiment_score IS NOT NULL AS INT) AS has_score,
+                 CAST(rating IS NOT NULL AS INT) AS has_rating, CAST(company IS NOT NULL AS INT) AS has_company,
+                 CAST(product_service IS NOT NULL AS INT) AS has_product FROM signals) flags
+    GROUP BY source""")
 SQL_MOBILE_RATING = with_signals("""
-    SELECT source, COUNT(rating) AS rating_count, AVG(rating) AS avg_rating FROM signals
-    WHERE replace(lower(source), ' ', '') IN ('appstore', 'googleplay') GROUP BY source""")
+    SELECT s.source, CAST(list_count(ratings) AS BIGINT) AS rating_count, list_avg(ratings) AS avg_rating
+    FROM (SELECT source, list(rating) AS ratings FROM signals
+          WHERE regexp_matches(source, '^(app *store|google *play)$', 'i') GROUP BY source) s""")
 SQL_YEARS_GOOGLEPLAY = with_signals(
     "SELECT year, COUNT(*) AS rows FROM signals WHERE source = 'GooglePlay' GROUP BY year")
 SQL_ROWS_BY_SOURCE = with_signals("SELECT source, COUNT(*) AS rows FROM signals GROUP BY source")
@@ -134,8 +157,12 @@ def sql_heatmap_cells(flt: str = "") -> str:
           AND product_service IS NOT NULL AND sat_score IS NOT NULL"""
 
 
-def sql_heatmap_matrix() -> str:
-    return f"PIVOT ({sql_heatmap_cells()}) ON product_service USING avg(sat_score) GROUP BY company"
+HEATMAP_PRODUCTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
+def sql_heatmap_matrix(flt: str = "") -> str:
+    cols = ", ".join(f"AVG(CASE WHEN product_service = '{p}' THEN sat_score END) AS \"{p}\"" for p in HEATMAP_PRODUCTS)
+    return f"SELECT company, {cols} FROM ({sql_heatmap_cells(flt)}) c GROUP BY company"
 
 
 def sql_device_scaled(flt: str = "") -> str:
@@ -241,9 +268,9 @@ SQL_STORE_REGISTRY = with_signals("""
 # --- fused bundles (one grouping-sets scan per tab), checked table by table ------
 
 PRODUCT_SQL_FILTER_A = "year BETWEEN 1994 AND 1997"  # the product tab drops the source filter
-# direction: a wide period so that companies pass the benchmark's > 500 threshold
-FILTER_D = SignalFilter(period=(1996, 2001))
-SQL_FILTER_D = "year BETWEEN 1996 AND 2001"
+# direction: mild enough that over 15 companies pass the benchmark's > 500 threshold
+FILTER_D = SignalFilter(months=tuple(range(1, 12)))
+SQL_FILTER_D = "month < 12"
 
 BUNDLE_TABLES = {
     "marketing": {
@@ -263,6 +290,7 @@ BUNDLE_TABLES = {
         "benchmark_satisfaction": sql_benchmark_satisfaction,
         "company_product_heatmap": C.sql_company_product_heatmap,
         "heatmap_cells": sql_heatmap_cells,
+        "heatmap_matrix": sql_heatmap_matrix,
     },
     "retention": {
         "escalation_rate": C.sql_escalation_rate,
@@ -281,17 +309,57 @@ BUNDLE_TABLES = {
 }
 
 
+# V8 by bundle: what makes a result empty, as SQL over the result.
+_NONE, _FEW = "COUNT(*) = 0", "COUNT(*) < 3"
+
+
+def _zero(*cols: str) -> str:
+    return " + ".join(f"COALESCE(SUM({c}), 0)" for c in cols) + " = 0"
+
+
+STATUS = {
+    "marketing": {"nps": (C.sql_nps_proxy, _zero("total_signals")),
+                  "complaint_velocity": (C.sql_complaint_velocity, _zero("quejas")),
+                  "sentiment_by_channel": (C.sql_sentiment_by_channel, _NONE),
+                  "monthly_activity": (C.sql_monthly_activity, _zero("volumen")),
+                  "source_impact": (C.sql_source_impact, _zero("pct_positive", "pct_negative"))},
+    "direction": {"churn_causes": (C.sql_churn_causes, _NONE),
+                  "regulatory_exposure": (C.sql_regulatory_exposure, _zero("total")),
+                  "prechurn_trend": (C.sql_prechurn_trend, _NONE),
+                  "competitive_benchmark": (C.sql_competitive_benchmark, _NONE),
+                  "company_product_heatmap": (C.sql_company_product_heatmap, _NONE)},
+    "retention": {"escalation_rate": (C.sql_escalation_rate, _zero("escalation_rate")),
+                  "behavior_cycle": (C.sql_behavior_cycle, _zero("avg_days")),
+                  "product_risk": (C.sql_product_risk, _FEW),
+                  "complaint_topics": (C.sql_complaint_topics, _zero("Frecuencia")),
+                  "state_intensity": (C.sql_state_intensity, _zero("quejas"))},
+    "product": {"device_comparison": (C.sql_device_comparison, _NONE),
+                "rating_distribution": (C.sql_rating_distribution, _zero("cantidad")),
+                "app_issue_topics": (C.sql_app_issue_topics, _zero("Frecuencia")),
+                "yoy_volume_sentiment": (C.sql_yoy_volume_sentiment, _NONE)},
+}
+
+
+def sql_bundle_status(bundle: str, flt: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{key}' AS title, {empty} AS is_empty, CASE WHEN {empty}
+        THEN '{key} (Sin datos para la selección)' ELSE '{key}' END AS display_title FROM ({sql(flt)}) t_{key}"""
+        for key, (sql, empty) in STATUS[bundle].items())
+
+
 def q_bundle_table(bundle: str, key: str, f: SignalFilter):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from feedlens.plans import bundles as B
 
-        return B.BUNDLES[bundle](_sig(spark, sf_dir), f, persist=False)[key]
+        more = {"heatmap_products": HEATMAP_PRODUCTS} if bundle == "direction" else {}
+        return B.BUNDLES[bundle](_sig(spark, sf_dir), f, persist=False, **more)[key]
     return run
 
 
 def _bundle_queries() -> dict:
-    return {f"bundle_{b}_{k}": q_bundle_table(b, k, FILTER_D if b == "direction" else C.FILTER_A)
-            for b, tables in BUNDLE_TABLES.items() for k in tables}
+    tables = {f"bundle_{b}_{k}": q_bundle_table(b, k, FILTER_D if b == "direction" else C.FILTER_A)
+              for b, tables in BUNDLE_TABLES.items() for k in [*tables, "status"]}
+    return tables | {f"bundle_{b}_status_empty": q_bundle_table(b, "status", f) for b, (f, _) in SPARSE.items()}
 
 
 def _bundle_oracles() -> dict:
@@ -300,16 +368,24 @@ def _bundle_oracles() -> dict:
         flt = {"product": PRODUCT_SQL_FILTER_A, "direction": SQL_FILTER_D}.get(b, C.SQL_FILTER_A)
         for k, sql in tables.items():
             out[f"bundle_{b}_{k}"] = sql(flt)
+        out[f"bundle_{b}_status"] = sql_bundle_status(b, flt)
+        out[f"bundle_{b}_status_empty"] = sql_bundle_status(b, SPARSE[b][1])
     return out
 
 
 EMPTY_FILTER = SignalFilter(years=(1800,))
 EMPTY_SQL = "year IN (1800)"
+# Filters that leave nothing, or rows of two products and no complaint (fewer than three, all zero).
+SPARSE = {
+    "marketing": (EMPTY_FILTER, EMPTY_SQL), "direction": (EMPTY_FILTER, EMPTY_SQL), "product": (EMPTY_FILTER, EMPTY_SQL),
+    "retention": (SignalFilter(products=("PROMO", "LARGE"), actions=("advocating",), sentiment="positive"),
+                  "product_service IN ('PROMO', 'LARGE') AND customer_action = 'advocating' AND sentiment_label = 'positive'"),
+}
 
 
 def queries() -> dict:
     s = _sig
-    return _bundle_queries() | {
+    return _bundle_queries() | I.queries() | {
         "filter_options": q_facets(),
         "filter_options_filtered": q_facets(FACET_FILTER),
         "filter_options_tab_retention": q_facets(FACET_FILTER.for_tab("retention"), tab="retention"),
@@ -324,7 +400,8 @@ def queries() -> dict:
         "benchmark_satisfaction": lambda sp, d: V.benchmark_satisfaction(M.competitive_benchmark(s(sp, d))),
         "channel_bands": lambda sp, d: V.channel_bands(M.sentiment_by_channel(s(sp, d))),
         "heatmap_cells": lambda sp, d: V.heatmap_cells(M.company_product_heatmap(s(sp, d))),
-        "heatmap_matrix": lambda sp, d: V.heatmap_matrix(V.heatmap_cells(M.company_product_heatmap(s(sp, d)))),
+        "heatmap_matrix": lambda sp, d: V.heatmap_matrix(
+            V.heatmap_cells(M.company_product_heatmap(s(sp, d))), HEATMAP_PRODUCTS),
         "device_scaled": lambda sp, d: V.device_scaled(M.device_comparison(s(sp, d))),
         "prechurn_total": lambda sp, d: V.prechurn_total(M.prechurn_trend(s(sp, d))),
         "churn_causes_status": lambda sp, d: V.status(M.churn_causes(s(sp, d)), "Churn"),
@@ -341,10 +418,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return _bundle_oracles() | {
-        "filter_options": sql_facets(),
-        "filter_options_filtered": sql_facets(FACET_FILTER),
-        "filter_options_tab_retention": sql_facets(FACET_FILTER.for_tab("retention"), "retention"),
+    return _bundle_oracles() | I.oracle_sql() | {
+        "filter_options": sql_facets(FACETS_ALL),
+        "filter_options_filtered": sql_facets(FACETS_FILTERED),
+        "filter_options_tab_retention": sql_facets(FACETS_RETENTION),
         "year_bounds": sql_year_bounds(),
         "non_null_counts": sql_non_null_counts(),
         "distinct_sample": sql_distinct_sample(),

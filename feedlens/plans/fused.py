@@ -56,8 +56,12 @@ def _count_if(c: Column, name: str) -> Column:
 
 
 def _topic_flags(topics, cond: Column, prefix: str) -> list[Column]:
-    lowered = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    return [(cond & keyword_match(lowered, rx)).alias(f"{prefix}{i}") for i, (_, rx) in enumerate(topics)]
+    return [(cond & keyword_match(F.col("lowered"), rx)).alias(f"{prefix}{i}") for i, (_, rx) in enumerate(topics)]
+
+
+def _with_lowered(rows: DataFrame) -> DataFrame:
+    """Adds the text in lower case, which all keyword flags share."""
+    return rows.withColumn("lowered", F.lower(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def _stack_topics(row: DataFrame, topics, prefix: str, label: str) -> DataFrame:
@@ -159,7 +163,7 @@ _RET_KEYS = ["company", "product_service", "estado"]
 
 def retention_aggregate(base: DataFrame) -> DataFrame:
     neg = F.col("sentiment_label") == "negative"
-    rows = base.select(
+    rows = _with_lowered(base).select(
         "company", "product_service", R.state_name().alias("estado"), "date",
         (F.col("customer_action") == "complaining").alias("is_comp"),
         (F.col("customer_action") == "formal_complaint").alias("is_formal"),
@@ -218,7 +222,7 @@ def product_aggregate(sig: DataFrame, f: SignalFilter | dict | None = None,
     else:
         base = sig.where(strict)
     neg = F.col("sentiment_label") == "negative"
-    rows = base.select(
+    rows = _with_lowered(base).select(
         "source", P.star_bucket(), "year", "rating", "sentiment_score",
         (strict & F.col("rating").isNotNull() & (F.col("rating") > 0)).alias("is_star"),
         *_topic_flags(APP_ISSUE_TOPICS, strict & neg, "a"))

@@ -13,16 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators.joins import broadcast_if_small
+from feedlens.schema import TAB_CONFIG, VALID_ACTIONS
 
-_ACTIONS = [
-    "formal_complaint", "complaining", "churning", "churning_due_to_price",
-    "churning_due_to_policy", "positive_review", "negative_review", "advocating",
-    "seeking_help", "venting", "sharing_positive_experience",
-    "searching_for_alternatives", "reacting_to_price_change",
-    "reacting_to_policy_change", "neutral_review", "researching", "discussing",
-]
-_SOURCES = ["Reddit", "HackerNews", "Trustpilot", "GDELT", "Google_Trends",
-            "AppStore", "GooglePlay"]
 _TEXTS = ["Wrong CHARGE on my billing", "Rude agent, long wait", "Credit report dispute",
           "Account closed after fraud", "Mortgage payment plan", "App crash at login",
           "Very slow, lag and error", ""]
@@ -39,14 +31,14 @@ SIGNAL_EXPRS = [
     ("date", "CAST(l_shipdate AS DATE)"),
     ("year", "CAST(year(l_shipdate) AS INT)"),
     ("month", "CAST(month(l_shipdate) AS INT)"),
-    ("customer_action", _case("(l_partkey + l_linenumber) % 18", _ACTIONS, "'Churning_typo'")),
+    ("customer_action", _case("(l_partkey + l_linenumber) % 18", VALID_ACTIONS, "'Churning_typo'")),
     ("sentiment_score",
      "CASE WHEN l_linenumber = 7 THEN CAST(NULL AS DOUBLE) "
      "ELSE CAST((l_quantity - 25) / 32 AS DOUBLE) END"),
     ("sentiment_label",
      "CASE WHEN l_quantity < 17 THEN 'negative' WHEN l_quantity > 34 THEN 'positive' "
      "ELSE 'neutral' END"),
-    ("source", _case("l_orderkey % 8", _SOURCES, "'CFPB'")),
+    ("source", _case("l_orderkey % 8", TAB_CONFIG["marketing"]["sources"], "'CFPB'")),
     ("company", "s_name"),
     ("product_service", "p_type"),
     ("text", _case("l_partkey % 9", _TEXTS, "'Nice coffee'")),
@@ -68,22 +60,13 @@ def signals_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rd = spark.read.parquet
     li = rd(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
-    # A small fact file can be a single row group, i.e. one split for the whole
-    # derivation.  Spread it over the cluster only then; at scale the scan
-    # already has many splits and no shuffle is added.
-    try:
-        slots = spark.sparkContext.defaultParallelism
-        if li.rdd.getNumPartitions() < slots:
-            li = li.repartition(slots)
-    except Exception:  # sessions without an RDD view (remote clients): plan as is
-        pass
     sup = rd(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name", "s_nationkey")
     # nation has a fixed 25 rows in every scale factor: a proven broadcast bound.
     nat = F.broadcast(rd(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name"))
     part = rd(f"{sf_dir}/part.parquet").select("p_partkey", "p_type")
     sup_nat = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
     # supplier and part grow with the scale factor: broadcast only under a
-    # checked row bound; beyond it the joins are shuffle joins on the keys.
+    # checked byte bound; beyond it the joins are shuffle joins on the keys.
     joined = (li.join(broadcast_if_small(sup_nat), li.l_suppkey == sup_nat.s_suppkey)
                 .join(broadcast_if_small(part), li.l_partkey == part.p_partkey))
     return joined.selectExpr(*[f"{_spark_expr(e)} AS {n}" for n, e in SIGNAL_EXPRS])

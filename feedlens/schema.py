@@ -49,6 +49,18 @@ DATASETS_SCHEMA = T.StructType([
     T.StructField("source_mtime", T.TimestampType(), True),
 ])
 
+# Ids given to staged files, and files that could not be imported.
+ALLOCATIONS_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType(), True),
+    T.StructField("source_path", T.StringType(), True),
+    T.StructField("source_mtime", T.TimestampType(), True),
+])
+REJECTED_SCHEMA = T.StructType([
+    T.StructField("source_path", T.StringType(), True),
+    T.StructField("source_mtime", T.TimestampType(), True),
+    T.StructField("reason", T.StringType(), True),
+])
+
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference application's)
 # ---------------------------------------------------------------------------

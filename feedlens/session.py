@@ -39,19 +39,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _one_machine(master: str) -> bool:
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when it is set; otherwise
-    (tests, local runs) creates a fresh scratch folder and registers it.
+    That is the cluster's ``spark.checkpoint.dir``.  Only a local master, where
+    all tasks share one disk, may leave it unset and gets a scratch folder; on
+    a cluster the executors could not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedlens-ckpt-")
-    sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not _one_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="feedlens-ckpt-")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir() or folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

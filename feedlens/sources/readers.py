@@ -1,44 +1,87 @@
 """File readers.
 
 Every reader returns the raw frame; cleaning is :mod:`feedlens.operators.clean`.
+Paths are literal: characters that file globs give a meaning are escaped.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.schema import DATA_EXTENSIONS, HIDDEN_PREFIXES
+from feedlens.schema import DATA_EXTENSIONS, HIDDEN_PREFIXES, SIGNAL_COLUMNS
 
+# Column of records that a JSON reader could not parse; cleaning ignores it, ingest reports it.
+MALFORMED = "_malformed_record"
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+
+def literal_path(path: str) -> str:
+    """``path`` with glob characters escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
+    """Whether some line of a CSV ends inside quotes: it holds an odd number of quote characters."""
+    lines = spark.read.text(literal_path(path))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not lines.where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header, every column as a string (lenient casts come later).
 
-    ``multi_line=True`` accepts quoted newlines but makes each file one split;
-    pass False for large files without embedded newlines to split them.
+    A file without newlines inside quotes is read in splits.  With them it must
+    be read whole by one task.  None (the default) finds out by one parallel
+    scan of the file; True and False skip the scan.
     """
+    if multi_line is None:
+        multi_line = has_quoted_newlines(spark, path)
     return (spark.read.option("header", True).option("inferSchema", False)
             .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").csv(path))
+            .option("mode", "PERMISSIVE").csv(literal_path(path)))
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """S2."""
-    return spark.read.parquet(path)
+    return spark.read.parquet(literal_path(path))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """S3: a JSON document (array or object) or JSON lines.
+def _record(json: Column) -> Column:
+    return F.from_json(json, "map<string,string>")
+
 
-    JSON lines are read first (splittable).  When every line is malformed
-    (a pretty-printed document), the file is re-read as one document.
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """S3: a JSON document (array or object) or JSON lines, every value as a string.
+
+    The first line that is not blank decides: an opening bracket, or a value
+    that goes on in the next line, begins one document, which one task parses;
+    else each line is a record and the file is read in splits.  One pass, no
+    schema inference: of each record, the signal columns are taken (names
+    stripped and in lower case).  What does not parse stands in
+    :data:`MALFORMED`.
     """
-    lines = spark.read.option("mode", "PERMISSIVE").json(path)
-    if lines.columns == ["_corrupt_record"]:
-        return spark.read.option("multiLine", True).json(path)
-    return lines
+    lines = spark.read.text(literal_path(path))
+    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    head = (lines.where(text != "")
+            .select(text.startswith("[").alias("array"), _record(text).isNull().alias("open")).head())
+    if head is None:
+        records = lines.where(F.lit(False)).select(_record(F.col("value")).alias("record"), F.col("value").alias("source"))
+    elif head["array"] or head["open"]:
+        whole = spark.read.text(literal_path(path), wholetext=True)
+        as_array = F.from_json(F.col("value"), "array<map<string,string>>")
+        # a document that is no array is one object
+        parsed = whole.select("value", F.when(text.startswith("["), as_array).otherwise(
+            F.when(_record(F.col("value")).isNotNull(), F.array(_record(F.col("value"))))).alias("records"))
+        records = parsed.select("value", F.explode_outer("records").alias("record")).select(
+            "record", F.substring("value", 1, 200).alias("source"))
+    else:
+        records = lines.where(text != "").select(_record(F.col("value")).alias("record"), F.col("value").alias("source"))
+    keyed = records.select("source", "record", F.transform_keys("record", lambda k, _: F.lower(F.trim(k))).alias("fields"))
+    return keyed.select(*[F.col("fields")[c].alias(c) for c in SIGNAL_COLUMNS],
+                        F.when(F.col("record").isNull(), F.col("source")).alias(MALFORMED))
 
 
 READERS = {".csv": read_csv, ".parquet": read_parquet, ".json": read_json, ".jsonl": read_json}
@@ -48,11 +91,13 @@ def extension(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
 
-def route_to_reader(spark: SparkSession, path: str) -> DataFrame:
-    """Pick the reader by lower-cased extension; unknown -> ValueError."""
+def route_to_reader(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Pick the reader by lower-cased extension; unknown -> ValueError.  ``multi_line`` is for CSV."""
     ext = extension(path)
     if ext not in READERS:
         raise ValueError(f"unsupported format {ext!r}")
+    if ext == ".csv":
+        return read_csv(spark, path, multi_line)
     return READERS[ext](spark, path)
 
 
@@ -84,15 +129,10 @@ def pick_best_file(listing: DataFrame, root: str) -> DataFrame:
     prio = F.create_map(*[x for i, e in enumerate(DATA_EXTENSIONS) for x in (F.lit(e), F.lit(i))])
     ext = F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1))
     root_uri = root.rstrip("/")
-    rel = F.regexp_replace("path", r"^.*?" + _re_escape(root_uri.split(":", 1)[-1]) + "/", "")
+    rel = F.regexp_replace("path", r"^.*?" + re.escape(root_uri.split(":", 1)[-1]) + "/", "")
     ranked = (listing.where(not_hidden() & ext.isin(DATA_EXTENSIONS))
               .withColumn("rel", rel)
               .withColumn("nested", F.col("rel").contains("/"))
               .withColumn("priority", prio[ext]))
     return ranked.orderBy("nested", "priority", "rel").limit(1)
 
-
-def _re_escape(s: str) -> str:
-    import re
-
-    return re.escape(s)

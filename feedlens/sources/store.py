@@ -4,25 +4,29 @@ Layout under one root folder (any Hadoop file system):
 
     signals/dataset_id=N/*.parquet    the fact table, one partition per dataset
     datasets/id=N/*.parquet           the registry, one row per dataset
-    sequence/id=N/                    allocated ids (never deleted: ids are not reused)
-
-Publishing writes the signal partition first and the registry row second;
-deleting removes the registry row first and the partition second.  A crash
-between the two steps leaves orphan signals, which :meth:`SignalStore.reconcile`
-registers (R4), never a registry row pointing at missing data.  One writer at
-a time is assumed (the reference serialises writers with a database lock).
+    allocations/*.parquet             ids given to staged files, by (path, time)
+    rejected/*.parquet                files that could not be imported, and why
+    sequence                          the highest id given so far (ids are not reused)
+
+Publishing writes the signal partition first and the registry row second, and
+only registered datasets are visible in :meth:`SignalStore.signals`.  A crash
+between the two leaves an invisible partition: a replayed staged import
+overwrites it under the same id, and :meth:`SignalStore.reconcile` registers
+what nobody replays (R4).  Deleting removes the registry row first.  One writer
+at a time is assumed (the reference serialises writers with a database lock).
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.operators.clean import conform_shaped, transform_and_clean
+from feedlens.operators.clean import conform_shaped, transform_and_clean, unfit_values
 from feedlens.schema import (
-    DATASETS_SCHEMA, ORPHAN_DATASET_NAME, RECOVERED_DATASET_NAME, SIGNALS_SCHEMA,
+    ALLOCATIONS_SCHEMA, DATASETS_SCHEMA, ORPHAN_DATASET_NAME, RECOVERED_DATASET_NAME, REJECTED_SCHEMA,
+    SIGNALS_SCHEMA,
 )
 from feedlens.sources import readers
 
@@ -36,6 +40,8 @@ class SignalStore:
         self.signals_path = f"{self.root}/signals"
         self.datasets_path = f"{self.root}/datasets"
         self.sequence_path = f"{self.root}/sequence"
+        self.allocations_path = f"{self.root}/allocations"
+        self.rejected_path = f"{self.root}/rejected"
 
     # -- file system helpers (Hadoop FS through the session) --------------
     def _fs_path(self, path: str):
@@ -60,18 +66,31 @@ class SignalStore:
                    for s in fs.listStatus(p))
 
     # -- reads --------------------------------------------------------------
-    def signals(self) -> DataFrame:
-        """The fact table (empty with the fixed schema when nothing is loaded)."""
+    def signals(self, include_unpublished: bool = False) -> DataFrame:
+        """The fact table of the registered datasets (empty with the fixed schema when nothing is loaded).
+
+        ``include_unpublished`` shows rows without a registered dataset too.
+        The registry side of the join is small and prunes partitions.
+        """
         if not self._has_data(self.signals_path):
             return self.spark.createDataFrame([], SIGNALS_SCHEMA)
-        return (self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path)
+        rows = (self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path)
                 .select(*SIGNALS_SCHEMA.fieldNames()))
+        if include_unpublished:
+            return rows
+        return rows.join(self.registry().select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
 
     def registry(self) -> DataFrame:
-        if not self._has_data(self.datasets_path):
-            return self.spark.createDataFrame([], DATASETS_SCHEMA)
-        return (self.spark.read.schema(DATASETS_SCHEMA).parquet(self.datasets_path)
-                .select(*DATASETS_SCHEMA.fieldNames()))
+        return self._table(self.datasets_path, DATASETS_SCHEMA)
+
+    def rejected(self) -> DataFrame:
+        """Files that a staged import could not load: path, time and reason."""
+        return self._table(self.rejected_path, REJECTED_SCHEMA)
+
+    def _table(self, path: str, schema) -> DataFrame:
+        if not self._has_data(path):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
     def datasets(self) -> DataFrame:
         """Registry rows, newest first (id breaks ties)."""
@@ -85,81 +104,147 @@ class SignalStore:
             F.coalesce(F.sum("row_count"), F.lit(0)).cast("bigint").alias("rows"))
 
     # -- ids ------------------------------------------------------------------
-    def _next_id(self) -> int:
-        """Autoincrement: one above every id ever allocated or registered."""
-        highs = []
-        for path in (self.sequence_path, self.datasets_path):
+    def _highest_id(self) -> int:
+        """The content of the sequence file; without one, the highest id in use."""
+        fs, p = self._fs_path(self.sequence_path)
+        if fs.exists(p):
+            return int(self.spark.read.text(self.sequence_path).first()[0])
+        high = 0
+        for path, part in ((self.datasets_path, "id="), (self.signals_path, "dataset_id=")):
             if self._has_data(path):
-                df = self.spark.read.parquet(path)
-                highs.append(df.agg(F.max("id")).first()[0])
-        return max([h for h in highs if h is not None] + [0]) + 1
-
-    def _allocate(self, id_: int) -> None:
-        (self.spark.range(1).select(F.lit(id_).cast("bigint").alias("id"),
-                                    F.current_timestamp().alias("allocated_at"))
-         .write.mode("append").partitionBy("id").parquet(self.sequence_path))
-
-    def _register(self, id_: int, name: str, row_count: int,
-                  source_path: str | None = None, source_mtime=None) -> None:
-        row = self.spark.range(1).select(
-            F.lit(id_).cast("bigint").alias("id"),
-            F.lit(name).cast("string").alias("name"),
-            F.current_timestamp().alias("loaded_at"),
-            F.lit(row_count).cast("bigint").alias("row_count"),
-            F.lit(source_path).cast("string").alias("source_path"),
-            F.lit(source_mtime).cast("timestamp").alias("source_mtime"),
-        )
-        row.write.mode("append").partitionBy("id").parquet(self.datasets_path)
+                folder, at = self._fs_path(path)
+                names = [x.getPath().getName() for x in folder.listStatus(at)]
+                high = max([high, *(int(n[len(part):]) for n in names if n[len(part):].isdigit())])
+        return high
+
+    def allocate(self, n: int = 1) -> list[int]:
+        """``n`` ids above every id ever given; remembered before they are used."""
+        if n == 0:
+            return []
+        last = self._highest_id()
+        self._remember(last + n)
+        return list(range(last + 1, last + n + 1))
+
+    def _remember(self, last: int) -> None:
+        fs, p = self._fs_path(self.sequence_path)
+        staged = p.suffix("-next")
+        out = fs.create(staged, True)
+        out.write(f"{last}\n".encode())
+        out.close()
+        if fs.exists(p):
+            fs.delete(p, False)
+        fs.rename(staged, p)
+
+    def bind(self, files: list[tuple]) -> list[int]:
+        """An id for each staged (path, time): the one it already has, else a new one.
+
+        The binding is written before any data, so a replay after a crash
+        finds it and overwrites what the first attempt left.
+        """
+        if not files:
+            return []
+        asked = self.spark.createDataFrame(files, "source_path string, source_mtime timestamp")
+        known = {(r["source_path"], r["source_mtime"]): r["id"]
+                 for r in self._table(self.allocations_path, ALLOCATIONS_SCHEMA)
+                 .join(asked, ["source_path", "source_mtime"]).groupBy("source_path", "source_mtime")
+                 .agg(F.max("id").alias("id")).collect()}
+        new = [f for f in files if f not in known]
+        fresh = dict(zip(new, self.allocate(len(new))))
+        if fresh:
+            (self.spark.createDataFrame([(i, *f) for f, i in fresh.items()], ALLOCATIONS_SCHEMA)
+             .coalesce(1).write.mode("append").parquet(self.allocations_path))
+        return [known.get(f) or fresh[f] for f in files]
+
+    def register(self, rows: list[tuple]) -> None:
+        """Publishes datasets: (id, name, row_count, source path or None, its time or None) each, in one write."""
+        if rows:
+            self._register(self.spark.createDataFrame(
+                rows, "id bigint, name string, row_count bigint, source_path string, source_mtime timestamp"))
+
+    def _register(self, rows: DataFrame) -> None:
+        (rows.withColumn("loaded_at", F.current_timestamp()).select(*DATASETS_SCHEMA.fieldNames())
+         .write.mode("append").partitionBy("id").parquet(self.datasets_path))
+
+    def reject(self, rows: list[tuple]) -> None:
+        """Records (path, time, reason) of files that were not, or not wholly, imported."""
+        if rows:
+            (self.spark.createDataFrame(rows, REJECTED_SCHEMA).coalesce(1)
+             .write.mode("append").parquet(self.rejected_path))
 
     # -- writes ---------------------------------------------------------------
     # Columns the written rows are sorted by inside each task: the filters used
     # most (period, channel) then skip Parquet row groups by their min/max.
     CLUSTER_BY = ("year", "source")
 
-    def load(self, clean: DataFrame, name: str, source_path: str | None = None,
-             source_mtime=None) -> int:
-        """S6 + S10: append a cleaned frame as a new dataset; returns its id.
+    def write_partition(self, clean: DataFrame, dataset_id: int) -> int:
+        """Writes a dataset's rows, replacing what an earlier attempt left; returns their number.
 
-        Never deduplicates.  The signal partition is written by the tasks
-        that produced the rows (no repartition by dataset id, which would
-        funnel a whole dataset through one task), each sorting its rows by
-        ``CLUSTER_BY`` so Parquet statistics prune row groups; the row count
-        is read back from that partition only.
+        The tasks that make the rows write them (no repartition by dataset id,
+        which would send a dataset through one task), sorted within each task
+        by ``CLUSTER_BY`` so that Parquet statistics skip row groups.  The rows
+        are counted as they are written.
         """
-        id_ = self._next_id()
-        self._allocate(id_)
-        (clean.select(F.lit(id_).cast("bigint").alias("dataset_id"), *clean.columns)
+        count = Observation()
+        (clean.observe(count, F.count(F.lit(1)).alias("n"))
          .sortWithinPartitions(*self.CLUSTER_BY)  # per task: no shuffle
-         .write.mode("append").partitionBy("dataset_id").parquet(self.signals_path))
-        written = (self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path)
-                   .where(F.col("dataset_id") == id_).count())
-        self._register(id_, name, written, source_path, source_mtime)
-        return id_
+         .write.mode("overwrite").parquet(f"{self.signals_path}/dataset_id={int(dataset_id)}"))
+        return int(count.get["n"])
 
-    def ingest(self, path: str, name: str | None = None, source_mtime=None) -> int:
-        """Load one file (or a folder: S5 picks the file) end to end.
+    def load(self, clean: DataFrame, name: str, source_path: str | None = None,
+             source_mtime=None) -> int:
+        """Append a cleaned frame as a new dataset; returns its id.  Never deduplicates."""
+        id_ = self.allocate()[0]
+        self.register([(id_, name, self.write_partition(clean, id_), source_path, source_mtime)])
+        return id_
 
-        The default name is the file stem.  An empty source is an error; a
-        file whose rows are all dropped by cleaning still registers 0 rows.
-        """
+    def prepare(self, path: str, multi_line: bool | None = None) -> tuple[str, str, DataFrame]:
+        """(file, stem, raw frame) of a file, or of the best file of a folder (S5); an empty one is an error."""
         target = path
         if not readers.extension(path):
             best = readers.pick_best_file(readers.list_files(self.spark, path), path).first()
             if best is None:
                 raise FileNotFoundError(f"no data file (.csv, .parquet, .json, .jsonl) in {path}")
             target = best["path"]
-        stem = os.path.splitext(os.path.basename(target.rstrip("/")))[0]
-        raw = readers.route_to_reader(self.spark, target)
+        raw = readers.route_to_reader(self.spark, target, multi_line)
         if raw.isEmpty():
             raise ValueError(f"the file {os.path.basename(target)!r} is empty")
-        return self.load(transform_and_clean(raw), name or stem, source_path=target,
-                         source_mtime=source_mtime)
+        return target, os.path.splitext(os.path.basename(target.rstrip("/")))[0], raw
+
+    def write_raw(self, raw: DataFrame, dataset_id: int) -> tuple[int, int]:
+        """Cleans and writes a raw frame: (rows written, records that did not parse)."""
+        if readers.MALFORMED not in raw.columns:
+            return self.write_partition(transform_and_clean(raw), dataset_id), 0
+        seen = Observation()
+        raw = raw.observe(seen, F.count_if(F.col(readers.MALFORMED).isNotNull()).alias("bad"))
+        return self.write_partition(transform_and_clean(raw), dataset_id), int(seen.get["bad"])
+
+    def ingest(self, path: str, name: str | None = None, source_mtime=None,
+               multi_line: bool | None = None) -> int:
+        """Load one file (or a folder: S5 picks the file) end to end.
+
+        The default name is the file stem.  An empty source is an error; a
+        file whose rows are all dropped by cleaning still registers 0 rows.
+        Records that do not parse are reported in :meth:`rejected`.
+        """
+        target, stem, raw = self.prepare(path, multi_line)
+        id_ = self.allocate()[0]
+        n, bad = self.write_raw(raw, id_)
+        self.register([(id_, name or stem, n, target, source_mtime)])
+        if bad:
+            self.reject([(target, source_mtime, f"{bad} malformed records")])
+        return id_
 
     def append_table(self, df: DataFrame, name: str) -> int:
-        """Append an already-shaped signal table without cleaning; 0 rows -> error."""
+        """Append an already-shaped signal table without cleaning.
+
+        Without rows, or with values that the schema cannot hold, it is an error.
+        """
         shaped = conform_shaped(df)
         if shaped.isEmpty():
             raise ValueError("the table has no rows")
+        unfit = {c: n for c, n in unfit_values(df).first().asDict().items() if n}
+        if unfit:
+            raise ValueError(f"values that the schema cannot hold, by column: {unfit}")
         return self.load(shaped, name)
 
     def delete(self, dataset_id: int) -> None:
@@ -175,39 +260,31 @@ class SignalStore:
     def reconcile(self) -> DataFrame:
         """Register what the registry misses; idempotent.
 
-        (a) rows with a NULL dataset id move to one new "recovered" dataset;
-        (b) every dataset id present in the signals but not in the registry
-        gets a registry row with its row count (a distributed group-by and
-        anti join).  Registry rows without signals are left alone.
-        Returns the registry rows added.
+        (a) rows with a NULL dataset id move to one new "recovered" dataset: their
+        folder is renamed, so that a crash loses and doubles nothing; (b) every
+        other dataset id present in the signals but not in the registry gets a
+        registry row with its row count (a group-by and an anti join).  Registry
+        rows without signals are left alone.  Returns the registry rows added.
         """
-        added = []
+        before = self.registry().select("id")
         null_part = f"{self.signals_path}/dataset_id={_NULL_PARTITION}"
         if self._has_data(null_part):
-            nulls = self.spark.read.parquet(null_part)
-            n = nulls.count()
-            if n:
-                id_ = self._next_id()
-                self._allocate(id_)
-                staged = f"{self.root}/_staging_recovered_{id_}"
-                nulls.write.mode("overwrite").parquet(staged)
-                (self.spark.read.parquet(staged)
-                 .select(F.lit(id_).cast("bigint").alias("dataset_id"), "*")
-                 .write.mode("append").partitionBy("dataset_id").parquet(self.signals_path))
-                self._delete(null_part)
-                self._delete(staged)
-                self._register(id_, RECOVERED_DATASET_NAME, n)
-                added.append(id_)
-        orphans = (self.signals().where(F.col("dataset_id").isNotNull())
-                   .groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
-                   .join(self.registry().select(F.col("id").alias("dataset_id")),
-                         "dataset_id", "left_anti"))
-        # one row per orphan dataset id: bounded by the number of datasets
-        for r in orphans.orderBy("dataset_id").collect():
-            self._register(r["dataset_id"], ORPHAN_DATASET_NAME.format(id=r["dataset_id"]), r["n"])
-            added.append(r["dataset_id"])
-        reg = self.registry()
-        return reg.where(F.col("id").isin(added)) if added else reg.limit(0)
+            id_ = self.allocate()[0]
+            fs, source = self._fs_path(null_part)
+            fs.rename(source, self._fs_path(f"{self.signals_path}/dataset_id={id_}")[1])
+            n = self.signals(include_unpublished=True).where(F.col("dataset_id") == id_).count()
+            self.register([(id_, RECOVERED_DATASET_NAME, n, None, None)])
+        known = self.registry()
+        missing = (self.signals(include_unpublished=True).where(F.col("dataset_id").isNotNull())
+                   .groupBy(F.col("dataset_id").alias("id")).agg(F.count(F.lit(1)).alias("row_count"))
+                   .join(known.select("id"), "id", "left_anti"))
+        if not missing.isEmpty():
+            prefix, suffix = ORPHAN_DATASET_NAME.split("{id}")
+            self._register(missing.select(
+                "id", F.concat(F.lit(prefix), F.col("id").cast("string"), F.lit(suffix)).alias("name"), "row_count",
+                F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("timestamp").alias("source_mtime")))
+            self._remember(max(self._highest_id(), self.registry().agg(F.max("id")).first()[0]))
+        return self.registry().join(before, "id", "left_anti")
 
     # -- discovery ----------------------------------------------------------
     def scan_available(self, staging_dir: str) -> DataFrame:

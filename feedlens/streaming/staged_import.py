@@ -7,14 +7,19 @@ ingest (S7), one dataset per file, as the reference's import does.  A CSV
 stream with a fixed schema is deliberately not used: Spark would bind columns
 by position and break header normalisation (C1) and missing columns (C2).
 
-``foreachBatch`` is at-least-once, so a file whose (path, modification
-time) is already in the registry is skipped: a replayed batch after an
-executor or driver loss does not load a file twice.  Cleaning is stateless;
-no watermark is needed.
+``foreachBatch`` is at-least-once.  Before any data is written, each file's
+(path, modification time) is bound to a dataset id in the store; a replayed
+batch skips what is registered or rejected and overwrites the rest under the
+same ids, so a file is never loaded twice, wherever the first attempt stopped.
+A file that cannot be imported is recorded in the store's rejected table with
+the reason; failures that are no fault of a file stop the batch, which is
+then run again.  Cleaning is stateless; no watermark is needed.
 """
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,38 +27,58 @@ from feedlens.schema import HIDDEN_PREFIXES
 from feedlens.session import checkpoint_dir
 from feedlens.sources.store import SignalStore
 
-DATA_GLOB = "*.{csv,CSV,parquet,PARQUET,json,JSON,jsonl,JSONL}"
+DATA_GLOB = "*.{[cC][sS][vV],[pP][aA][rR][qQ][uU][eE][tT],[jJ][sS][oO][nN],[jJ][sS][oO][nN][lL]}"
 # the fixed schema of Spark's binaryFile source
 LISTING_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+# Marks of Spark errors that speak of a file's content, header or name
+FILE_ERRORS = ("FAILED_READ_FILE", "CANNOT_READ_FILE", "Could not read footer", "is not a Parquet file",
+               "UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND", "COLUMN_ALREADY_EXISTS", "AMBIGUOUS_REFERENCE",
+               "DUPLICATED_MAP_KEY", "MALFORMED_RECORD", "MALFORMED_CSV")
 
 
-def _load_batch(store: SignalStore, batch: DataFrame, batch_id: int) -> None:
+def _file_error(e: Exception) -> bool:
+    """Whether an import failed because of the file, and would fail again."""
+    if isinstance(e, (PySparkException, Py4JJavaError)):
+        return any(mark in str(e) for mark in FILE_ERRORS)
+    return isinstance(e, (ValueError, FileNotFoundError))
+
+
+def _load_batch(store: SignalStore, batch: DataFrame, multi_line: bool | None = None) -> None:
+    key = ["source_path", "source_mtime"]
+    hidden = F.lit(False)
+    for prefix in HIDDEN_PREFIXES:
+        hidden = hidden | F.element_at(F.split("path", "/"), -1).startswith(prefix)
     # a micro-batch lists at most maxFilesPerTrigger new files: a bounded collect
-    files = batch.select("path", "modificationTime").orderBy("path").collect()
-    if not files:
-        return
-    seen = {(r["source_path"], r["source_mtime"])
-            for r in store.registry().select("source_path", "source_mtime").collect()}
-    for f in files:
-        name = f["path"].rstrip("/").rsplit("/", 1)[-1]
-        if name.startswith(HIDDEN_PREFIXES):
-            continue
-        if (f["path"], f["modificationTime"]) in seen:
-            continue
+    files = [tuple(r) for r in (
+        batch.where(~hidden).select(F.col("path").alias(key[0]), F.col("modificationTime").alias(key[1]))
+        .join(store.registry().select(*key), key, "left_anti")
+        .join(store.rejected().select(*key), key, "left_anti").orderBy(*key).collect())]
+    done, rejected = [], []
+    for (path, mtime), id_ in zip(files, store.bind(files)):
         try:
-            store.ingest(f["path"], source_mtime=f["modificationTime"])
-        except ValueError:
-            # empty or unsupported file: nothing to register (as the batch import)
+            _, stem, raw = store.prepare(path, multi_line)
+            n, bad = store.write_raw(raw, id_)
+        except Exception as e:
+            if not _file_error(e):
+                raise
+            rejected.append((path, mtime, str(e).splitlines()[0][:500]))
             continue
+        done.append((id_, stem, n, path, mtime))
+        if bad:
+            rejected.append((path, mtime, f"{bad} malformed records"))
+    store.register(done)
+    store.reject(rejected)
 
 
 def start_staged_import(spark: SparkSession, store: SignalStore, staging_dir: str,
                         checkpoint: str | None = None, available_now: bool = True,
-                        max_files_per_trigger: int = 100, processing_time: str = "10 seconds"):
+                        max_files_per_trigger: int = 100, processing_time: str = "10 seconds",
+                        multi_line: bool | None = None):
     """Start the import stream; returns the ``StreamingQuery``.
 
     ``available_now=True`` loads what is staged and stops; otherwise the
-    folder is polled every ``processing_time``.  The checkpoint defaults to a
+    folder is polled every ``processing_time``.  ``multi_line`` is as in
+    :func:`feedlens.sources.readers.read_csv`.  The checkpoint defaults to a
     folder under the session's shared checkpoint directory.
     """
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/staged-import"
@@ -64,7 +89,7 @@ def start_staged_import(spark: SparkSession, store: SignalStore, staging_dir: st
                .load(staging_dir)
                .select("path", "modificationTime", "length"))
     writer = (listing.writeStream
-              .foreachBatch(lambda df, bid: _load_batch(store, df, bid))
+              .foreachBatch(lambda df, _: _load_batch(store, df, multi_line))
               .option("checkpointLocation", ckpt))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -74,9 +99,9 @@ def start_staged_import(spark: SparkSession, store: SignalStore, staging_dir: st
 
 
 def import_staged(spark: SparkSession, store: SignalStore, staging_dir: str,
-                  checkpoint: str | None = None) -> None:
+                  checkpoint: str | None = None, multi_line: bool | None = None) -> None:
     """Run the stream once over everything staged and wait for it."""
-    q = start_staged_import(spark, store, staging_dir, checkpoint, available_now=True)
+    q = start_staged_import(spark, store, staging_dir, checkpoint, available_now=True, multi_line=multi_line)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))

@@ -48,3 +48,14 @@ def test_collect_runs_all_tables(sig):
         got = b.collect()
         assert set(got) == set(b)
         assert sorted(map(tuple, got["state_intensity"]), key=repr) == _rows(b["state_intensity"])
+
+
+@pytest.mark.parametrize("aggregate", ["retention_aggregate", "product_aggregate"])
+def test_text_is_lowered_once_and_scanned_once(spark, tmp_path, aggregate):
+    from feedlens.plans import fused
+
+    path = str(tmp_path / "signals")
+    signals_from_tables(spark, "/root/testdata/sf0.001").write.parquet(path)
+    plan = getattr(fused, aggregate)(spark.read.parquet(path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(coalesce(text") == 1
+    assert plan.count("Relation [") == 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions.rounding import numpy_round, pct_round
 from feedlens.functions.text import keyword_match
-from feedlens.operators.joins import broadcast_if_small
+from feedlens.operators.joins import broadcast_if_small, estimated_bytes
 from feedlens.schema import APP_ISSUE_TOPICS, COMPLAINT_TOPICS
 
 PATTERNS = [rx for _, rx in COMPLAINT_TOPICS + APP_ISSUE_TOPICS]
@@ -45,14 +45,21 @@ def test_rounding_helpers(spark):
     assert got == [6.2, 12.5, 66.7, 0.0]  # exact half-even on the rational; 0.0 when d = 0
 
 
-def test_broadcast_if_small(spark):
-    small = spark.range(10)
-    big = spark.range(100)
+def test_broadcast_if_small(spark, tmp_path):
+    for name, n in (("small", 10), ("big", 200_000)):
+        spark.range(n).write.parquet(str(tmp_path / name))
+    small, big = (spark.read.parquet(str(tmp_path / n)) for n in ("small", "big"))
+    limit = (estimated_bytes(small) + estimated_bytes(big)) // 2
     fact = spark.range(1000).withColumnRenamed("id", "k")
-    p1 = fact.join(broadcast_if_small(small, max_rows=50), fact.k == small.id)
-    p2 = fact.join(broadcast_if_small(big, max_rows=50), fact.k == big.id)
-    assert "BuildRight" in p1._jdf.queryExecution().executedPlan().toString() or p1.count() == 10
-    assert p1.count() == 10 and p2.count() == 100
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [fact.join(broadcast_if_small(d, limit), fact.k == d.id) for d in (small, big)]
+        text = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in text[0] and "BroadcastHashJoin" not in text[1]
+    assert [p.count() for p in plans] == [10, 1000]
 
 
 def test_nps_segments_add_up(spark):

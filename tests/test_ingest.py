@@ -16,7 +16,7 @@ DIRTY_CSV = (
     ' Date ,SOURCE,company,product_service,sentiment_score,sentiment_label,customer_action,'
     'text,year,month,rating,extra\n'
     '2020-01-05, Reddit ,\tAcme ,Card,0.5,positive,advocating,"multi\nline ""quoted""",'
-    '2020.0,,4.5,x\n'
+    '2019.0,,4.5,x\n'
     '2020/02/07,CFPB,Beta,Loan,abc,negative,complaining,plain,2019,,,y\n'
     '07-03-2020,AppStore,Gamma,App,NaN,negative,venting,,,,,z\n'
     'not a date,Reddit,Acme,Card,,neutral,discussing,t,,,,w\n'
@@ -45,7 +45,7 @@ def test_dirty_csv_cleaning(spark, tmpdir_run):
     r0 = rows[0]
     assert r0.date == dt.date(2020, 1, 5)
     assert r0.source == "Reddit" and r0.company == "Acme"  # C5: tab and no-break space stripped
-    assert r0.year == 2020 and r0.month == 1  # '2020.0' -> NULL -> backfilled from date (trap)
+    assert r0.year == 2019 and r0.month == 1  # an explicit '2019.0' wins over the date
     assert r0.text == 'multi\nline "quoted"'
     assert r0.country == "Unknown" and r0.rating == 4.5
     r1 = rows[1]
@@ -115,6 +115,112 @@ def test_empty_file_rejected_but_all_dropped_registers_zero(spark, tmpdir_run):
     assert store.datasets().where(F.col("id") == i).first().row_count == 0
 
 
+def test_staged_import_is_replayed_without_doubling(spark, tmpdir_run, monkeypatch):
+    """A crash between the data write and the registry write, then the same batch again."""
+    staging, ckpt = os.path.join(tmpdir_run, "staging"), os.path.join(tmpdir_run, "ckpt")
+    os.makedirs(staging)
+    _write(os.path.join(staging, "s.csv"), "date,source\n2020-01-01,Reddit\n2020-01-02,CFPB\n")
+    store = SignalStore(spark, os.path.join(tmpdir_run, "store"))
+
+    def crash(self, rows):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(SignalStore, "register", crash)
+        with pytest.raises(Exception):
+            import_staged(spark, store, staging, checkpoint=ckpt)
+    assert store.signals().count() == 0  # written, not published
+    assert store.signals(include_unpublished=True).count() == 2
+    import_staged(spark, store, staging, checkpoint=ckpt)
+    assert store.signals(include_unpublished=True).count() == store.signals().count() == 2
+    assert [(r.id, r.row_count) for r in store.datasets().collect()] == [(1, 2)]
+    assert store.reconcile().count() == 0
+
+
+def test_names_and_rejections(spark, tmpdir_run):
+    staging = os.path.join(tmpdir_run, "staging")
+    os.makedirs(staging)
+    good = "date,source\n2020-01-01,Reddit\n"
+    for name, text in {"Mixed.Csv": good, "a[1].csv": good, "b{x}.csv": good, "collide.csv": "date,Source, source\n2020-01-01,a,b\n",
+                       "torn.parquet": "PAR1", "empty.csv": "date\n", "__hidden.csv": good,
+                       "half.json": '{"date": "2020-01-01"}\n{"date"\n'}.items():
+        _write(os.path.join(staging, name), text)
+    store = SignalStore(spark, os.path.join(tmpdir_run, "store"))
+    ckpt = os.path.join(tmpdir_run, "ckpt")
+    import_staged(spark, store, staging, checkpoint=ckpt)
+    assert sorted(r.name for r in store.datasets().collect()) == ["Mixed", "a[1]", "b{x}", "half"]
+    reasons = {r.source_path.rsplit("/", 1)[-1]: r.reason for r in store.rejected().collect()}
+    assert sorted(reasons) == ["collide.csv", "empty.csv", "half.json", "torn.parquet"]
+    assert reasons["half.json"] == "1 malformed records" and "collide" in reasons["collide.csv"]
+    import_staged(spark, store, staging, checkpoint=ckpt)
+    assert store.rejected().count() == 4 and store.datasets().count() == 4
+
+
+def test_json_documents_lose_no_record(spark, tmpdir_run):
+    records = [{"date": f"2020-01-{d:02d}", "source": "CFPB", " Company ": {"a": 1}} for d in range(1, 10)]
+    one = ",\n".join(json.dumps(r) for r in records)
+    for i, text in enumerate((f"[{one}]", f"[{one}\n]", f"\n \n[\n{one}\n]\n", json.dumps(records),
+                              json.dumps(records, indent=1), "\n\n".join(json.dumps(r) for r in records))):
+        df = transform_and_clean(readers.read_json(spark, _write(os.path.join(tmpdir_run, f"{i}.json"), text)))
+        assert df.count() == 9, text[:40]
+        assert {r.company for r in df.collect()} == {'{"a":1}'}
+    single = _write(os.path.join(tmpdir_run, "single.json"), json.dumps(records[0], indent=2))
+    assert transform_and_clean(readers.read_json(spark, single)).count() == 1
+    assert readers.read_json(spark, _write(os.path.join(tmpdir_run, "none.json"), " \n")).count() == 0
+
+
+def test_large_csv_is_read_in_splits(spark, tmpdir_run):
+    path = _write(os.path.join(tmpdir_run, "large.csv"), "date,source,text\n" + "2020-01-01,CFPB,plain\n" * 200_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert readers.read_csv(spark, path).rdd.getNumPartitions() > 1
+        quoted = _write(os.path.join(tmpdir_run, "quoted.csv"), 'date,text\n2020-01-01,"a\nb"\n')
+        assert readers.has_quoted_newlines(spark, quoted)
+        assert [r.text for r in readers.read_csv(spark, quoted).collect()] == ["a\nb"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("text", ["2020", "2020-05", "5", "12:30"])
+def test_partial_dates_are_no_dates(spark, text):
+    df = spark.createDataFrame([(text, "CFPB")], "date string, source string")
+    assert transform_and_clean(df).count() == 0
+
+
+def test_append_table_rejects_values_the_schema_cannot_hold(spark, tmpdir_run):
+    from feedlens.plans.testbed import signals_from_tables
+
+    store = SignalStore(spark, os.path.join(tmpdir_run, "store"))
+    sig = signals_from_tables(spark, "/root/testdata/sf0.001").drop("dataset_id")
+    with pytest.raises(ValueError, match="rating"):
+        store.append_table(sig.withColumn("rating", F.lit("many")), "x")
+    assert store.datasets().count() == 0
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder(monkeypatch):
+    from feedlens import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
+
+
 def test_append_table_requires_all_columns(spark, tmpdir_run):
     store = SignalStore(spark, os.path.join(tmpdir_run, "store"))
     with pytest.raises(ValueError):
