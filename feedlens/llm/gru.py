@@ -20,8 +20,8 @@ import numpy as np
 HIDDEN = 16
 CLASS_SIZE = 64
 STEPS = 32       # steps of a window
-LANES = 128      # of scoring
-TRAIN_LANES = 64
+LANES = 256      # of scoring
+TRAIN_LANES = 128
 RATE = 0.15
 CLIP = 5.0
 _F = np.float32
@@ -69,6 +69,15 @@ def _sigmoid(x):
     return _F(0.5) * np.tanh(_F(0.5) * x) + _F(0.5)
 
 
+def _exp(h, weights, bias):
+    """Logits, their exponentials and the sums of these; biases are log counts, so sums are far from 0."""
+    logits = h @ weights
+    logits += bias
+    np.minimum(logits, 60, out=logits)
+    e = np.exp(logits)
+    return logits, e, e @ np.ones(e.shape[1], e.dtype)
+
+
 class Model:
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
@@ -110,10 +119,7 @@ class Model:
         """Natural log probability of each target given its state, and the gradient by the state."""
         p = self.p
         rows, kind = np.arange(len(targets)), self._class_of(targets)
-        logits = h @ p["classes"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        logits, e, total = _exp(h, p["classes"], p["class_bias"])
         out = logits[rows, kind] - np.log(total)
         dh = None
         if grads is not None:
@@ -128,10 +134,7 @@ class Model:
         for c in np.flatnonzero(np.diff(cuts)):
             at, block = order[cuts[c]:cuts[c + 1]], slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
             own, w = h[at], p["words"][block]
-            logits = own @ w.T + p["word_bias"][block]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(axis=1)
+            logits, e, total = _exp(own, w.T, p["word_bias"][block])
             place, some = targets[at] - c * CLASS_SIZE, np.arange(len(at))
             out[at] += logits[some, place] - np.log(total)
             if grads is not None:
@@ -168,20 +171,28 @@ class Model:
             states = self.run(given, keep, h[:given.shape[1]], trace)
             h = states[-1]
             real = targets >= 0
-            grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+            grads = {k: np.zeros_like(v) for k, v in self.p.items() if k != "inputs"}
             _, dh = self.log_probs(states[real], targets[real], grads)
             dstates = np.zeros_like(states)
             dstates[real] = dh
-            self._backward(given, keep, trace, dstates, grads)
+            used, rows = self._backward(given, keep, trace, dstates, grads)
             scale = _F(1.0 / (STEPS * tokens.shape[1]))  # windows that few lanes reach weigh less
-            size = np.sqrt(sum(float((g * scale * g * scale).sum()) for g in grads.values()))
+            size = float(scale) * np.sqrt(sum(float(np.vdot(g, g)) for g in [rows, *grads.values()]))
             scale *= _F(min(1.0, CLIP / max(size, 1e-9)))
             for k, g in grads.items():
-                g *= scale
-                squares[k] += g * g
-                self.p[k] -= _F(RATE) * g / (np.sqrt(squares[k]) + _F(1e-6))
-
-    def _backward(self, given, keep, trace, dstates, grads) -> None:
+                self._step(self.p[k], squares[k], g * scale)
+            # of the input table, only the rows of tokens that occurred
+            part, sums = self.p["inputs"][used], squares["inputs"][used]
+            self._step(part, sums, rows * scale)
+            self.p["inputs"][used], squares["inputs"][used] = part, sums
+
+    @staticmethod
+    def _step(values, squares, g) -> None:
+        squares += g * g
+        values -= _F(RATE) * g / (np.sqrt(squares) + _F(1e-6))
+
+    def _backward(self, given, keep, trace, dstates, grads) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the gradient of the state weights; returns that of the input table by token id."""
         u, k = self.p["state"], HIDDEN
         dx = np.empty((*given.shape, 3 * k), _F)
         carry = np.zeros_like(dstates[0])
@@ -198,7 +209,7 @@ class Model:
         flat, rows = given.reshape(-1), dx.reshape(-1, 3 * k)
         order = np.argsort(flat, kind="stable")
         ids, first = np.unique(flat[order], return_index=True)
-        grads["inputs"][ids] += np.add.reduceat(rows[order], first, axis=0)
+        return ids, np.add.reduceat(rows[order], first, axis=0)
 
 
 def flat(params: dict[str, np.ndarray]) -> np.ndarray:
