@@ -2,12 +2,15 @@
 
 Features of a text: densities of a lexicon, how near its hits are to words of
 the second person, shares of capitals, shouting and punctuation, rates of
-obfuscated words, and length.  The lexicon is learned from all labelled
-training rows: words, and word beginnings of 4 to 6 bytes, that texts labelled
-toxic have in many different contexts and others hardly ever.  (Contexts, so
-that the rare words of one much-copied text do not qualify.)  The trees are
-fitted on a bounded sample, ``MAX_FIT_ROWS`` labelled training rows in the
-order of a hash of doc_id; a fifth of the sample calibrates.
+obfuscated words, and length.  The model is fitted on a bounded sample:
+``MAX_FIT_ROWS`` labelled training rows, the first in the order of a hash of
+doc_id.  Its lexicon holds words, and word beginnings of 4 to 6 bytes, that the
+sample's texts labelled toxic have in many different contexts and others hardly
+ever.  (Contexts, so that the rare words of one much-copied text do not
+qualify.)  A fifth of the sample calibrates the trees.
+
+The sample's labels are broadcast (at most ``MAX_FIT_ROWS`` rows), so that no
+text is shuffled; scoring is one pass over all documents.
 
 Rows whose crc32(doc_id as text) mod 5 is 0 are held out of lexicon, trees and
 calibration.  Labels, lang, source and doc_id are no inputs of a score.
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import crc_fold, longs, map_arrow
+from .tables import crc_fold, longs, map_arrow, written
 from .trees import BoostedTrees, Isotonic
 
 MAX_FIT_ROWS = 20_000
@@ -69,11 +72,13 @@ def _entries(w: W.Words) -> np.ndarray:
     return np.stack(cols, axis=1)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled training rows."""
-    known = (labels.where("toxic is not null").where(crc_fold("doc_id") != 0)
-             .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(text, toxic) of the labelled training rows that the model is fitted on."""
+    chosen = written(
+        labels.where("toxic is not null and doc_id is not null").where(crc_fold("doc_id") != 0)
+        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "labels")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def _candidates(train: DataFrame) -> DataFrame:
@@ -216,9 +221,9 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
-    """Lexicon over all labelled training rows; trees on the ``max_rows`` first by hash of doc_id."""
-    spark = docs.sparkSession
-    lexicon = learn_lexicon(_labelled(docs, labels))
+    """Lexicon, trees and calibration from the ``max_rows`` first labelled training rows by hash of doc_id."""
+    spark, sample = docs.sparkSession, _sample(docs, labels, max_rows)
+    lexicon = learn_lexicon(sample)
     shared, second = spark.sparkContext.broadcast(lexicon), _second_person()
 
     def emit(batch):
@@ -227,8 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Mod
             yield {"toxic": toxic.slice(first, n), "x": W.list_column(
                 x.reshape(-1), np.arange(n + 1) * x.shape[1], pa.float64())}
 
-    chosen = labels.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = map_arrow(_labelled(docs, chosen), emit, "toxic int, x array<double>").toArrow()
+    rows = map_arrow(sample, emit, "toxic int, x array<double>").toArrow()
     y = rows["toxic"].to_numpy().astype(float) > 0
     if len(y) == 0 or y.all() or not y.any():
         return Model(float(y.mean()) if len(y) else 0.0)
