@@ -47,7 +47,7 @@ def repeat_words(w: W.Words, h: np.ndarray, k: int = 3) -> np.ndarray:
     """Words per document that lie in a k-word window found twice or more in it."""
     whole = np.flatnonzero(w.left() >= k)
     values, docs = W.windows(h, k)[whole], w.doc_of_word()[whole]
-    order = np.lexsort((values, docs))
+    order = W.order_within(values, docs)
     v, d = values[order], docs[order]
     same = (v[1:] == v[:-1]) & (d[1:] == d[:-1])
     twice = np.zeros(len(v), bool)

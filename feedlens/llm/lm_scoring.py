@@ -223,7 +223,7 @@ def _document_scores(docs: DataFrame, v: Vocabulary, params: dict[str, np.ndarra
             network -= np.bincount(owner[rest], weights=norm[word_ids[rest] - v.n_head], minlength=n)
             network += np.bincount(owner[rest], weights=logs[rest], minlength=n)
             tail, d = h[~known], owner[~known]
-            order = np.lexsort((tail, d))
+            order = W.order_within(tail, d)
             tail, d = tail[order], d[order]
             fresh = np.ones(len(tail), bool)
             fresh[1:] = (tail[1:] != tail[:-1]) | (d[1:] != d[:-1])

@@ -178,12 +178,27 @@ def count_words(arr: pa.Array, table: np.ndarray = PLAIN) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def distinct_per_doc(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of each document: values sorted within documents, and their documents.
+def order_within(values: np.ndarray, groups: np.ndarray, used: int = 64) -> np.ndarray:
+    """The order by group, and by value within a group; ``used`` low bits of the values count.
 
-    ``docs`` ascends.
+    Sorts one 64-bit number a row, group above and the value's upper bits below
+    it, which is several times faster than a sort by two keys; that is used
+    where the upper bits of different values of a group are equal.
     """
-    order = np.lexsort((values, docs))
+    if len(values) < 2:
+        return np.arange(len(values))
+    bits = max(1, int(groups.max()).bit_length())
+    key = groups.astype(_U) << _U(64 - bits) | values << _U(64 - used) >> _U(bits)
+    order = np.argsort(key)
+    key, v = key[order], values[order]
+    if ((key[1:] == key[:-1]) & (v[1:] != v[:-1])).any():
+        return np.lexsort((values, groups))
+    return order
+
+
+def distinct_per_doc(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each document: values sorted within documents, and their documents."""
+    order = order_within(values, docs)
     v, d = values[order], docs[order]
     fresh = np.ones(len(v), bool)
     fresh[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
