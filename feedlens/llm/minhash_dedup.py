@@ -14,8 +14,8 @@ probability (1 - (1 - s**2)**LEFT) * (1 - (1 - s**3)**RIGHT): 0.9996 at 0.8,
 above 0.99999 at 0.9.
 
 Documents with equal sets are one node from the start.  In each table's
-bucket, the smallest node and one picked by hash are compared with every other
-(stars, linear in the bucket).  Only where a bucket still holds several groups
+bucket, the smallest node and the first in each of ``ORDERS`` hash orders are
+compared with every other (stars, linear in the bucket).  Only where a bucket still holds several groups
 after that, its nodes of different groups are compared pairwise.  Full sets are
 fetched for pairs that three tests allow: their sizes; the parity of their
 shingles on ``PARITY`` bits (sets differ in at least as many shingles as their
@@ -43,6 +43,7 @@ RIGHT, RIGHT_ROWS = 12, 3
 HASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS  # 52
 AGREE = 24
 PARITY = 512
+ORDERS = 3
 PACKED = (HASHES + 7) // 8  # minhashes, one byte each, in longs
 KEY_BITS = 25   # 4 MB broadcast, whatever the data
 NODE_BITS = 23  # 1 MB
@@ -223,9 +224,13 @@ def _possible(a: str, b: str, percent: int):
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of every node and two heads of each of its buckets: the smallest, and one picked by hash."""
-    heads = (members.groupBy("key").agg(F.min("node").alias("low"), F.min_by("node", F.xxhash64("node", "key")).alias("any"))
-             .select("key", F.explode(F.array_distinct(F.array("low", "any"))).alias("head")))
+    """Pairs (a, b) of every node and the heads of its buckets: the first in a few orders that all buckets share.
+
+    As the orders are shared, the many buckets of one large group have few different heads.
+    """
+    orders = [F.min("node"), *[F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(ORDERS)]]
+    heads = (members.groupBy("key").agg(*[o.alias(f"head{i}") for i, o in enumerate(orders)])
+             .select("key", F.explode(F.array_distinct(F.array(*[f"head{i}" for i in range(ORDERS + 1)]))).alias("head")))
     return (members.select("key", "node").join(heads, "key").where("node <> head")
             .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
 
