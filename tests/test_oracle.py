@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from feedlens.plans import catalog
 from oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-SQLS = E.oracle_sql()
+QUERIES = catalog.queries()
+SQLS = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(SQLS) == set(QUERIES)
+    assert set(QUERIES) <= set(E.queries()) and set(SQLS) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
