@@ -433,3 +433,27 @@ def test_line_dedup_near_lines(spark):
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert lines(docs) == sorted(brute.line_dedup(rows), key=str)
+
+
+def test_line_dedup_splits_a_large_key(spark, monkeypatch):
+    """One key with a third of all lines, whose earliest line most of the others do not match."""
+    from feedlens.llm import line_dedup as L
+
+    rng = random.Random(41)
+    head = "alpha beta " + " ".join(f"h{i}" for i in range(7))
+    texts = [head] + [f"alpha beta t1 t2 t3 t4 t5 t6 u{i}" for i in range(200)]
+    texts += [f"alpha beta s1 s2 s3 s4 s5 {rng.choice('xyz')}{i % 9} v{i}" for i in range(200)]
+    texts += [prose(9, rng).replace("\n", "") for _ in range(200)]
+    rows = list(enumerate(texts))
+    seen, blocks = [], L._blocks
+
+    def counted(*args):
+        sides = blocks(*args)
+        seen.extend(max((r["count"] for r in s.groupBy("key", "i", "j").count().collect()), default=0) for s in sides)
+        seen.append(args[0].agg(F.max("size")).first()[0])
+        return sides
+
+    monkeypatch.setattr(L, "BLOCK", 16)
+    monkeypatch.setattr(L, "_blocks", counted)
+    assert lines(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute.line_dedup(rows), key=str)
+    assert seen[2] > 150 and max(seen[:2]) <= 3 * 16
