@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 
 HIDDEN = 16
-CLASS_SIZE = 64
+CLASS_SIZE = 256
 STEPS = 32       # steps of a window
 LANES = 256      # of scoring
 TRAIN_LANES = 128

@@ -5,8 +5,9 @@ and one end.  Documents whose crc32(doc_id as text) mod 5 is ``HELD_FOLD`` are
 held out of everything learned.
 
 Counts: every training word is counted, in the whole corpus.  The ``HEAD`` most
-frequent tokens are the network's vocabulary, in classes by frequency.  All
-other words, seen or not, belong to one of ``REST`` classes by their spelling;
+frequent tokens that occur twice or more are the network's vocabulary, in
+classes by frequency.  All other words, seen or not, belong to one of ``REST``
+classes by their spelling (words seen once teach the network how often those occur);
 the network predicts the class, and the counts the word in it:
 (c + 0.5) / (N + 0.5 (V + 1)) over the class's training words, so that a text's
 probability never lacks a word.
@@ -41,7 +42,8 @@ from . import words as W
 from .tables import crc_fold, longs, map_arrow, written
 
 HELD_FOLD = 1
-HEAD = 2048
+HEAD = 32_768   # the end and the most frequent words, in classes of about the square root (gru.CLASS_SIZE)
+HEAD_TIMES = 2  # a word of the head occurs so often: words seen once train the rest classes for unseen ones
 REST = 8
 KNOWN = 262_144
 ROUNDS = 2
@@ -119,7 +121,7 @@ def vocabulary(counts: DataFrame, n_ends: int) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary and the counts of the head tokens."""
     top = counts.orderBy(F.desc("n"), "h").limit(KNOWN).toArrow()
     h, n, kind = top["h"].to_numpy().view(_U), top["n"].to_numpy(), top["kind"].to_numpy()
-    n_head_words = min(HEAD - 1, len(h))
+    n_head_words = min(HEAD - 1, int((n >= HEAD_TIMES).sum()))
     order, known = np.argsort(h[:n_head_words]), np.argsort(h)
     sums = {r["kind"]: r for r in counts.groupBy("kind").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).collect()}

@@ -158,6 +158,16 @@ def test_language_model(spark, awkward, empty, documents):
     assert score_documents(empty).count() == 0
 
 
+def test_language_model_vocabulary_covers_the_text(spark):
+    from feedlens.llm.lm_scoring import vocabulary, word_counts
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    v, head_counts = vocabulary(word_counts(docs).cache(), 1)
+    assert head_counts[1:].sum() > 0.8 * (v.total - v.n_ends)
+    rows = score_documents(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert rows[0] > rows[1]
+
+
 def test_language_model_probabilities_sum_to_one():
     from feedlens.llm import gru
 
