@@ -1,7 +1,8 @@
 """Quality rules: compression bands.
 
 The zstandard ratio (compressed over plain bytes) of a whole text, and of its
-fixed chunks, must lie in a band that depends on the length: below it, a text
+fixed chunks (the last one ends with the text, and may overlap the one before;
+shorter texts than a chunk have none), must lie in a band that depends on the length: below it, a text
 repeats itself; above it, it is noise, keys or encoded data.  Short texts
 compress badly by nature, so their bands are wider and the shortest have none.
 
@@ -33,7 +34,7 @@ CHUNK = 4096
 BANDS = ((256, 0.0, 9.0), (512, 0.50, 0.90), (1024, 0.46, 0.80), (2048, 0.43, 0.72), (4096, 0.41, 0.66),
          (8192, 0.39, 0.62), (16384, 0.375, 0.60), (131072, 0.36, 0.60), (1 << 62, 0.26, 0.60))
 CHUNK_BAND = (0.37, 0.62)
-MAX_BAD_CHUNKS = 0.25  # share of the full chunks that may lie outside CHUNK_BAND
+MAX_BAD_CHUNKS = 0.25  # share of the chunks that may lie outside CHUNK_BAND
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -80,9 +81,12 @@ def band_for(n_bytes: int, bands=BANDS) -> tuple[float, float]:
 
 
 def ratios(text: bytes, packer: zstandard.ZstdCompressor) -> tuple[float, np.ndarray]:
-    """The ratio of the whole text and of each full chunk."""
+    """The ratio of the whole text and of each chunk; every byte of a text of a chunk or more is in one."""
     whole = len(packer.compress(text)) / len(text) if text else 1.0
-    parts = [len(packer.compress(text[i:i + CHUNK])) / CHUNK for i in range(0, len(text) - CHUNK + 1, CHUNK)]
+    starts = list(range(0, len(text) - CHUNK + 1, CHUNK))
+    if starts and len(text) % CHUNK:
+        starts.append(len(text) - CHUNK)
+    parts = [len(packer.compress(text[i:i + CHUNK])) / CHUNK for i in starts]
     return whole, np.array(parts)
 
 

@@ -283,6 +283,19 @@ def test_quality_bands_reject_repetition_and_noise():
     assert not ok("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(6000)))
 
 
+def test_quality_verdict_does_not_depend_on_where_noise_stands(spark):
+    import base64
+
+    rng = random.Random(9)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea"]
+    plain = " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 5))) for _ in range(2000))[:8192]
+    noise = base64.encodebytes(rng.randbytes(4000)).decode()[:4095]
+    rows = [(1, plain), (2, noise + plain), (3, plain + noise), (4, plain[:4096] + noise)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.base_failed, r.n_chunks, r.n_bad_chunks > 0, r.kept) for r in compression_quality(docs).collect()}
+    assert got == {1: (False, 2, False, True), 2: (False, 3, True, False), 3: (False, 3, True, False), 4: (False, 2, True, False)}
+
+
 def test_quality_keeps_labelled_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
