@@ -293,12 +293,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
                      .join(info.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
                      .where(_possible("x", "y", percent)).select("a", "b"))
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        found = written(_confirmed(pairs, _full_sets(docs, asked, shingle), percent), "links")
-        links = found if links is None else links.union(found)
-        groups = components(links)
+        if not pairs.isEmpty():  # without a pair of stars, buckets still cross, each node its own group
+            asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+            found = written(_confirmed(pairs, _full_sets(docs, asked, shingle), percent), "links")
+            links = found if links is None else links.union(found)
+            groups = components(links)
         members = members.drop("group")
 
     node = F.coalesce("node", "doc_id")

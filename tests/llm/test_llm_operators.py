@@ -362,6 +362,17 @@ def test_near_duplicates_in_a_large_group(spark):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_near_duplicates_cross_without_stars(spark, monkeypatch):
+    from feedlens.llm import minhash_dedup as M
+
+    rows = [r for r in awkward_rows() if r[0] in (1, 2, 3, 7, 8, 15)]
+    stars = M._stars
+    monkeypatch.setattr(M, "_stars", lambda members: stars(members).limit(0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(docs).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicates(rows)
+
+
 # -- 8 ------------------------------------------------------------------------
 
 def test_difference_covers():
