@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .compression import compression_quality
 from .decontamination import decontaminate
+from .lexical_search import search
 from .line_dedup import dedup_lines
 from .lm_scoring import score_documents
 from .minhash_dedup import near_duplicates
 from .mixing import assign
+from .periodic_runs import periodic_runs
+from .secret_scan import listed, scan_secrets
 from .substring_dedup import dedup_substrings
-from .tables import table
+from .tables import id_text, table
 from .token_counts import count_tokens
 from .toxicity import toxicity
 from .url_filter import filter_urls
@@ -67,10 +70,54 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(kind):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return scan_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "random")],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document by crc32 of the id, the words from some place on repeat with a period."""
+    h = F.crc32(id_text("doc_id").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n = F.col("n").cast("long")
+    period = (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("long")
+    place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1),
+                        lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")))
+    repeated = F.array_join(F.transform(place, lambda i: F.get("words", i.cast("int"))), " ")
+    # the words are only made where they are needed: the condition stands before them
+    planted = (docs.select("doc_id", "text", h.alias("h"), g.cast("long").alias("g"))
+               .withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+               .withColumn("a", F.when(F.col("n") > 0, F.col("g") % n)).withColumn("p", period))
+    return planted.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strongest = F.aggregate(
+        "runs", F.get("runs", F.lit(0)),
+        lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (periodic_runs(with_planted_runs(table(spark, sf_dir, "documents"))).withColumn("best", strongest)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_token_counts, op2_url_filter, op3_lm_scoring, op4_decontamination, op5_quality_rules, op6_toxicity,
-        op7_minhash_dedup, op8_substring_dedup, op9_mixing, op10_line_dedup)}
+        op7_minhash_dedup, op8_substring_dedup, op9_mixing, op10_line_dedup, op11_secret_scan, op12_lexical_search,
+        op13_periodic_runs)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -189,7 +236,76 @@ FROM documents d LEFT JOIN (
   FROM decided GROUP BY doc_id) USING (doc_id)"""
 
 
+_SEARCH_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+q AS (
+  SELECT item_id, unnest(list_distinct(
+    regexp_extract_all(""" + _LOWER.format("coalesce(text, '')") + r""", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark),
+tf AS (
+  SELECT doc_id, n, term, count(*) AS tf
+  FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term),
+total AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+weight AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM tf, total GROUP BY term, docs),
+hit AS (
+  SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))) AS part
+  FROM tf JOIN weight USING (term), total),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM q JOIN hit USING (term) GROUP BY item_id, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 50"""
+
+
+# crc32 of the id bit by bit: a list of the bytes, each followed by eight steps (-1)
+_RUNS_SQL = r"""
+WITH c AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '""" + _SPACE + r"""') AS w, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+      string_split(CAST(coalesce(doc_id, 0) AS VARCHAR), ''),
+      lambda b: [CAST(ascii(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END)) AS h
+  FROM documents),
+p AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a,
+         1 + (len(w) - (h // 10) % greatest(len(w), 1)) // (3 + (h // 10) % 8) AS p
+  FROM c),
+x AS (
+  SELECT doc_id, n, i, w[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+-- pairs of equal words q apart, in unbroken rows of at least 3 q
+pair AS (
+  SELECT l.doc_id, l.i, r.i - l.i AS q FROM x l JOIN x r
+  ON l.doc_id = r.doc_id AND l.word = r.word AND r.i > l.i AND 4 * (r.i - l.i) <= l.n),
+island AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS length FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair)
+  GROUP BY doc_id, q, k HAVING count(*) >= greatest(6 - q, 3 * q)),
+-- a longer period of the same stretch is no smallest one
+run AS (SELECT doc_id, s, length, min(q) AS q FROM island GROUP BY doc_id, s, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM run),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS runs
+  FROM run GROUP BY doc_id),
+best AS (
+  SELECT * FROM run a WHERE NOT EXISTS (
+    SELECT 1 FROM run b WHERE a.doc_id = b.doc_id AND (b.length * a.q > a.length * b.q
+      OR (b.length * a.q = a.length * b.q AND (b.s, b.q) < (a.s, a.q)))))
+SELECT p.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+       CAST(q AS BIGINT) AS period, CAST(1000 * length // q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM p LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express; the tests hold the others against plain Python."""
     return {"op2_url_filter": _url_sql(), "op4_decontamination": _DECONTAMINATION_SQL,
-            "op8_substring_dedup": _SUBSTRING_SQL, "op10_line_dedup": _LINE_SQL}
+            "op8_substring_dedup": _SUBSTRING_SQL, "op10_line_dedup": _LINE_SQL,
+            "op12_lexical_search": _SEARCH_SQL, "op13_periodic_runs": _RUNS_SQL}

@@ -175,3 +175,69 @@ def line_dedup(rows, percent=80):
                 kept.append(line)
         out[i] = (d, n, gone, None if t is None else "\n".join(kept))
     return [out[i] for i in range(len(rows))]
+
+
+def runs(x):
+    """[(start, length, period)] of a word list: every period tried at every place."""
+    out = {}
+    for q in range(1, len(x) // 4 + 1):
+        i = 0
+        while i + q < len(x):
+            j = i
+            while j + q < len(x) and x[j] == x[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                out.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in out.items())
+
+
+def collapsed(x, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(x) if i not in gone)
+
+
+def planted(doc_id, x):
+    """The words after the change that op13's contract makes."""
+    h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    g, n = h // 10, len(x)
+    if h % 10 or not n:
+        return x
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [x[a + (i - a) % p] if i >= a else x[i] for i in range(n)]
+
+
+def strongest(found):
+    """The run of greatest length / period; ties by start, then period."""
+    from fractions import Fraction
+    return min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+
+
+def rankings(rows, items, top=50):
+    """[[(doc_id, score), ...]] of each item."""
+    import math
+    docs = [(d, Counter(words(lower(t), ALNUM))) for d, t in rows]
+    docs = [(d, c) for d, c in docs if c]
+    n_docs, n_terms = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = []
+    for _, text in items:
+        terms, scored = set(words(lower(text), ALNUM)), []
+        for d, c in docs:
+            m = 50 + 50 * sum(c.values()) * n_docs // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    * (10**9 * c[t] // (1000 * c[t] + 20 * m)) for t in terms if c[t])
+            if s > 0:
+                scored.append((-s, d is None, d or 0))
+        out.append([(None if gone else d, -s) for s, gone, d in sorted(scored)[:top]])
+    return out
+
+
+def base_secrets(text):
+    """[(start, kind, end)] by the patterns as the contract states them."""
+    patterns = (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]"""
+                 r"""|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+                ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]+", 0, 24))
+    return sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(patterns)
+                  for m in re.finditer(p, text or "") if len(m.group(g)) >= least)
