@@ -5,7 +5,9 @@ One narrow projection plus one filter: no shuffle, runs per input split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.functions.dates import lenient_date
@@ -22,12 +24,12 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def conform(df: DataFrame) -> DataFrame:
-    """Add missing required columns as typed NULL; keep only required ones, in order."""
+def conform(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Add missing required columns as typed NULL; keep only required ones, in order, and those of ``keep``."""
     have = set(df.columns)
     cols = [F.col(f"`{c}`") if c in have else F.lit(None).cast(SIGNAL_TYPES[c]).alias(c)
             for c in SIGNAL_COLUMNS]
-    return df.select(*cols)
+    return df.select(*cols, *keep)
 
 
 def _nan_to_null(c):
@@ -39,8 +41,8 @@ def _lenient_int(c):
     return F.coalesce(c.try_cast("int"), c.try_cast("double").try_cast("int"))
 
 
-def transform_and_clean(raw: DataFrame) -> DataFrame:
-    """C1-C7 on a raw frame of any column types; returns the 12 signal columns.
+def transform_and_clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """C1-C7 on a raw frame of any column types; returns the 12 signal columns, and those of ``keep`` as they are.
 
     C3 lenient casts (``try_cast``: bad values become NULL), C4 defaults
     (score/rating 0.0, text '', country 'Unknown'; NaN is then stored as
@@ -48,7 +50,7 @@ def transform_and_clean(raw: DataFrame) -> DataFrame:
     parse with year/month backfilled from the date (an explicit value wins),
     C7 rows without a parsable date are dropped.
     """
-    df = conform(normalize_columns(raw))
+    df = conform(normalize_columns(raw), keep)
     date_type = df.schema["date"].dataType
     parsed = lenient_date(F.col("date"), date_type)
     score = F.coalesce(F.col("sentiment_score").try_cast("double"), F.lit(0.0))
@@ -66,31 +68,29 @@ def transform_and_clean(raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("country").cast("string"), F.lit("Unknown")).alias("country"),
         _nan_to_null(rating).alias("rating"),
+        *keep,
     )
     return out.where(F.col("date").isNotNull())
 
 
-def conform_shaped(df: DataFrame) -> DataFrame:
+def conform_shaped(df: DataFrame, observe: Callable[[DataFrame, dict[str, Column]], DataFrame] | None = None) -> DataFrame:
     """S9 input: an already-shaped signal table, cast to the schema, NOT cleaned.
 
     All 12 columns are required (the reference's insert has a placeholder
-    for each); NULLs are kept.  See :func:`unfit_values` for values that have
-    no place in the schema.
+    for each); NULLs are kept.  ``observe`` is called with the table as it came
+    and a condition for each column: a value that the schema cannot hold.
     """
     df = normalize_columns(df)
     missing = [c for c in SIGNAL_COLUMNS if c not in df.columns]
     if missing:
         raise ValueError(f"pre-shaped table lacks columns: {missing}")
-    return df.select(*[_shaped(df, c).alias(c) for c in SIGNAL_COLUMNS])
+    shaped = {c: _shaped(df, c) for c in SIGNAL_COLUMNS}
+    if observe is not None:
+        df = observe(df, {c: F.col(c).isNotNull() & v.isNull() for c, v in shaped.items()})
+    return df.select(*[v.alias(c) for c, v in shaped.items()])
 
 
-def _shaped(df: DataFrame, c: str):
+def _shaped(df: DataFrame, c: str) -> Column:
     if c == "date":
         return lenient_date(F.col("date"), df.schema["date"].dataType)
     return F.col(c).try_cast(SIGNAL_TYPES[c])
-
-
-def unfit_values(df: DataFrame) -> DataFrame:
-    """One row: per column, how many non-null values of a pre-shaped table the schema cannot hold."""
-    df = normalize_columns(df)
-    return df.agg(*[F.count_if(F.col(c).isNotNull() & _shaped(df, c).isNull()).alias(c) for c in SIGNAL_COLUMNS])

@@ -15,6 +15,7 @@ from feedlens.operators.filters import SignalFilter
 from feedlens.plans.testbed import signals_from_tables, with_signals
 from feedlens.session import scratch_path
 from feedlens.sources import readers
+from feedlens.sources.batch import load_files
 from feedlens.sources.store import SignalStore
 from feedlens.streaming.staged_import import import_staged
 
@@ -94,22 +95,82 @@ def q_dirty(fmt: str):
 
 # --- JSON documents (S3) -------------------------------------------------------
 
+def _record(sig: DataFrame):
+    return F.to_json(F.struct(*sig.columns), {"ignoreNullFields": "false"})
+
+
+def _put_lines(lines: DataFrame, path: str) -> None:
+    """(block, place, value) as text files, a block's lines together by place; blocks spread over files."""
+    lines.repartition("block").sortWithinPartitions("block", "place").select("value").write.text(path)
+
+
+_BLOCKS = 16
+
+
+def _blocks(spark: SparkSession, place: int, value: str) -> DataFrame:
+    """A line for each block."""
+    return spark.range(_BLOCKS).select(F.col("id").cast("int").alias("block"), F.lit(place).alias("place"),
+                                       F.lit(value).alias("value"))
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the derived table as the lines of arrays; every array ends with a record that has no date."""
+    sig = signals_from_tables(spark, sf_dir).drop("dataset_id")
+    record = _record(sig)
+    return (sig.select(F.pmod(F.xxhash64(record), F.lit(_BLOCKS)).cast("int").alias("block"), F.lit(2).alias("place"),
+                       F.concat(record, F.lit(",")).alias("value"))
+            .union(_blocks(spark, 9, '{"source": "none"}\n]')))
+
+
 def q_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arrays with one record a line, the first on the line of the bracket; a file for each company and year."""
+    """Arrays with one record a line, the first on the line of the bracket."""
     path = f"{scratch_path(spark, 'arrays')}.json"
-    sig = signals_from_tables(spark, sf_dir).drop("dataset_id")
-    record = F.to_json(F.struct(*sig.columns), {"ignoreNullFields": "false"})
-    (sig.groupBy("company", "year").agg(F.collect_list(record).alias("records"))
-     .select(F.concat(F.lit("["), F.array_join("records", ",\n"), F.lit("\n]")).alias("value"))
-     .coalesce(1).write.option("maxRecordsPerFile", 1).text(path))
+    _put_lines(_arrays(spark, sf_dir).union(_blocks(spark, 0, '[{"source": "none"},')), path)
     return transform_and_clean(readers.read_json(spark, path))
 
 
-SQL_CLEAN = with_signals("""
+def q_json_array_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays with a record that does not parse at the beginning and one among the others: no other one is lost."""
+    path = f"{scratch_path(spark, 'arrays')}.json"
+    bad = [_blocks(spark, 0, "["), _blocks(spark, 1, '{"date": "2020-01-01", "source": },'),
+           _blocks(spark, 2, '{"date": "2020-01-01", "text": "torn,')]
+    for lines in bad:
+        lines.write.mode("append").parquet(f"{path}-lines")
+    _put_lines(_arrays(spark, sf_dir).union(spark.read.parquet(f"{path}-lines")), path)
+    return transform_and_clean(readers.read_json(spark, path))
+
+
+def q_json_first_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines whose first line is torn: no other one is lost, and the torn ones are reported."""
+    path = f"{scratch_path(spark, 'lines')}.jsonl"
+    sig = signals_from_tables(spark, sf_dir).drop("dataset_id")
+    lines = sig.select(F.pmod(F.xxhash64(_record(sig)), F.lit(_BLOCKS)).cast("int").alias("block"), F.lit(1).alias("place"),
+                       _record(sig).alias("value"))
+    _put_lines(lines.union(_blocks(spark, 0, '{"date": "2020-01-01", "source": "CF')), path)
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    store.ingest(path)
+    torn = store.rejected().select(F.regexp_extract("reason", r"^\d+", 0).cast("bigint").alias("torn"))
+    return store.signals().drop("dataset_id").withColumn("torn", torn.scalar())
+
+
+# --- CSV with quoted newlines (S1) ------------------------------------------------
+
+def q_quoted_newlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with newlines, commas and quotes."""
+    path = f"{scratch_path(spark, 'quoted')}.csv"
+    sig = signals_from_tables(spark, sf_dir).drop("dataset_id")
+    text = F.concat(F.col("product_service"), F.lit(',"\n\n"" x'), F.coalesce("text", F.lit("")), F.lit('\n"'))
+    (sig.withColumn("text", text).write.option("header", True).option("escape", '"').option("quoteAll", True)
+     .option("maxRecordsPerFile", 20_000).csv(path))
+    return transform_and_clean(readers.read_csv(spark, path))
+
+
+CLEAN_ROWS = """
     SELECT date, year, month, customer_action, COALESCE(sentiment_score, 0.0) AS sentiment_score,
            sentiment_label, source, company, product_service, COALESCE(text, '') AS text,
            COALESCE(country, 'Unknown') AS country, COALESCE(rating, 0.0) AS rating
-    FROM signals""")
+    FROM signals"""
+SQL_CLEAN = with_signals(CLEAN_ROWS)
 
 
 # --- store and registry (S5-S9, R1-R6) --------------------------------------------
@@ -160,6 +221,60 @@ def q_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _registry_and_rows(store)
 
 
+def _crash_before_registry(spark: SparkSession, sf_dir: str) -> tuple[SignalStore, str]:
+    """A store with a staged file's rows that a crash left unregistered, and the staging folder."""
+    staging, parts = scratch_path(spark, "staging"), _parts(spark, sf_dir)
+    put_frame(spark, parts[1], f"{staging}/one.csv")
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    listing = readers.list_files(spark, staging).select("path", "modificationTime").first()
+    id_ = store.bind([tuple(listing)])[0]
+    load_files(store, {listing["path"]: id_})
+    return store, staging
+
+
+def q_reconciled_then_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a registry row are registered, then the import that left them runs again."""
+    store, staging = _crash_before_registry(spark, sf_dir)
+    store.reconcile()
+    import_staged(spark, store, staging, checkpoint=scratch_path(spark, "checkpoint"))
+    return _registry_and_rows(store)
+
+
+def q_lost_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence file is lost after a crash; an id that was given is not given again."""
+    store, staging = _crash_before_registry(spark, sf_dir)
+    fs, p = _fs(spark, store.sequence_path)
+    fs.delete(p, False)
+    store.append_table(_parts(spark, sf_dir)[2], "two")
+    import_staged(spark, store, staging, checkpoint=scratch_path(spark, "checkpoint"))
+    return _registry_and_rows(store)
+
+
+def q_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small datasets in common files; one of them deleted and one loaded afterwards."""
+    store, parts = _loaded(spark, sf_dir)
+    store.compact(small_bytes=1 << 40)
+    store.vacuum(older_than=0)
+    store.delete(2)
+    store.append_table(parts[2], "part 2 again")
+    store.vacuum(older_than=0)
+    return _registry_and_rows(store)
+
+
+def q_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many files of two headers, imported by one plan for each header."""
+    staging, sig = scratch_path(spark, "staging"), signals_from_tables(spark, sf_dir).drop("dataset_id")
+    half = F.col("year") % 2 == 0
+    sig.where(half).repartition(_BLOCKS).write.option("header", True).csv(f"{staging}/even")
+    sig.where(~half).select(*reversed(sig.columns)).repartition(_BLOCKS).write.option("header", True).csv(f"{staging}/odd")
+    store = SignalStore(spark, scratch_path(spark, "store"))
+    import_staged(spark, store, staging, checkpoint=scratch_path(spark, "checkpoint"))
+    kind = F.regexp_extract("source_path", "/(even|odd)/", 1).alias("kind")
+    rows = store.signals().groupBy(F.col("dataset_id").alias("id")).agg(F.count(F.lit(1)).alias("visible"))
+    return store.registry().join(rows, "id").groupBy(kind).agg(F.sum("row_count").alias("row_count"),
+                                                               F.sum("visible").alias("visible"))
+
+
 def q_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R5."""
     return _loaded(spark, sf_dir)[0].summary()
@@ -222,6 +337,16 @@ SQL_AFTER_DELETE = _counted(" UNION ALL ".join(
 SQL_AFTER_DELETE_ALL = _counted(_row(4, "anew", 1))
 SQL_RECONCILED = _counted(" UNION ALL ".join(
     [_row(1, "part 1", 1), _row(2, "Datos sin registrar (recuperado)", 3), _row(7, "Dataset 7 (recuperado)", 2)]))
+SQL_RECONCILED_REPLAYED = _counted(_row(1, "one", 1))
+SQL_LOST_SEQUENCE = _counted(" UNION ALL ".join([_row(1, "one", 1), _row(2, "two", 2)]))
+SQL_COMPACTED = _counted(" UNION ALL ".join([_row(1, "part 1", 1), _row(3, "part 3", 3), _row(4, "part 2 again", 2)]))
+SQL_MANY_FILES = with_signals("""
+    SELECT CASE WHEN year % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, COUNT(*) AS row_count, COUNT(*) AS visible
+    FROM signals GROUP BY 1""")
+SQL_JSON_FIRST_LINE = with_signals(f"SELECT *, CAST({_BLOCKS} AS BIGINT) AS torn FROM ({CLEAN_ROWS})")
+SQL_QUOTED_NEWLINES = with_signals(f"""
+    SELECT * REPLACE (product_service || ',"' || chr(10) || chr(10) || '"" x' || text || chr(10) || '"' AS text)
+    FROM ({CLEAN_ROWS})""")
 SQL_SUMMARY = with_signals("SELECT CAST(3 AS BIGINT) AS datasets, COUNT(*) AS rows FROM signals")
 SQL_PENDING = with_signals("""
     SELECT name, '.csv' AS ext, false AS imported, EXISTS (SELECT 1 FROM signals WHERE dataset_id = part) AS filled
@@ -269,6 +394,9 @@ def queries() -> dict:
         "store_after_delete": q_after_delete, "store_after_delete_all": q_after_delete_all,
         "store_reconciled": q_reconciled, "store_summary": q_summary, "pending_imports": q_pending,
         "best_file": q_best_file, "import_rejections": q_rejections, "period_modes": q_period_modes,
+        "json_broken_first_line": q_json_first_line, "json_array_bad_record": q_json_array_bad,
+        "csv_quoted_newlines": q_quoted_newlines, "store_reconciled_then_replayed": q_reconciled_then_replayed,
+        "store_lost_sequence": q_lost_sequence, "store_compacted": q_compacted, "import_many_files": q_many_files,
     }
 
 
@@ -279,4 +407,7 @@ def oracle_sql() -> dict:
         "store_after_delete_all": SQL_AFTER_DELETE_ALL, "store_reconciled": SQL_RECONCILED,
         "store_summary": SQL_SUMMARY, "pending_imports": SQL_PENDING, "best_file": SQL_BEST_FILE,
         "import_rejections": SQL_REJECTIONS, "period_modes": SQL_PERIOD_MODES,
+        "json_broken_first_line": SQL_JSON_FIRST_LINE, "json_array_bad_record": SQL_CLEAN,
+        "csv_quoted_newlines": SQL_QUOTED_NEWLINES, "store_reconciled_then_replayed": SQL_RECONCILED_REPLAYED,
+        "store_lost_sequence": SQL_LOST_SEQUENCE, "store_compacted": SQL_COMPACTED, "import_many_files": SQL_MANY_FILES,
     }

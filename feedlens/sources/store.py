@@ -2,37 +2,57 @@
 
 Layout under one root folder (any Hadoop file system):
 
-    signals/dataset_id=N/*.parquet    the fact table, one partition per dataset
-    datasets/id=N/*.parquet           the registry, one row per dataset
-    allocations/*.parquet             ids given to staged files, by (path, time)
-    rejected/*.parquet                files that could not be imported, and why
-    sequence                          the highest id given so far (ids are not reused)
-
-Publishing writes the signal partition first and the registry row second, and
-only registered datasets are visible in :meth:`SignalStore.signals`.  A crash
-between the two leaves an invisible partition: a replayed staged import
-overwrites it under the same id, and :meth:`SignalStore.reconcile` registers
-what nobody replays (R4).  Deleting removes the registry row first.  One writer
-at a time is assumed (the reference serialises writers with a database lock).
+    signals/dataset_id=N/*.parquet      the rows of dataset N
+    compacted/generation=G/*.parquet    the rows of many small datasets, sorted by dataset_id
+    moved/generation=G/*.parquet        the datasets whose rows generation G holds
+    datasets/id=N/*.parquet             the registry, one row per dataset
+    ids/N                               an empty file for every id ever given
+    allocations/*.parquet               ids given to staged files, by (path, time); negative when deleted
+    rejected/*.parquet                  files that could not be imported, and why
+    deleted/N                           an empty file for every deleted dataset that still has files
+    sequence                            an id from which free ones are looked for: a hint
+
+What must happen once is a file or folder that is created if it is absent: an
+id is given by creating ``ids/N``, a dataset is published by renaming its
+registry folder to ``datasets/id=N``, and a compaction by renaming its list to
+``moved/generation=G``.  So an id is never given twice, also if ``sequence`` is
+lost, and a dataset has one registry row whoever publishes it.
+
+Rows are written first and registered second, and :meth:`SignalStore.signals`
+shows registered datasets only.  A crash between the two leaves invisible rows:
+a replayed staged import overwrites them under the same id, or
+:meth:`SignalStore.reconcile` registers them (R4), under the file's name, path
+and time if the id was given to a staged file, so that a later replay finds the
+file imported.  Folders of datasets appear by one rename, with all their rows.
+
+Deleting and compacting make rows invisible at once and leave their files to
+:meth:`SignalStore.vacuum`, so that running queries go on.
 """
 
 from __future__ import annotations
 
 import os
+import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.operators.clean import conform_shaped, transform_and_clean, unfit_values
+from feedlens.operators.clean import conform_shaped, transform_and_clean
 from feedlens.schema import (
     ALLOCATIONS_SCHEMA, DATASETS_SCHEMA, ORPHAN_DATASET_NAME, RECOVERED_DATASET_NAME, REJECTED_SCHEMA,
-    SIGNALS_SCHEMA,
+    SIGNAL_COLUMNS, SIGNALS_SCHEMA,
 )
 from feedlens.sources import readers
 
 _NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
+def _is_java(e: Py4JJavaError, name: str) -> bool:
+    return e.java_exception.getClass().getSimpleName() == name
+
+
 class SignalStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -42,6 +62,10 @@ class SignalStore:
         self.sequence_path = f"{self.root}/sequence"
         self.allocations_path = f"{self.root}/allocations"
         self.rejected_path = f"{self.root}/rejected"
+        self.ids_path = f"{self.root}/ids"
+        self.deleted_path = f"{self.root}/deleted"
+        self.compacted_path = f"{self.root}/compacted"
+        self.moved_path = f"{self.root}/moved"
 
     # -- file system helpers (Hadoop FS through the session) --------------
     def _fs_path(self, path: str):
@@ -65,23 +89,90 @@ class SignalStore:
         return any(not s.getPath().getName().startswith(("_", "."))
                    for s in fs.listStatus(p))
 
+    def _names(self, path: str, prefix: str = "") -> list[str]:
+        """The names in a folder that begin with ``prefix``, without it."""
+        fs, p = self._fs_path(path)
+        if not fs.exists(p):
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(p))
+        return [n[len(prefix):] for n in names if n.startswith(prefix) and not n.startswith((".", "_"))]
+
+    def _numbers(self, path: str, prefix: str = "") -> list[int]:
+        return [int(n) for n in self._names(path, prefix) if n.isdigit()]
+
+    def _create_absent(self, path: str) -> bool:
+        """Creates an empty file; False if there is one already."""
+        fs, p = self._fs_path(path)
+        try:
+            fs.create(p, False).close()
+        except Py4JJavaError as e:
+            if not _is_java(e, "FileAlreadyExistsException"):
+                raise
+            return False
+        return True
+
+    def _rename_absent(self, source: str, target: str) -> bool:
+        """Renames a folder; False if there is a target already."""
+        jvm = self.spark.sparkContext._jvm
+        _, p = self._fs_path(target)
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._fs_path(source)[0].getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        kinds = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            files.rename(self._fs_path(source)[1], p, kinds)
+        except Py4JJavaError as e:
+            if not _is_java(e, "FileAlreadyExistsException"):
+                raise
+            return False
+        return True
+
+    def _age(self, path: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        fs, p = self._fs_path(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
+
     # -- reads --------------------------------------------------------------
     def signals(self, include_unpublished: bool = False) -> DataFrame:
         """The fact table of the registered datasets (empty with the fixed schema when nothing is loaded).
 
-        ``include_unpublished`` shows rows without a registered dataset too.
-        The registry side of the join is small and prunes partitions.
+        ``include_unpublished`` shows rows without a registered dataset too,
+        but none of deleted datasets.  The registry side of the join is small
+        and prunes partitions.
         """
-        if not self._has_data(self.signals_path):
+        rows = None
+        if self._has_data(self.signals_path):
+            rows = (self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path)
+                    .select(*SIGNALS_SCHEMA.fieldNames()))
+        moved = self._moved()
+        if moved is not None:
+            # a dataset's rows are those of the latest generation that holds it
+            if rows is not None:
+                rows = rows.join(moved.select("dataset_id"), "dataset_id", "left_anti")
+            there = (self.spark.read.schema(f"{SIGNALS_SCHEMA.toDDL()}, generation bigint").parquet(self.compacted_path)
+                     .join(moved, ["generation", "dataset_id"], "left_semi").select(*SIGNALS_SCHEMA.fieldNames()))
+            rows = there if rows is None else rows.unionByName(there)
+        if rows is None:
             return self.spark.createDataFrame([], SIGNALS_SCHEMA)
-        rows = (self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path)
-                .select(*SIGNALS_SCHEMA.fieldNames()))
         if include_unpublished:
-            return rows
+            return self._without_deleted(rows, "dataset_id")
         return rows.join(self.registry().select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
 
+    def _moved(self) -> DataFrame | None:
+        """(dataset_id, generation) of the datasets in generations; None without any."""
+        if not self._has_data(self.moved_path):
+            return None
+        return (self.spark.read.schema("dataset_id bigint, generation bigint").parquet(self.moved_path)
+                .groupBy("dataset_id").agg(F.max("generation").alias("generation")))
+
+    def _without_deleted(self, rows: DataFrame, id_: str) -> DataFrame:
+        gone = self._numbers(self.deleted_path)
+        if not gone:
+            return rows
+        return rows.join(self.spark.createDataFrame([(n,) for n in gone], f"{id_} bigint"), id_, "left_anti")
+
     def registry(self) -> DataFrame:
-        return self._table(self.datasets_path, DATASETS_SCHEMA)
+        return self._without_deleted(self._table(self.datasets_path, DATASETS_SCHEMA), "id").select(
+            *DATASETS_SCHEMA.fieldNames())
 
     def rejected(self) -> DataFrame:
         """Files that a staged import could not load: path, time and reason."""
@@ -104,39 +195,41 @@ class SignalStore:
             F.coalesce(F.sum("row_count"), F.lit(0)).cast("bigint").alias("rows"))
 
     # -- ids ------------------------------------------------------------------
-    def _highest_id(self) -> int:
-        """The content of the sequence file; without one, the highest id in use."""
+    def _hint(self) -> int:
+        """Where to look for free ids: the content of the sequence file; without one, the highest id known."""
         fs, p = self._fs_path(self.sequence_path)
-        if fs.exists(p):
-            return int(self.spark.read.text(self.sequence_path).first()[0])
-        high = 0
-        for path, part in ((self.datasets_path, "id="), (self.signals_path, "dataset_id=")):
-            if self._has_data(path):
-                folder, at = self._fs_path(path)
-                names = [x.getPath().getName() for x in folder.listStatus(at)]
-                high = max([high, *(int(n[len(part):]) for n in names if n[len(part):].isdigit())])
-        return high
+        try:
+            stream = fs.open(p)
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            stream.close()
+            if text.isdigit():
+                return int(text)
+        except Py4JJavaError:  # absent or torn: no more than a hint is lost
+            pass
+        bound = self._table(self.allocations_path, ALLOCATIONS_SCHEMA).agg(F.max("id")).first()[0]
+        return max([0, bound or 0, *self._numbers(self.ids_path), *self._numbers(self.datasets_path, "id="),
+                    *self._numbers(self.signals_path, "dataset_id=")])
 
     def allocate(self, n: int = 1) -> list[int]:
-        """``n`` ids above every id ever given; remembered before they are used."""
+        """``n`` ids that were never given; each is reserved by its file before it is used."""
         if n == 0:
             return []
-        last = self._highest_id()
-        self._remember(last + n)
-        return list(range(last + 1, last + n + 1))
+        given, id_ = [], self._hint()
+        while len(given) < n:
+            id_ += 1
+            if self._create_absent(f"{self.ids_path}/{id_}"):
+                given.append(id_)
+        self._remember(id_)
+        return given
 
     def _remember(self, last: int) -> None:
         fs, p = self._fs_path(self.sequence_path)
-        staged = p.suffix("-next")
-        out = fs.create(staged, True)
+        out = fs.create(p, True)
         out.write(f"{last}\n".encode())
         out.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        fs.rename(staged, p)
 
     def bind(self, files: list[tuple]) -> list[int]:
-        """An id for each staged (path, time): the one it already has, else a new one.
+        """An id for each staged (path, time): the one it already has and was not deleted, else a new one.
 
         The binding is written before any data, so a replay after a crash
         finds it and overwrites what the first attempt left.
@@ -147,7 +240,8 @@ class SignalStore:
         known = {(r["source_path"], r["source_mtime"]): r["id"]
                  for r in self._table(self.allocations_path, ALLOCATIONS_SCHEMA)
                  .join(asked, ["source_path", "source_mtime"]).groupBy("source_path", "source_mtime")
-                 .agg(F.max("id").alias("id")).collect()}
+                 .agg(F.max("id").alias("id"), F.min("id").alias("released"))
+                 .where("id + released > 0").collect()}
         new = [f for f in files if f not in known]
         fresh = dict(zip(new, self.allocate(len(new))))
         if fresh:
@@ -155,15 +249,26 @@ class SignalStore:
              .coalesce(1).write.mode("append").parquet(self.allocations_path))
         return [known.get(f) or fresh[f] for f in files]
 
-    def register(self, rows: list[tuple]) -> None:
-        """Publishes datasets: (id, name, row_count, source path or None, its time or None) each, in one write."""
-        if rows:
-            self._register(self.spark.createDataFrame(
-                rows, "id bigint, name string, row_count bigint, source_path string, source_mtime timestamp"))
+    def register(self, rows: list[tuple]) -> list[int]:
+        """Publishes datasets: (id, name, row_count, source path or None, its time or None) each.
+
+        An id that has a registry row keeps it.  Returns the ids that had none.
+        """
+        if not rows:
+            return []
+        return self._register(self.spark.createDataFrame(
+            rows, "id bigint, name string, row_count bigint, source_path string, source_mtime timestamp"))
 
-    def _register(self, rows: DataFrame) -> None:
+    def _register(self, rows: DataFrame) -> list[int]:
+        """One write of all rows beside the registry, then a rename for each, which publishes it."""
+        staged = f"{self.datasets_path}/_new-{uuid.uuid4().hex}"
         (rows.withColumn("loaded_at", F.current_timestamp()).select(*DATASETS_SCHEMA.fieldNames())
-         .write.mode("append").partitionBy("id").parquet(self.datasets_path))
+         .repartition("id").write.partitionBy("id").parquet(staged))
+        try:
+            return [n for n in sorted(self._numbers(staged, "id="))
+                    if self._rename_absent(f"{staged}/id={n}", f"{self.datasets_path}/id={n}")]
+        finally:
+            self._delete(staged)
 
     def reject(self, rows: list[tuple]) -> None:
         """Records (path, time, reason) of files that were not, or not wholly, imported."""
@@ -176,20 +281,33 @@ class SignalStore:
     # most (period, channel) then skip Parquet row groups by their min/max.
     CLUSTER_BY = ("year", "source")
 
-    def write_partition(self, clean: DataFrame, dataset_id: int) -> int:
-        """Writes a dataset's rows, replacing what an earlier attempt left; returns their number.
+    def write_rows(self, rows: DataFrame) -> None:
+        """Writes the rows of one or many datasets (by dataset_id), replacing what earlier attempts left of them.
 
         The tasks that make the rows write them (no repartition by dataset id,
         which would send a dataset through one task), sorted within each task
-        by ``CLUSTER_BY`` so that Parquet statistics skip row groups.  The rows
-        are counted as they are written.
+        by ``CLUSTER_BY`` so that Parquet statistics skip row groups.  Each
+        dataset's folder appears by one rename, with all its rows.
         """
+        (rows.select("dataset_id", *SIGNAL_COLUMNS)
+         .sortWithinPartitions("dataset_id", *self.CLUSTER_BY)  # per task: no shuffle
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("dataset_id").parquet(self.signals_path))
+
+    def write_partition(self, clean: DataFrame, dataset_id: int) -> int:
+        """S10 for one dataset; returns the number of its rows, which are counted as they are written."""
         count = Observation()
-        (clean.observe(count, F.count(F.lit(1)).alias("n"))
-         .sortWithinPartitions(*self.CLUSTER_BY)  # per task: no shuffle
-         .write.mode("overwrite").parquet(f"{self.signals_path}/dataset_id={int(dataset_id)}"))
+        self.write_rows(clean.observe(count, F.count(F.lit(1)).alias("n"))
+                        .withColumn("dataset_id", F.lit(int(dataset_id)).cast("bigint")))
         return int(count.get["n"])
 
+    def row_counts(self, ids: list[int]) -> dict[int, int]:
+        """Rows in the folders of datasets, from the files' footers; for at most a batch of ids."""
+        if not self._has_data(self.signals_path):
+            return {}
+        rows = self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path).where(F.col("dataset_id").isin(ids))
+        return {r["dataset_id"]: r["count"] for r in rows.groupBy("dataset_id").count().collect()}
+
     def load(self, clean: DataFrame, name: str, source_path: str | None = None,
              source_mtime=None) -> int:
         """Append a cleaned frame as a new dataset; returns its id.  Never deduplicates."""
@@ -235,55 +353,183 @@ class SignalStore:
         return id_
 
     def append_table(self, df: DataFrame, name: str) -> int:
-        """Append an already-shaped signal table without cleaning.
+        """Append an already-shaped signal table without cleaning, in one pass.
 
-        Without rows, or with values that the schema cannot hold, it is an error.
+        Without rows, or with values that the schema cannot hold, it is an
+        error: both are counted as the rows are written, and nothing is
+        published then.
         """
-        shaped = conform_shaped(df)
-        if shaped.isEmpty():
-            raise ValueError("the table has no rows")
-        unfit = {c: n for c, n in unfit_values(df).first().asDict().items() if n}
-        if unfit:
-            raise ValueError(f"values that the schema cannot hold, by column: {unfit}")
-        return self.load(shaped, name)
+        seen = Observation()
+        rows = conform_shaped(df, observe=lambda raw, unfit: raw.observe(
+            seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(bad).alias(c) for c, bad in unfit.items()]))
+        id_ = self.allocate()[0]
+        n = self.write_partition(rows, id_)
+        unfit = {c: k for c, k in seen.get.items() if c != "rows" and k}
+        if not n or unfit:
+            self._delete(f"{self.signals_path}/dataset_id={id_}")
+            raise ValueError(f"values that the schema cannot hold, by column: {unfit}" if unfit
+                             else "the table has no rows")
+        self.register([(id_, name, n, None, None)])
+        return id_
 
+    # -- deletion, compaction ---------------------------------------------------
     def delete(self, dataset_id: int) -> None:
-        """R2: registry row first, then the signal partition."""
-        self._delete(f"{self.datasets_path}/id={int(dataset_id)}")
-        self._delete(f"{self.signals_path}/dataset_id={int(dataset_id)}")
+        """R2: the dataset is invisible at once; its files go with :meth:`vacuum`."""
+        id_ = int(dataset_id)
+        if self._exists(f"{self.datasets_path}/id={id_}") or self._exists(f"{self.signals_path}/dataset_id={id_}"):
+            self._release(self.registry().where(F.col("id") == id_))
+            self._create_absent(f"{self.deleted_path}/{id_}")
+
+    def _release(self, datasets: DataFrame) -> None:
+        """Staged files of deleted datasets may be imported again, under new ids."""
+        files = datasets.where(F.col("source_mtime").isNotNull()).select(
+            (-F.col("id")).alias("id"), "source_path", "source_mtime")
+        if not files.isEmpty():
+            files.write.mode("append").parquet(self.allocations_path)
 
     def delete_all(self) -> None:
-        """Drop every dataset (allocated ids stay reserved)."""
-        self._delete(self.datasets_path)
-        self._delete(self.signals_path)
+        """Every dataset, and rows without one, are deleted as by :meth:`delete`; their ids stay reserved."""
+        self._adopt_null_rows()
+        self._release(self.registry())
+        for id_ in {*self._numbers(self.datasets_path, "id="), *self._numbers(self.signals_path, "dataset_id=")}:
+            self._create_absent(f"{self.deleted_path}/{id_}")
+
+    def _adopt_null_rows(self) -> int | None:
+        """Gives rows with a NULL dataset id a new one by renaming their folder; None without such rows."""
+        null_part = f"{self.signals_path}/dataset_id={_NULL_PARTITION}"
+        if not self._has_data(null_part):
+            return None
+        id_ = self.allocate()[0]
+        self._rename_absent(null_part, f"{self.signals_path}/dataset_id={id_}")
+        return id_
+
+    def compact(self, small_bytes: int = 64 << 20, target_bytes: int = 128 << 20) -> int:
+        """Moves the datasets smaller than ``small_bytes`` to files of about ``target_bytes``; returns their number.
+
+        These files hold many datasets each, sorted by dataset_id, whose
+        statistics prune them.  So the files that :meth:`signals` lists grow
+        with the bytes loaded and not with the number of datasets.  The move
+        takes effect by one rename; the old folders go with :meth:`vacuum`.
+        """
+        if not self._has_data(self.signals_path):
+            return 0
+        files = readers.list_files(self.spark, self.signals_path).select(
+            F.regexp_extract("path", r"/dataset_id=(\d+)/", 1).try_cast("bigint").alias("dataset_id"), "length")
+        small = files.groupBy("dataset_id").agg(F.sum("length").alias("length")).where(F.col("length") < small_bytes)
+        moved = self._moved()
+        if moved is not None:
+            small = small.join(moved, "dataset_id", "left_anti")
+        small = small.join(self.registry().select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
+        found = small.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).first()
+        if found["n"] < 2:
+            return 0
+        rows = self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path)
+        self._move(rows.join(small, "dataset_id", "left_semi"), small, -(-found["length"] // target_bytes))
+        return int(found["n"])
+
+    def _move(self, rows: DataFrame, datasets: DataFrame, n_files: int) -> None:
+        """Writes rows as a new generation, which holds ``datasets`` from then on."""
+        while True:
+            known = [*self._numbers(self.compacted_path, "generation="), *self._numbers(self.ids_path, "generation-")]
+            generation = max([0, *known]) + 1
+            if self._create_absent(f"{self.ids_path}/generation-{generation}"):
+                break
+        (rows.select(*SIGNALS_SCHEMA.fieldNames()).repartitionByRange(max(1, int(n_files)), "dataset_id", *self.CLUSTER_BY)
+         .sortWithinPartitions("dataset_id", *self.CLUSTER_BY)
+         .write.parquet(f"{self.compacted_path}/generation={generation}"))
+        staged = f"{self.moved_path}/_new-{generation}"
+        datasets.select("dataset_id").coalesce(1).write.parquet(staged)
+        self._rename_absent(staged, f"{self.moved_path}/generation={generation}")
+
+    def vacuum(self, older_than: float = 7 * 86400.0) -> None:
+        """Removes the files of datasets deleted or moved more than ``older_than`` seconds ago.
+
+        No query that may still read them should be running.  Generations with
+        rows of deleted datasets are written anew without them.  A crash
+        leaves what the next call removes.
+        """
+        deleted = [n for n in self._numbers(self.deleted_path) if self._age(f"{self.deleted_path}/{n}") >= older_than]
+        if self._has_data(self.moved_path):
+            self._vacuum_generations(deleted, older_than)
+        for id_ in deleted:
+            # the mark goes last: without it, rows that are left would be taken for lost ones
+            self._delete(f"{self.signals_path}/dataset_id={id_}")
+            self._delete(f"{self.datasets_path}/id={id_}")
+        still = set()
+        if deleted and self._has_data(self.compacted_path):
+            gone = self.spark.createDataFrame([(n,) for n in deleted], "dataset_id bigint")
+            rows = self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.compacted_path)
+            still = {r[0] for r in gone.join(rows, "dataset_id", "left_semi").collect()}
+        for id_ in set(deleted) - still:
+            self._delete(f"{self.deleted_path}/{id_}")
+
+    def _vacuum_generations(self, deleted: list[int], older_than: float) -> None:
+        old = [g for g in self._numbers(self.moved_path, "generation=")
+               if self._age(f"{self.moved_path}/generation={g}") >= older_than]
+        if not old:
+            return
+        moved = self._moved()
+        # folders of datasets that a generation holds
+        folders = self.spark.createDataFrame([(n,) for n in self._numbers(self.signals_path, "dataset_id=")],
+                                             "dataset_id bigint")
+        for r in folders.join(moved.where(F.col("generation").isin(old)), "dataset_id", "left_semi").toLocalIterator():
+            self._delete(f"{self.signals_path}/dataset_id={r['dataset_id']}")
+        gone = self.spark.createDataFrame([(n,) for n in deleted], "dataset_id bigint")
+        judged = (moved.where(F.col("generation").isin(old)).join(gone.withColumn("gone", F.lit(1)), "dataset_id", "left")
+                  .groupBy("generation").agg(F.count("gone").alias("gone"), F.count(F.lit(1)).alias("all")))
+        hit = [r["generation"] for r in judged.collect() if 0 < r["gone"] < r["all"]]
+        if hit:
+            kept = moved.where(F.col("generation").isin(hit)).join(gone, "dataset_id", "left_anti")
+            paths = [f"{self.compacted_path}/generation={g}" for g in hit]
+            rows = (self.spark.read.schema(f"{SIGNALS_SCHEMA.toDDL()}, generation bigint").parquet(self.compacted_path)
+                    .join(kept, ["generation", "dataset_id"], "left_semi"))
+            size = sum(self._fs_path(p)[0].getContentSummary(self._fs_path(p)[1]).getLength() for p in paths)
+            # the deleted datasets are in no generation then; what is read now goes with a later call
+            self._move(rows, kept, -(-size // (128 << 20)))
+        # generations that hold no dataset any more, and unpublished ones
+        current = self._moved()
+        if deleted:
+            current = current.join(gone, "dataset_id", "left_anti")
+        live = {r[0] for r in current.select("generation").distinct().collect()}
+        for g in self._numbers(self.compacted_path, "generation="):
+            published = self._exists(f"{self.moved_path}/generation={g}")
+            mark = f"{self.moved_path}/generation={g}" if published else f"{self.compacted_path}/generation={g}"
+            if g not in live and g not in hit and self._age(mark) >= older_than:
+                self._delete(f"{self.compacted_path}/generation={g}")
+                self._delete(f"{self.moved_path}/generation={g}")
 
     def reconcile(self) -> DataFrame:
         """Register what the registry misses; idempotent.
 
         (a) rows with a NULL dataset id move to one new "recovered" dataset: their
         folder is renamed, so that a crash loses and doubles nothing; (b) every
-        other dataset id present in the signals but not in the registry gets a
-        registry row with its row count (a group-by and an anti join).  Registry
-        rows without signals are left alone.  Returns the registry rows added.
+        other dataset id present in the signals but neither in the registry nor
+        deleted gets a registry row with its row count (a group-by and an anti
+        join).  An id that was given to a staged file is registered as its
+        import would have done it.  Registry rows without signals are left
+        alone.  Returns the registry rows added.
         """
         before = self.registry().select("id")
-        null_part = f"{self.signals_path}/dataset_id={_NULL_PARTITION}"
-        if self._has_data(null_part):
-            id_ = self.allocate()[0]
-            fs, source = self._fs_path(null_part)
-            fs.rename(source, self._fs_path(f"{self.signals_path}/dataset_id={id_}")[1])
-            n = self.signals(include_unpublished=True).where(F.col("dataset_id") == id_).count()
-            self.register([(id_, RECOVERED_DATASET_NAME, n, None, None)])
-        known = self.registry()
+        adopted = self._adopt_null_rows()
+        if adopted is not None:
+            n = self.signals(include_unpublished=True).where(F.col("dataset_id") == adopted).count()
+            self.register([(adopted, RECOVERED_DATASET_NAME, n, None, None)])
         missing = (self.signals(include_unpublished=True).where(F.col("dataset_id").isNotNull())
                    .groupBy(F.col("dataset_id").alias("id")).agg(F.count(F.lit(1)).alias("row_count"))
-                   .join(known.select("id"), "id", "left_anti"))
+                   .join(self.registry().select("id"), "id", "left_anti"))
         if not missing.isEmpty():
             prefix, suffix = ORPHAN_DATASET_NAME.split("{id}")
-            self._register(missing.select(
-                "id", F.concat(F.lit(prefix), F.col("id").cast("string"), F.lit(suffix)).alias("name"), "row_count",
-                F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("timestamp").alias("source_mtime")))
-            self._remember(max(self._highest_id(), self.registry().agg(F.max("id")).first()[0]))
+            staged = (self._table(self.allocations_path, ALLOCATIONS_SCHEMA).groupBy("id")
+                      .agg(F.max("source_path").alias("source_path"), F.max("source_mtime").alias("source_mtime")))
+            file = F.element_at(F.split("source_path", "/"), -1)
+            stem = F.regexp_replace(file, r"(?<=.)\.[^.]*$", "")
+            added = self._register(missing.join(staged, "id", "left").select(
+                "id", F.coalesce(stem, F.concat(F.lit(prefix), F.col("id").cast("string"), F.lit(suffix))).alias("name"),
+                "row_count", "source_path", "source_mtime"))
+            for id_ in added:
+                self._create_absent(f"{self.ids_path}/{id_}")
+            if added:
+                self._remember(max(self._hint(), *added))
         return self.registry().join(before, "id", "left_anti")
 
     # -- discovery ----------------------------------------------------------

@@ -2,8 +2,9 @@
 
 The stream is the LISTING of a staging folder (``binaryFile`` source; only
 path, modification time and length are selected, so file contents are not
-read by the stream).  Each micro-batch hands its new paths to the batch
-ingest (S7), one dataset per file, as the reference's import does.  A CSV
+read by the stream).  Each micro-batch hands its new paths to
+:func:`feedlens.sources.batch.load_files`, which loads them as one dataset per
+file (S7), as the reference's import does, by plans of many files.  A CSV
 stream with a fixed schema is deliberately not used: Spark would bind columns
 by position and break header normalisation (C1) and missing columns (C2).
 
@@ -18,29 +19,19 @@ then run again.  Cleaning is stateless; no watermark is needed.
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.schema import HIDDEN_PREFIXES
 from feedlens.session import checkpoint_dir
+from feedlens.sources.batch import load_files
 from feedlens.sources.store import SignalStore
 
 DATA_GLOB = "*.{[cC][sS][vV],[pP][aA][rR][qQ][uU][eE][tT],[jJ][sS][oO][nN],[jJ][sS][oO][nN][lL]}"
 # the fixed schema of Spark's binaryFile source
 LISTING_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
-# Marks of Spark errors that speak of a file's content, header or name
-FILE_ERRORS = ("FAILED_READ_FILE", "CANNOT_READ_FILE", "Could not read footer", "is not a Parquet file",
-               "UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND", "COLUMN_ALREADY_EXISTS", "AMBIGUOUS_REFERENCE",
-               "DUPLICATED_MAP_KEY", "MALFORMED_RECORD", "MALFORMED_CSV")
-
-
-def _file_error(e: Exception) -> bool:
-    """Whether an import failed because of the file, and would fail again."""
-    if isinstance(e, (PySparkException, Py4JJavaError)):
-        return any(mark in str(e) for mark in FILE_ERRORS)
-    return isinstance(e, (ValueError, FileNotFoundError))
 
 
 def _load_batch(store: SignalStore, batch: DataFrame, multi_line: bool | None = None) -> None:
@@ -53,21 +44,11 @@ def _load_batch(store: SignalStore, batch: DataFrame, multi_line: bool | None =
         batch.where(~hidden).select(F.col("path").alias(key[0]), F.col("modificationTime").alias(key[1]))
         .join(store.registry().select(*key), key, "left_anti")
         .join(store.rejected().select(*key), key, "left_anti").orderBy(*key).collect())]
-    done, rejected = [], []
-    for (path, mtime), id_ in zip(files, store.bind(files)):
-        try:
-            _, stem, raw = store.prepare(path, multi_line)
-            n, bad = store.write_raw(raw, id_)
-        except Exception as e:
-            if not _file_error(e):
-                raise
-            rejected.append((path, mtime, str(e).splitlines()[0][:500]))
-            continue
-        done.append((id_, stem, n, path, mtime))
-        if bad:
-            rejected.append((path, mtime, f"{bad} malformed records"))
-    store.register(done)
-    store.reject(rejected)
+    ids = dict(zip(files, store.bind(files)))
+    done = load_files(store, {path: ids[path, mtime] for path, mtime in files}, multi_line)
+    stem = {path: os.path.splitext(path.rsplit("/", 1)[-1])[0] for path, _ in files}
+    store.register([(ids[f], stem[f[0]], done.rows[f[0]], *f) for f in files if f[0] in done.rows])
+    store.reject([(*f, done.reasons[f[0]]) for f in files if f[0] in done.reasons])
 
 
 def start_staged_import(spark: SparkSession, store: SignalStore, staging_dir: str,
