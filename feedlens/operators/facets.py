@@ -75,9 +75,14 @@ def facet_options(sig: DataFrame, f: SignalFilter | dict | None = None, tab: str
     Rows are sorted by dimension, then year ascending / count descending
     (value as tie-break).  ``min_count`` and ``cap`` override the defaults.
     """
+    return options(facet_counts(sig, f, dimensions), tab, min_count, cap, dimensions)
+
+
+def options(counts: DataFrame, tab: str | None = None, min_count: dict | None = None, cap: dict | None = None,
+            dimensions: Iterable[str] = tuple(DIMENSIONS)) -> DataFrame:
+    """The options of counted values (dim, value, cnt); see :func:`facet_options`."""
     mins = {**FACET_MIN_COUNT, **(min_count or {})}
     caps = {**FACET_CAP, **(cap or {})}
-    counts = facet_counts(sig, f, dimensions)
     parts = []
     for dim in dimensions:
         # One predicate over (dim, value, cnt): a filter on the grouping columns

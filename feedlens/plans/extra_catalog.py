@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from feedlens.functions.rounding import numpy_round_sql
 from feedlens.operators import derived as V
 from feedlens.operators import metrics as M
+from feedlens.operators import profiles as P
 from feedlens.operators import quality as Q
 from feedlens.operators.facets import facet_options, year_bounds
 from feedlens.operators.filters import SignalFilter
@@ -97,6 +98,15 @@ def sql_year_bounds() -> str:
         FROM (SELECT DISTINCT year FROM signals WHERE year IS NOT NULL) y""")
 
 
+# --- the same from counts kept with the datasets ----------------------------
+
+def q_profiled(fn):
+    """A query on the counts of a store of three datasets, one of which was loaded after the others were counted."""
+    def run(spark, sf_dir):
+        return fn(I.counted_store(spark, sf_dir).profiles())
+    return run
+
+
 # --- quality --------------------------------------------------------------
 
 def sql_non_null_counts() -> str:
@@ -397,6 +407,11 @@ def queries() -> dict:
         "rows_by_year_googleplay": lambda sp, d: Q.rows_by_year_for_source(s(sp, d), "GooglePlay"),
         "rows_by_source": lambda sp, d: Q.rows_by_source(s(sp, d)),
         "rows_by_dataset": lambda sp, d: Q.rows_by_dataset(s(sp, d)),
+        "filter_options_profiled": q_profiled(P.facet_options),
+        "non_null_counts_profiled": q_profiled(P.non_null_counts),
+        "coverage_by_source_profiled": q_profiled(P.coverage_by_source),
+        "rows_by_year_googleplay_profiled": q_profiled(lambda p: P.rows_by_year_for_source(p, "GooglePlay")),
+        "rows_by_source_profiled": q_profiled(P.rows_by_source),
         "benchmark_satisfaction": lambda sp, d: V.benchmark_satisfaction(M.competitive_benchmark(s(sp, d))),
         "channel_bands": lambda sp, d: V.channel_bands(M.sentiment_by_channel(s(sp, d))),
         "heatmap_cells": lambda sp, d: V.heatmap_cells(M.company_product_heatmap(s(sp, d))),
@@ -430,6 +445,11 @@ def oracle_sql() -> dict:
         "rows_by_year_googleplay": SQL_YEARS_GOOGLEPLAY,
         "rows_by_source": SQL_ROWS_BY_SOURCE,
         "rows_by_dataset": SQL_ROWS_BY_DATASET,
+        "filter_options_profiled": sql_facets(FACETS_ALL),
+        "non_null_counts_profiled": sql_non_null_counts(),
+        "coverage_by_source_profiled": SQL_COVERAGE,
+        "rows_by_year_googleplay_profiled": SQL_YEARS_GOOGLEPLAY,
+        "rows_by_source_profiled": SQL_ROWS_BY_SOURCE,
         "benchmark_satisfaction": sql_benchmark_satisfaction(),
         "channel_bands": sql_channel_bands(),
         "heatmap_cells": sql_heatmap_cells(),

@@ -187,6 +187,17 @@ def _loaded(spark: SparkSession, sf_dir: str) -> tuple[SignalStore, dict[int, Da
     return store, parts
 
 
+def counted_store(spark: SparkSession, sf_dir: str) -> SignalStore:
+    """A store whose datasets were counted before the last one came and one that was loaded twice went."""
+    store, parts = SignalStore(spark, scratch_path(spark, "store")), _parts(spark, sf_dir)
+    for i in (1, 2, 2):
+        store.append_table(parts[i], f"part {i}")
+    store.profiles()
+    store.append_table(parts[3], "part 3")
+    store.delete(2)
+    return store
+
+
 def _registry_and_rows(store: SignalStore) -> DataFrame:
     rows = store.signals().groupBy(F.col("dataset_id").alias("id")).agg(F.count(F.lit(1)).alias("visible"))
     return (store.registry().join(rows, "id", "left")

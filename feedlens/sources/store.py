@@ -5,6 +5,7 @@ Layout under one root folder (any Hadoop file system):
     signals/dataset_id=N/*.parquet      the rows of dataset N
     compacted/generation=G/*.parquet    the rows of many small datasets, sorted by dataset_id
     moved/generation=G/*.parquet        the datasets whose rows generation G holds
+    profiles/build=B/*.parquet          counts of datasets, by the call that made them
     datasets/id=N/*.parquet             the registry, one row per dataset
     ids/N                               an empty file for every id ever given
     allocations/*.parquet               ids given to staged files, by (path, time); negative when deleted
@@ -40,6 +41,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.operators.clean import conform_shaped, transform_and_clean
+from feedlens.operators.profiles import PROFILE_COLUMNS, profile_rows
 from feedlens.schema import (
     ALLOCATIONS_SCHEMA, DATASETS_SCHEMA, ORPHAN_DATASET_NAME, RECOVERED_DATASET_NAME, REJECTED_SCHEMA,
     SIGNAL_COLUMNS, SIGNALS_SCHEMA,
@@ -66,6 +68,7 @@ class SignalStore:
         self.deleted_path = f"{self.root}/deleted"
         self.compacted_path = f"{self.root}/compacted"
         self.moved_path = f"{self.root}/moved"
+        self.profiles_path = f"{self.root}/profiles"
 
     # -- file system helpers (Hadoop FS through the session) --------------
     def _fs_path(self, path: str):
@@ -183,6 +186,49 @@ class SignalStore:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
+    def profiles(self) -> DataFrame:
+        """Counts of the registered datasets for :mod:`feedlens.operators.profiles`.
+
+        Datasets never change, so each is counted once, by the first call after
+        it was registered, all new ones in one scan of theirs; otherwise no row
+        of the signals is read.  Of counts made twice at once, the first build's count.
+        """
+        known = self._profiled()
+        missing = self.registry().select(F.col("id").alias("dataset_id"))
+        if known is not None:
+            missing = missing.join(known, "dataset_id", "left_anti")
+        if not missing.isEmpty():
+            rows = self.signals().join(missing, "dataset_id", "left_semi")
+            # a row for each dataset, also for one without rows
+            counted = missing.select("dataset_id", F.lit("dataset").alias("dim"))
+            build = self._reserve("build", self.profiles_path)
+            staged = f"{self.profiles_path}/_new-{build}"
+            profile_rows(rows).unionByName(counted, allowMissingColumns=True).write.parquet(staged)
+            self._rename_absent(staged, f"{self.profiles_path}/build={build}")
+            known = self._profiled()
+        if known is None:
+            return self.spark.createDataFrame([], PROFILE_COLUMNS)
+        live = known.join(self.registry().select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
+        return self._counted().join(live, ["build", "dataset_id"], "left_semi").drop("build")
+
+    def _counted(self) -> DataFrame:
+        return self.spark.read.schema(f"{PROFILE_COLUMNS}, build bigint").parquet(self.profiles_path)
+
+    def _profiled(self) -> DataFrame | None:
+        """(dataset_id, build) of the counted datasets; None without any."""
+        if not self._has_data(self.profiles_path):
+            return None
+        return (self._counted().where("dim = 'dataset'")
+                .groupBy("dataset_id").agg(F.min("build").alias("build")))
+
+    def _reserve(self, kind: str, path: str) -> int:
+        """A number that no other call gets, for a folder ``kind=number`` in ``path``."""
+        n = max([0, *self._numbers(path, f"{kind}="), *self._numbers(self.ids_path, f"{kind}-")])
+        while True:
+            n += 1
+            if self._create_absent(f"{self.ids_path}/{kind}-{n}"):
+                return n
+
     def datasets(self) -> DataFrame:
         """Registry rows, newest first (id breaks ties)."""
         return (self.registry().select("id", "name", "loaded_at", "row_count")
@@ -429,11 +475,7 @@ class SignalStore:
 
     def _move(self, rows: DataFrame, datasets: DataFrame, n_files: int) -> None:
         """Writes rows as a new generation, which holds ``datasets`` from then on."""
-        while True:
-            known = [*self._numbers(self.compacted_path, "generation="), *self._numbers(self.ids_path, "generation-")]
-            generation = max([0, *known]) + 1
-            if self._create_absent(f"{self.ids_path}/generation-{generation}"):
-                break
+        generation = self._reserve("generation", self.compacted_path)
         (rows.select(*SIGNALS_SCHEMA.fieldNames()).repartitionByRange(max(1, int(n_files)), "dataset_id", *self.CLUSTER_BY)
          .sortWithinPartitions("dataset_id", *self.CLUSTER_BY)
          .write.parquet(f"{self.compacted_path}/generation={generation}"))

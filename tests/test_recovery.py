@@ -319,3 +319,34 @@ def test_other_failures_are_raised(spark, tmpdir_run, monkeypatch):
     monkeypatch.setattr(SignalStore, "write_rows", full)
     with pytest.raises(OSError):
         load_files(SignalStore(spark, os.path.join(tmpdir_run, "store")), {put(tmpdir_run, "a.csv", CSV): 1})
+
+
+# -- profiles ---------------------------------------------------------------------------
+
+def test_profiles_read_no_signals(spark, tmpdir_run):
+    from feedlens.operators import facets, profiles, quality
+    from feedlens.plans.testbed import signals_from_tables
+
+    store = SignalStore(spark, os.path.join(tmpdir_run, "store"))
+    assert store.profiles().count() == 0
+    sig = signals_from_tables(spark, "/root/testdata/sf0.001").drop("dataset_id")
+    for name in ("a", "b"):
+        store.append_table(sig, name)
+    store.ingest(put(tmpdir_run, "junk.csv", "date,source\nnope,Reddit\n"))
+    store.profiles()
+    builds = os.listdir(store.profiles_path)
+    store.delete(1)
+    p = store.profiles()
+    assert os.listdir(store.profiles_path) == builds  # nothing was counted again
+    assert not any("/signals/" in f for f in p.inputFiles())
+    rows = store.signals()
+    for got, want in ((profiles.facet_options(p), facets.facet_options(rows)),
+                      (profiles.facet_options(p, "retention"), facets.facet_options(rows, tab="retention")),
+                      (profiles.non_null_counts(p), quality.non_null_counts(rows)),
+                      (profiles.coverage_by_source(p), quality.coverage_by_source(rows)),
+                      (profiles.rows_by_year_for_source(p, "CFPB"), quality.rows_by_year_for_source(rows, "CFPB")),
+                      (profiles.rows_by_source(p), quality.rows_by_source(rows))):
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    store.delete_all()
+    assert profiles.non_null_counts(store.profiles()).first()[0] == 0
