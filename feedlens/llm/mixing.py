@@ -18,10 +18,9 @@ into ``BUCKETS`` hash buckets, bucket totals are summed per source, and
 documents are summed inside their bucket.
 
 Defined cases: null text has size 0; sizes of 0 are taken 0 times; a null
-source is a source; rows equal in doc_id, source and text are one document,
-rows that only share a doc_id are several; null doc_ids are documents too; an
-empty table gives an empty mix; other columns are kept by ``mix`` and not
-read, but must not begin with ``mix_``.
+source is a source; every row is a document, also rows with equal or null
+doc_ids and rows equal in all; an empty table gives an empty mix; other columns
+are kept by ``mix`` and not read, and an error if they begin with ``mix_``.
 """
 
 from __future__ import annotations
@@ -45,6 +44,12 @@ BUCKETS = 4096
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 0.75), (0.5, 1.25), (1.0, 0.75)))
 
 
+# What tells documents apart; rows equal in these are numbered
+KEY = ("doc_id", "source", "text_hash")
+# Equal rows that one task numbers at once
+_CHUNK = 1 << 16
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, text_hash): the documents' word counts."""
     def emit(batch):
@@ -118,14 +123,35 @@ def training_time(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
 
 def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST,
            schedules=SCHEDULES) -> DataFrame:
-    """Per document: (doc_id, source, text_hash, size, source_size, target, taken, copies).
+    """Per document: (doc_id, source, text_hash, number, size, source_size, target, taken, copies).
 
+    Rows equal in doc_id, source and text have a ``number`` from 0 on.
     ``copies`` lists (copy, words, position): each time the document is trained
     on, the words taken and the training time at which they begin.
     """
-    sized = written(
-        sizes(docs).dropDuplicates(["doc_id", "source", "text_hash"])
-        .withColumn("order", F.xxhash64(F.col("doc_id"), F.lit("mix"))), "sizes")
+    return _assign(_counted(docs), weights, budget, most, schedules)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """Documents and how many rows are equal to each, as a written table."""
+    return written(sizes(docs).groupBy(*KEY, "size").agg(F.count(F.lit(1)).alias("rows")), "sizes")
+
+
+def _numbered(counted: DataFrame) -> DataFrame:
+    """A row for each document row, equal ones numbered and in a place each; groups of any size are cut in chunks."""
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / _CHUNK).cast("int"))))
+    first = F.col("chunk").cast("long") * _CHUNK
+    numbered = (chunks.repartition(*KEY, "chunk")
+                .withColumn("number", F.explode(F.sequence(first, F.least(F.col("rows"), first + _CHUNK) - 1))))
+    place = (F.when(F.col("doc_id").isNull(), F.xxhash64("text_hash", "source", F.lit("mix"), "number"))
+             .when(F.col("number") > 0, F.xxhash64("doc_id", F.lit("mix"), "number"))
+             .otherwise(F.xxhash64("doc_id", F.lit("mix"))))
+    return numbered.select(*KEY, "size", "number", place.alias("order"))
+
+
+def _assign(counted: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST,
+            schedules=SCHEDULES) -> DataFrame:
+    sized = written(_numbered(counted), "numbered")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key")  # a null source is one too
     targets = source_targets(sized, weights, budget, most).select(key, "source_size", "rank", "target")
     # the order's leading bits are the bucket, so buckets are runs of the order
@@ -134,7 +160,7 @@ def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float =
     starts = (keyed.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
               .select("key", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("bucket_start"))
               .join(targets, "key"))
-    ahead = (Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "text_hash")
+    ahead = (Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "text_hash", "number")
              .rowsBetween(Window.unboundedPreceding, -1))
     placed = (keyed.withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
               .join(starts, ["key", "bucket"])
@@ -143,7 +169,7 @@ def assign(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float =
     # in epoch e, a source's words stand at e * source_size .. (e + 1) * source_size of its demand
     epochs = F.array(*[_one_copy(e, schedules) for e in range(math.ceil(most))])
     return (placed.withColumn("copies", F.filter(epochs, lambda c: c["words"] > 0))
-            .select("doc_id", "source", "text_hash", "size", "source_size", "target",
+            .select(*KEY, "number", "size", "source_size", "target",
                     F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken"),
                     "copies"))
 
@@ -162,13 +188,43 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     Adds ``mix_copy``, ``mix_words`` (the words of the text to train on, from its
     beginning) and ``mix_position`` (training time 0 .. 1).
     """
-    copies = assign(docs, **settings).select(
-        F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("text_hash").alias("mix_hash"),
-        F.explode("copies").alias("mix"))
-    rows = docs.withColumn("mix_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "mix_hash"])
-    on = (rows["doc_id"].eqNullSafe(copies["mix_doc"]) & rows["source"].eqNullSafe(copies["mix_source"])
-          & (rows["mix_hash"] == copies["mix_hash"]))
+    clash = [c for c in docs.columns if c.lower().startswith("mix_")]
+    if clash:
+        raise ValueError(f"columns must not begin with mix_: {clash}")
+    counted = _counted(docs)
+    copies = _assign(counted, **settings).select(*KEY, "number", F.explode("copies").alias("mix"))
+    copies = copies.select(*[F.col(c).alias(f"mix_{c}") for c in (*KEY, "number")], "mix")
+    rows = _rows_numbered(docs, counted.where("rows > 1").select(*KEY))
+    on = [rows["doc_id"].eqNullSafe(copies["mix_doc_id"]), rows["source"].eqNullSafe(copies["mix_source"]),
+          rows["mix_hash"] == copies["mix_text_hash"], rows["mix_row"] == copies["mix_number"]]
     return (rows.join(copies, on)
             .select(*[rows[c] for c in docs.columns], F.col("mix.copy").alias("mix_copy"),
                     F.col("mix.words").alias("mix_words"), F.col("mix.position").alias("mix_position"))
             .orderBy("mix_position", "doc_id", "mix_copy"))
+
+
+def _rows_numbered(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows with their text's hash and, among rows equal in ``KEY``, a number from 0 on.
+
+    Only rows of ``repeated`` keys are numbered; a key's rows are numbered
+    where they are stored, behind those of earlier parts, and not in one task.
+    """
+    rows = docs.withColumn("mix_hash", F.xxhash64("text"))
+    if repeated.isEmpty():
+        return rows.withColumn("mix_row", F.lit(0).cast("long"))
+    keys = repeated.select(*[F.col(c).alias(f"mix_{c}") for c in KEY])
+    on = [rows["doc_id"].eqNullSafe(keys["mix_doc_id"]), rows["source"].eqNullSafe(keys["mix_source"]),
+          rows["mix_hash"] == keys["mix_text_hash"]]
+    several = written(rows.join(keys, on, "left_semi").withColumn("mix_part", F.spark_partition_id())
+                      .withColumn("mix_row", F.monotonically_increasing_id()), "repeated")
+    key = ["doc_id", "source", "mix_hash"]
+    before = Window.partitionBy(*key).orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (several.groupBy(*key, "mix_part").agg(F.count(F.lit(1)).alias("mix_n"))
+              .select(*[F.col(c).alias(f"mix_key_{i}") for i, c in enumerate(key)], F.col("mix_part").alias("mix_at"),
+                      F.coalesce(F.sum("mix_n").over(before), F.lit(0)).alias("mix_start")))
+    inside = Window.partitionBy(*key, "mix_part").orderBy("mix_row")
+    same = [several[c].eqNullSafe(starts[f"mix_key_{i}"]) for i, c in enumerate(key)]
+    numbered = (several.withColumn("mix_row", F.row_number().over(inside).cast("long") - 1)
+                .join(starts, [*same, several["mix_part"] == starts["mix_at"]])
+                .select(*docs.columns, "mix_hash", (F.col("mix_row") + F.col("mix_start")).alias("mix_row")))
+    return rows.join(keys, on, "left_anti").withColumn("mix_row", F.lit(0).cast("long")).unionByName(numbered)

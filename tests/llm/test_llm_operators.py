@@ -429,11 +429,24 @@ def test_mix_follows_the_schedule(spark):
     assert sum(r.source == "s0" and r.mix_position < 0.5 for r in order) / 2000 == pytest.approx(0.5, abs=0.02)
 
 
-def test_mix_counts_equal_rows_once(spark):
-    docs = spark.createDataFrame([(1, "a b", None), (1, "a b", None), (None, "c", "s"), (2, None, "s")],
-                                 "doc_id long, text string, source string")
-    assert assign(docs).count() == 3
-    assert {r.doc_id for r in mix(docs).collect()} <= {1, None}
+def test_mix_keeps_every_row(spark):
+    """Equal rows, equal ids and null ids are documents each; their words count each time."""
+    rows = ([(1, "a b", None, "x")] * 3 + [(1, "a b", None, "y"), (1, "a b", "s", "x"), (1, "other", "s", "x")]
+            + [(None, "c", "s", "x")] * 4 + [(None, None, "s", "x"), (2, None, "s", "x"), (3, "d e f", "s", "x")])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3)
+    got = assign(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.source, r.source_size) for r in got} == {(None, 8), ("s", 2 + 1 + 4 + 3)}
+    assert sorted(r.number for r in got if r.doc_id == 1 and r.source is None) == [0, 1, 2, 3]
+    # with a budget of the corpus, and no source beyond its own size, everything is taken once
+    taken = mix(docs, weights=(1,), budget=1.0, most=1).collect()
+    assert sorted(((r.doc_id, r.text, r.source, r.lang) for r in taken), key=str) == sorted(
+        (r for r in rows if r[1]), key=str)
+    again = mix(docs.repartition(5), weights=(1,), budget=1.0, most=1)
+    assert sorted((str(r[:3]), r.mix_words, r.mix_position) for r in again.collect()) == sorted(
+        (str(r[:3]), r.mix_words, r.mix_position) for r in taken)
+    with pytest.raises(ValueError, match="mix_"):
+        mix(docs.withColumn("mix_words", F.lit(1)))
 
 
 # -- 10 -----------------------------------------------------------------------
