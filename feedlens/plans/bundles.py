@@ -2,11 +2,10 @@
 
 By default a bundle runs its tab as ONE grouping-sets aggregation over the
 filtered rows (:mod:`feedlens.plans.fused`): one scan and one shuffle for
-the whole tab, and only that small aggregate is persisted
-(MEMORY_AND_DISK: spills instead of failing; a lost block is recomputed
-from lineage).  ``fused=False`` runs each metric on its own over the
-filtered, column-pruned base instead (optionally persisted).  Both return
-the same tables.  Use a bundle as a context manager so the persisted frame
+the whole tab, and only that small aggregate is kept, in the checkpoint folder,
+where lost executors cost nothing.  ``fused=False`` runs each metric on its own
+over the filtered, column-pruned base instead (optionally persisted).  Both
+return the same tables.  Use a bundle as a context manager so a persisted base
 is released.
 """
 
@@ -21,6 +20,7 @@ from feedlens.operators import derived as V
 from feedlens.operators import metrics as M
 from feedlens.operators.filters import SignalFilter, as_filter
 from feedlens.plans import fused as FU
+from feedlens.session import checkpoint_dir
 
 # Columns each tab reads (column pruning before a persist of the base).
 _COLUMNS = {
@@ -74,6 +74,20 @@ def _hold(df: DataFrame, persist: bool) -> tuple[DataFrame, DataFrame | None]:
     return df, None
 
 
+def _hold_small(df: DataFrame, persist: bool) -> tuple[DataFrame, DataFrame | None]:
+    """A tab's aggregate, kept in the checkpoint folder by the first table that needs it.
+
+    It is no cached plan: tables that combine several results of a tab (the
+    status table) do not find a cached plan in all of them, and would scan the
+    signals again for each.
+    """
+    if not persist:
+        return df, None
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=False)
+    return df, df
+
+
 def _base(sig: DataFrame, f: SignalFilter, tab: str) -> DataFrame:
     return f.apply(sig).select(*[c for c in _COLUMNS[tab] if c in sig.columns])
 
@@ -83,7 +97,7 @@ def marketing(sig: DataFrame, f: SignalFilter | dict | None = None, persist: boo
     """B1: M1-M5 + V3, V6, V9."""
     f = as_filter(f)
     if fused:
-        agg, held = _hold(FU.marketing_aggregate(f.apply(sig)), persist)
+        agg, held = _hold_small(FU.marketing_aggregate(f.apply(sig)), persist)
         fr = FU.marketing_frames(agg)
     else:
         base, held = _hold(_base(sig, f, "marketing"), persist)
@@ -102,7 +116,7 @@ def direction(sig: DataFrame, f: SignalFilter | dict | None = None, persist: boo
     """B2: M6-M10 + V1, V2, V4, V7, V9.  ``heatmap_products``: see :func:`~feedlens.operators.derived.heatmap_matrix`."""
     f = as_filter(f)
     if fused:
-        agg, held = _hold(FU.direction_aggregate(f.apply(sig)), persist)
+        agg, held = _hold_small(FU.direction_aggregate(f.apply(sig)), persist)
         fr = FU.direction_frames(agg)
     else:
         base, held = _hold(_base(sig, f, "direction"), persist)
@@ -124,7 +138,7 @@ def retention(sig: DataFrame, f: SignalFilter | dict | None = None, persist: boo
     """M11-M15."""
     f = as_filter(f)
     if fused:
-        agg, held = _hold(FU.retention_aggregate(f.apply(sig)), persist)
+        agg, held = _hold_small(FU.retention_aggregate(f.apply(sig)), persist)
         fr = FU.retention_frames(agg)
     else:
         base, held = _hold(_base(sig, f, "retention"), persist)
@@ -140,7 +154,7 @@ def product(sig: DataFrame, f: SignalFilter | dict | None = None, persist: bool
     """M16-M19 + V5, always without the source filter."""
     f = as_filter(f).without("sources")
     if fused:
-        agg, held = _hold(FU.product_aggregate(sig, f, reference_precedence), persist)
+        agg, held = _hold_small(FU.product_aggregate(sig, f, reference_precedence), persist)
         fr = FU.product_frames(agg, has_rating="rating" in sig.columns)
     else:
         held = None
