@@ -16,8 +16,13 @@ pieces that begin with a space begin words.  The automaton is built on the
 driver and broadcast: its size depends on the vocabulary alone, which may have
 ``MAX_PIECES`` pieces.
 
-Defined cases: null and empty texts have no words and no tokens; every row is
-counted on its own; other columns are not read.
+Once only ``FEW`` words of a chunk go on, each is finished by itself, byte by
+byte over a dictionary, which is faster then: words of any length (base64,
+unspaced text) take about a microsecond a byte.
+
+Defined cases: null and empty texts have no words and no tokens; words of any
+length are counted whole; every row is counted on its own; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from __future__ import annotations
 import base64
 from collections import deque
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +41,7 @@ from .tables import map_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_PIECES = 1_000_000
+FEW = 32
 
 
 @dataclass
@@ -46,6 +52,7 @@ class Automaton:
     to: np.ndarray
     fail: np.ndarray     # node after closing pieces, -1 without one
     popped: np.ndarray   # pieces closed on the way there
+    _lists: tuple | None = field(default=None, repr=False)  # the same as a dictionary and lists, when first needed
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node * 256 + byte
@@ -61,6 +68,11 @@ class Automaton:
         active = np.searchsorted(-sizes[order], -np.arange(1, (sizes.max() if n else 0) + 1), side="right")
         for i, m in enumerate(active):  # the m words that have a byte at place i
             rows = order[:m]
+            if m <= FEW:
+                for r in rows[~dead[rows]].tolist():
+                    word = data[starts[r] + i:ends[r]].tobytes()
+                    node[r], total[r], dead[r] = self._go_on(int(node[r]), int(total[r]), word)
+                break
             byte = data[starts[rows] + i].astype(np.int64)
             todo = np.flatnonzero(~dead[rows])
             while len(todo):
@@ -86,6 +98,22 @@ class Automaton:
         return total
 
 
+    def _go_on(self, node: int, total: int, rest: bytes) -> tuple[int, int, bool]:
+        """A word's node, closed pieces and whether it has no cut, after some more bytes."""
+        if self._lists is None:
+            self._lists = dict(zip(self.keys.tolist(), self.to.tolist())), self.fail.tolist(), self.popped.tolist()
+        edges, fail, popped = self._lists
+        for byte in rest:
+            while (nxt := edges.get(node * 256 + byte)) is None:
+                total += popped[node]
+                back = fail[node]
+                if back < 0:
+                    return 0, total, True
+                node = back
+            node = nxt
+        return node, total, False
+
+
 def build(initial: Iterable[bytes], continuing: Iterable[bytes]) -> Automaton:
     """The automaton of two piece sets; raises if they are empty or beyond ``MAX_PIECES``."""
     child: list[dict[int, int]] = [{}, {}]

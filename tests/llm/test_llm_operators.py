@@ -106,6 +106,26 @@ def test_automaton_matches_greedy_on_random_vocabularies():
         assert got.tolist() == [brute.pieces(t, initial, continuing) for t in texts]
 
 
+def test_very_long_words(monkeypatch):
+    """Their time goes by their bytes, and few long words among many short ones are counted right."""
+    import time
+
+    from feedlens.llm import token_counts
+
+    initial, continuing = (set(x) for x in read_vocabulary())
+    a, rng = build(initial, continuing), random.Random(9)
+    texts = [bytes(rng.choice(b"abcdefghiABC0123+/") for _ in range(n)) for n in [3, 9, 40] * 50 + [900, 20_000, 1_000_000]]
+    ends = np.cumsum([len(t) for t in texts])
+    begun = time.process_time()
+    got = a.count(np.frombuffer(b"".join(texts), np.uint8), ends - [len(t) for t in texts], ends)
+    assert time.process_time() - begun < 20
+    assert got[:-2].tolist() == [brute.pieces(t, initial, continuing) for t in texts[:-2]]
+    # all words in step, as without the dictionary
+    monkeypatch.setattr(token_counts, "FEW", 0)
+    assert got[:-1].tolist() == a.count(np.frombuffer(b"".join(texts[:-1]), np.uint8),
+                                        (ends - [len(t) for t in texts])[:-1], ends[:-1]).tolist()
+
+
 def test_vocabulary_bounds():
     with pytest.raises(ValueError):
         build([], [])
