@@ -1,13 +1,18 @@
 """A gated recurrent language model in numpy with a class-factored softmax output.
 
-Token ids below ``n_head`` are words of the head vocabulary, in classes of
-``CLASS_SIZE``; ids from there on are classes of rarer words, which have no
+Token ids below ``n_head`` are words of the head vocabulary, the most frequent
+first, cut into classes of consecutive ids with equal sums of the roots of their
+counts: frequent words sit in small classes, so that few words are weighed for
+most tokens.  Ids from ``n_head`` on are classes of rarer words, which have no
 members here.  The model gives log P(class | state), and for head words
 log P(word | class, state) on top.
 
 Texts run in lanes, many at once, each from its beginning with an empty state;
 the state is carried from window to window to the text's end.  Training
-back-propagates within a window only.
+back-propagates within a window only.  A window has about the same number of
+tokens whatever the number of lanes that reach it: where few long texts are
+left, it has more steps.  Windows are cut from the tokens as they come, so what
+is held goes by the tokens in hand and not by the longest text.
 """
 
 from __future__ import annotations
@@ -18,141 +23,165 @@ from collections.abc import Iterator
 import numpy as np
 
 HIDDEN = 16
-CLASS_SIZE = 256
-STEPS = 32       # steps of a window
+CLASSES = 64     # of head words
+STEPS = 32       # steps of a window that all lanes reach
+MAX_STEPS = 512  # steps of a window that few lanes reach
 LANES = 256      # of scoring
-TRAIN_LANES = 128
+TRAIN_LANES = 256
 RATE = 0.15
 CLIP = 5.0
 _F = np.float32
 
 
+def class_starts(head_counts: np.ndarray, n_classes: int = CLASSES) -> np.ndarray:
+    """The first id of each class of head words, and the number of head words as the last bound."""
+    roots = np.sqrt(head_counts + 0.5)
+    share = (np.cumsum(roots) - roots) / roots.sum()
+    kind = np.minimum((share * n_classes).astype(np.int64), n_classes - 1)
+    return np.append(np.unique(kind, return_index=True)[1], len(head_counts))
+
+
 def initial(head_counts: np.ndarray, rest_counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """Parameters that reproduce the unigram frequencies whatever the state."""
     rng = np.random.default_rng(seed)
-    n = -(-len(head_counts) // CLASS_SIZE) * CLASS_SIZE
-    bias = np.full(n, -30.0)
-    bias[:len(head_counts)] = np.log(head_counts + 0.5)
-    mass = np.concatenate([np.exp(bias).reshape(-1, CLASS_SIZE).sum(axis=1), rest_counts + 0.5])
+    n, starts = len(head_counts), class_starts(head_counts)
+    mass = np.concatenate([np.add.reduceat(head_counts + 0.5, starts[:-1]), rest_counts + 0.5])
+    of_class = np.repeat(mass[:len(starts) - 1], np.diff(starts))
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(_F)
+    # output tables: a row of weights for each class or word, its bias at the end
+    biased = lambda bias: np.column_stack([small(len(bias), HIDDEN) * _F(0.1), bias]).astype(_F)
     return {"inputs": small(n + len(rest_counts), 3 * HIDDEN), "state": small(HIDDEN, 3 * HIDDEN),
-            "classes": small(HIDDEN, len(mass)) * _F(0.1), "class_bias": np.log(mass / mass.sum()).astype(_F),
-            "words": small(n, HIDDEN) * _F(0.1), "word_bias": bias.astype(_F)}
-
-
-def lanes(ids: np.ndarray, ptr: np.ndarray, n_lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
-    """Texts, end to end, in lanes of about equal length, the longest lane first.
-
-    Returns token ids (steps x lanes, -1 for none) and the texts they are of.
-    """
-    sizes = np.diff(ptr)
-    n_lanes = max(1, min(n_lanes, len(sizes)))
-    heap = [(0, b) for b in range(n_lanes)]
-    place = np.empty((len(sizes), 2), np.int64)
-    for d in np.argsort(-sizes, kind="stable"):
-        used, b = heap[0]
-        place[d] = used, b
-        heapq.heapreplace(heap, (used + int(sizes[d]), b))
-    longest_first = sorted(heap, reverse=True)
-    n_steps = longest_first[0][0]
-    row = np.empty(n_lanes, np.int64)
-    row[[b for _, b in longest_first]] = np.arange(n_lanes)
-    place[:, 1] = row[place[:, 1]]
-    tokens, owner = np.full((n_lanes, n_steps), -1, np.int32), np.zeros((n_lanes, n_steps), np.int32)
-    for d, (at, b) in enumerate(place):
-        tokens[b, at:at + sizes[d]] = ids[ptr[d]:ptr[d + 1]]
-        owner[b, at:at + sizes[d]] = d
-    return np.ascontiguousarray(tokens.T), np.ascontiguousarray(owner.T)
+            "classes": biased(np.log(mass / mass.sum())), "words": biased(np.log((head_counts + 0.5) / of_class))}
+
+
+class Lanes:
+    """Texts, end to end, in lanes of about equal length, the longest lane first."""
+
+    def __init__(self, ids: np.ndarray, ptr: np.ndarray, n_lanes: int):
+        sizes = np.diff(ptr)
+        n_lanes = max(1, min(n_lanes, len(sizes)))
+        heap, texts = [(0, b) for b in range(n_lanes)], [[] for _ in range(n_lanes)]
+        for d in np.argsort(-sizes, kind="stable"):
+            used, b = heap[0]
+            texts[b].append(d)
+            heapq.heapreplace(heap, (used + int(sizes[d]), b))
+        order = [b for _, b in sorted(heap, reverse=True)]
+        self.text = np.concatenate([np.array(texts[b], np.int64) for b in order])  # by place in the stream
+        self.size = np.array([sizes[texts[b]].sum() for b in order], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.bounds = np.concatenate([[0], np.cumsum(sizes[self.text])])
+        self.stream = ids[np.repeat(ptr[:-1][self.text] - self.bounds[:-1], sizes[self.text]) + np.arange(len(ids))]
+
+    def windows(self, n_tokens: int, end: int = 0) -> Iterator[tuple]:
+        """(inputs, targets, keep, texts) of each window and the lanes that reach it.
+
+        A step's input is the token before it; where a text begins, it is the end token and keep is 0.
+        Targets are -1 where a lane has ended.
+        """
+        t = 0
+        while (n := int((self.size > t).sum())):
+            steps = min(max(STEPS, n_tokens // n), MAX_STEPS, int(self.size[0]) - t)
+            at = self.start[:n] + np.arange(t, t + steps)[:, None]
+            real = np.arange(t, t + steps)[:, None] < self.size[:n]
+            at = np.where(real, at, self.start[:n])
+            place = np.searchsorted(self.bounds, at, side="right") - 1
+            first = self.bounds[place] == at
+            given = np.where(first, end, self.stream[np.maximum(at - 1, 0)])
+            yield given, np.where(real, self.stream[at], -1), (~first).astype(_F)[:, :, None], self.text[place]
+            t += steps
 
 
 def _sigmoid(x):
     return _F(0.5) * np.tanh(_F(0.5) * x) + _F(0.5)
 
 
-def _exp(h, weights, bias):
-    """Logits, their exponentials and the sums of these; biases are log counts, so sums are far from 0."""
-    logits = h @ weights
-    logits += bias
-    np.minimum(logits, 60, out=logits)
-    e = np.exp(logits)
-    return logits, e, e @ np.ones(e.shape[1], e.dtype)
+def _softmax(h: np.ndarray, weights: np.ndarray, wanted: np.ndarray, rows: np.ndarray):
+    """Log probability of the wanted outcome of each row, and the probabilities times their sums, and these sums."""
+    e = h @ weights.T
+    own = e[rows, wanted]
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], _F)
+    if not (total.min() > 1e-30 and total.max() < 1e30):  # biases are logs of shares: only far from them
+        e = h @ weights.T
+        top = e.max(axis=1)
+        own = own - top
+        np.exp(e - top[:, None], out=e)
+        total = e.sum(axis=1)
+    return own - np.log(total), e, total
 
 
 class Model:
-    def __init__(self, params: dict[str, np.ndarray]):
-        self.p = params
+    def __init__(self, params: dict[str, np.ndarray], starts: np.ndarray):
+        self.p, self.starts = params, starts
         self.n_head = len(params["words"])
+        rest = len(params["inputs"]) - self.n_head
+        self.kind = np.repeat(np.arange(len(starts) - 1 + rest), np.append(np.diff(starts), np.ones(rest, np.int64)))
 
-    def windows(self, tokens: np.ndarray, owner: np.ndarray, end: int = 0) -> Iterator[tuple]:
-        """(inputs, targets, keep, texts) of each window and the lanes that reach it; keep is 0 where a text begins."""
-        first = np.ones(tokens.shape, bool)
-        first[1:] = owner[1:] != owner[:-1]
-        first[1:] |= tokens[:-1] == end  # texts that follow each other in a lane end with the end token
-        given = np.full(tokens.shape, end, np.int32)
-        given[1:] = np.where(first[1:], end, tokens[:-1])
-        given = np.maximum(given, 0)
-        for t in range(0, len(tokens), STEPS):
-            part = slice(t, t + STEPS), slice(0, int((tokens[t] >= 0).sum()))
-            yield given[part], tokens[part], (~first[part]).astype(_F)[:, :, None], owner[part]
-
-    def run(self, given: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States (steps x lanes x HIDDEN) after each step's input."""
+    def run(self, given: np.ndarray, keep: np.ndarray, h: np.ndarray, trace: dict | None = None) -> np.ndarray:
+        """States (steps x lanes x HIDDEN) after each step's input; ``trace`` gets what going back needs."""
         p, k = self.p, HIDDEN
-        out = np.empty((*given.shape, k), _F)
+        shape = (*given.shape, k)
+        out = np.empty(shape, _F)
+        if trace is not None:
+            trace.update({c: np.empty(shape, _F) for c in ("before", "z", "r", "n", "g")})
         x = p["inputs"][given]
         for t in range(len(given)):
             h = h * keep[t]
             g = h @ p["state"]
             zr = _sigmoid(x[t, :, :2 * k] + g[:, :2 * k])
-            z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(x[t, :, 2 * k:] + r * g[:, 2 * k:])
+            z, r, g = zr[:, :k], zr[:, k:], g[:, 2 * k:]
+            n = np.tanh(x[t, :, 2 * k:] + r * g)
             if trace is not None:
-                trace.append((h, z, r, n, g[:, 2 * k:]))
+                for c, value in zip(("before", "z", "r", "n", "g"), (h, z, r, n, g)):
+                    trace[c][t] = value
             h = n + z * (h - n)
             out[t] = h
         return out
 
-    def _class_of(self, targets: np.ndarray) -> np.ndarray:
-        return np.where(targets < self.n_head, targets // CLASS_SIZE, targets - self.n_head + self.n_head // CLASS_SIZE)
+    def log_probs(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None):
+        """Natural log probability of each target given its state, and the gradient by the state.
 
-    def log_probs(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None):
-        """Natural log probability of each target given its state, and the gradient by the state."""
+        ``grads`` gets the gradients; of words, by the class, for the classes that occur.
+        """
         p = self.p
-        rows, kind = np.arange(len(targets)), self._class_of(targets)
-        logits, e, total = _exp(h, p["classes"], p["class_bias"])
-        out = logits[rows, kind] - np.log(total)
-        dh = None
+        order = np.argsort(self.kind[targets], kind="stable")
+        h, targets = np.ones((len(order), HIDDEN + 1), _F), targets[order]
+        h[:, :-1] = states[order]
+        rows, kind = np.arange(len(targets)), self.kind[targets]
+        got, e, total = _softmax(h, p["classes"], kind, rows)
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, kind] -= 1
-            grads["classes"] += h.T @ d
-            grads["class_bias"] += d.sum(axis=0)
-            dh = d @ p["classes"].T
-        order = np.argsort(kind, kind="stable")
-        n_classes = self.n_head // CLASS_SIZE
-        cuts = np.searchsorted(kind[order], np.arange(n_classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)):
-            at, block = order[cuts[c]:cuts[c + 1]], slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
+            e /= total[:, None]
+            e[rows, kind] -= 1
+            grads["classes"], grads["words"] = e.T @ h, {}
+            dh = e @ p["classes"][:, :-1]
+        cuts = np.searchsorted(kind, np.arange(len(self.starts)))
+        for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1)):
+            at, block = slice(cuts[c], cuts[c + 1]), slice(self.starts[c], self.starts[c + 1])
             own, w = h[at], p["words"][block]
-            logits, e, total = _exp(own, w.T, p["word_bias"][block])
-            place, some = targets[at] - c * CLASS_SIZE, np.arange(len(at))
-            out[at] += logits[some, place] - np.log(total)
+            some, place = rows[:len(own)], targets[at] - self.starts[c]
+            logp, e, total = _softmax(own, w, place, some)
+            got[at] += logp
             if grads is not None:
-                d = e / total[:, None]
-                d[some, place] -= 1
-                grads["words"][block] += d.T @ own
-                grads["word_bias"][block] += d.sum(axis=0)
-                dh[at] += d @ w
-        return out, dh
+                e /= total[:, None]
+                e[some, place] -= 1
+                grads["words"][block.start, block.stop] = e.T @ own
+                dh[at] += e @ w[:, :-1]
+        out = np.empty_like(got)
+        out[order] = got
+        if grads is None:
+            return out, None
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
     def score(self, ids: np.ndarray, ptr: np.ndarray) -> np.ndarray:
         """Natural log probability of each whole text (rarer words: of their class)."""
         out = np.zeros(len(ptr) - 1)
         if not len(ids):
             return out
-        tokens, owner = lanes(ids, ptr)
-        h = np.zeros((tokens.shape[1], HIDDEN), _F)
-        for given, targets, keep, texts in self.windows(tokens, owner):
+        lanes = Lanes(ids, ptr, LANES)
+        h = np.zeros((len(lanes.size), HIDDEN), _F)
+        for given, targets, keep, texts in lanes.windows(STEPS * LANES):
             states = self.run(given, keep, h[:given.shape[1]])
             h = states[-1]
             real = targets >= 0
@@ -164,52 +193,58 @@ class Model:
         """One pass of truncated back-propagation with adaptive steps (sums of squares per parameter)."""
         if not len(ids):
             return
-        tokens, owner = lanes(ids, ptr, TRAIN_LANES)
-        h = np.zeros((tokens.shape[1], HIDDEN), _F)
-        for given, targets, keep, _ in self.windows(tokens, owner):
-            trace: list = []
+        lanes = Lanes(ids, ptr, TRAIN_LANES)
+        h = np.zeros((len(lanes.size), HIDDEN), _F)
+        for given, targets, keep, _ in lanes.windows(STEPS * TRAIN_LANES):
+            trace: dict = {}
             states = self.run(given, keep, h[:given.shape[1]], trace)
             h = states[-1]
             real = targets >= 0
-            grads = {k: np.zeros_like(v) for k, v in self.p.items() if k != "inputs"}
+            grads: dict = {}
             _, dh = self.log_probs(states[real], targets[real], grads)
             dstates = np.zeros_like(states)
             dstates[real] = dh
             used, rows = self._backward(given, keep, trace, dstates, grads)
-            scale = _F(1.0 / (STEPS * tokens.shape[1]))  # windows that few lanes reach weigh less
-            size = float(scale) * np.sqrt(sum(float(np.vdot(g, g)) for g in [rows, *grads.values()]))
+            # steps touch the classes and the input rows of tokens that occurred
+            parts = [(k, slice(None), grads[k]) for k in ("state", "classes")] + [("inputs", used, rows)]
+            parts += [("words", slice(*block), g) for block, g in grads["words"].items()]
+            scale = _F(1.0 / (STEPS * TRAIN_LANES))  # windows of fewer tokens weigh less
+            size = float(scale) * np.sqrt(sum(float(np.vdot(g, g)) for _, _, g in parts))
             scale *= _F(min(1.0, CLIP / max(size, 1e-9)))
-            for k, g in grads.items():
-                self._step(self.p[k], squares[k], g * scale)
-            # of the input table, only the rows of tokens that occurred
-            part, sums = self.p["inputs"][used], squares["inputs"][used]
-            self._step(part, sums, rows * scale)
-            self.p["inputs"][used], squares["inputs"][used] = part, sums
-
-    @staticmethod
-    def _step(values, squares, g) -> None:
-        squares += g * g
-        values -= _F(RATE) * g / (np.sqrt(squares) + _F(1e-6))
+            for k, at, g in parts:
+                g *= scale
+                sums = squares[k][at] + g * g
+                squares[k][at] = sums
+                np.sqrt(sums, out=sums)
+                sums += _F(1e-6)
+                g *= _F(RATE)
+                g /= sums
+                self.p[k][at] -= g
 
     def _backward(self, given, keep, trace, dstates, grads) -> tuple[np.ndarray, np.ndarray]:
         """Adds the gradient of the state weights; returns that of the input table by token id."""
-        u, k = self.p["state"], HIDDEN
-        dx = np.empty((*given.shape, 3 * k), _F)
+        back, k = np.ascontiguousarray(self.p["state"].T), HIDDEN
+        z, r, n = trace["z"], trace["r"], trace["n"]
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (trace["before"] - n) * z * (1 - z), trace["g"] * r * (1 - r)
+        dg = np.empty((*given.shape, 3 * k), _F)
         carry = np.zeros_like(dstates[0])
         for t in range(len(given) - 1, -1, -1):
-            h, z, r, n, gn = trace[t]
-            d = dstates[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (h - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            dx[t, :, :2 * k], dx[t, :, 2 * k:] = dg[:, :2 * k], dn
-            grads["state"] += h.T @ dg
-            carry = (d * z + dg @ u.T) * keep[t]
-        flat, rows = given.reshape(-1), dx.reshape(-1, 3 * k)
-        order = np.argsort(flat, kind="stable")
-        ids, first = np.unique(flat[order], return_index=True)
-        return ids, np.add.reduceat(rows[order], first, axis=0)
+            d = carry
+            d += dstates[t]
+            dn, here = d * by_n[t], dg[t]
+            here[:, :k] = d * by_z[t]
+            here[:, k:2 * k] = dn * by_r[t]
+            here[:, 2 * k:] = dn * r[t]
+            dstates[t] = dn
+            carry = d * z[t]
+            carry += here @ back
+            carry *= keep[t]
+        flat = dg.reshape(-1, 3 * k)
+        grads["state"] = trace["before"].reshape(-1, k).T @ flat
+        dg[:, :, 2 * k:] = dstates  # the input stands beside the reset state, not under it
+        order = np.argsort(given, axis=None, kind="stable")
+        ids, first = np.unique(given.reshape(-1)[order], return_index=True)
+        return ids, np.add.reduceat(flat[order], first, axis=0)
 
 
 def flat(params: dict[str, np.ndarray]) -> np.ndarray:

@@ -42,12 +42,12 @@ from . import words as W
 from .tables import crc_fold, longs, map_arrow, written
 
 HELD_FOLD = 1
-HEAD = 32_768   # the end and the most frequent words, in classes of about the square root (gru.CLASS_SIZE)
+HEAD = 32_768   # the end and the most frequent words, in gru.CLASSES classes
 HEAD_TIMES = 2  # a word of the head occurs so often: words seen once train the rest classes for unseen ones
 REST = 8
 KNOWN = 262_144
 ROUNDS = 2
-TRAIN_BYTES = 4 << 20  # text that one set of lanes holds
+TRAIN_BYTES = 8 << 20  # text that one set of lanes holds
 BLOCK = 8192           # parameters in a row while they are averaged
 SPREAD = 64            # partial averages of a block
 _U = np.uint64
@@ -105,7 +105,8 @@ class Vocabulary:
     types: int              # V
     rest_total: np.ndarray  # N and V of each rest class
     rest_types: np.ndarray
-    n_head: int             # ids of head tokens, padded to whole classes
+    n_head: int             # ids of head tokens
+    starts: np.ndarray      # their classes
 
     def base(self) -> float:
         return float(np.log10(self.total + 0.5 * (self.types + 1)))
@@ -131,9 +132,8 @@ def vocabulary(counts: DataFrame, n_ends: int) -> tuple[Vocabulary, np.ndarray]:
     rest_n -= np.bincount(kind[:n_head_words], weights=n[:n_head_words], minlength=REST)
     rest_v -= np.bincount(kind[:n_head_words], minlength=REST)
     head_counts = np.concatenate([[n_ends], n[:n_head_words]]).astype(float)
-    size = -(-len(head_counts) // gru.CLASS_SIZE) * gru.CLASS_SIZE
     return Vocabulary(h[:n_head_words][order], order + 1, h[known], n[known], n_ends, total, types,
-                      rest_n, rest_v, size), head_counts
+                      rest_n, rest_v, len(head_counts), gru.class_starts(head_counts)), head_counts
 
 
 def _tokens(w: W.Words, h: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ def _trained(docs: DataFrame, v, start, turn: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params = {k: a.copy() for k, a in start.value.items()}
-        model, squares, weight = gru.Model(params), {k: np.full_like(a, 1e-8) for k, a in params.items()}, 0
+        model, squares, weight = gru.Model(params, v.value.starts), {k: np.full_like(a, 1e-8) for k, a in params.items()}, 0
         for batch in batches:
             for w in W.word_chunks(batch.column(0), lower=True, limit=TRAIN_BYTES):
                 ids, ptr = _tokens(w, w.hashes(), v.value)
@@ -208,7 +208,7 @@ def _document_scores(docs: DataFrame, v: Vocabulary, params: dict[str, np.ndarra
 
     def emit(batch):
         v, params = shared.value
-        model = gru.Model(params)
+        model = gru.Model(params, v.starts)
         # a rest word's probability in its class is (c + 0.5) / (N + 0.5 (V + 1))
         norm = np.log10(v.rest_total + 0.5 * (v.rest_types + 1))
         end = np.log10(v.n_ends + 0.5)

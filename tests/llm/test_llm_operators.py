@@ -1,5 +1,6 @@
 """Every operator against plain Python, on given documents and on awkward ones."""
 
+import math
 import random
 
 import numpy as np
@@ -192,7 +193,7 @@ def test_language_model_probabilities_sum_to_one():
     from feedlens.llm import gru
 
     counts = np.arange(100, 0, -1).astype(float)
-    model = gru.Model(gru.initial(counts, np.array([5.0, 3.0])))
+    model = gru.Model(gru.initial(counts, np.array([5.0, 3.0])), gru.class_starts(counts))
     h = np.random.default_rng(1).normal(size=(1, gru.HIDDEN)).astype(np.float32)
     targets = np.concatenate([np.arange(100), [model.n_head, model.n_head + 1]]).astype(np.int32)
     logp, _ = model.log_probs(np.repeat(h, len(targets), 0), targets)
@@ -204,7 +205,8 @@ def test_language_model_gradient():
 
     rng = np.random.default_rng(2)
     params = {k: v.astype(np.float64) for k, v in gru.initial(np.ones(70), np.ones(2)).items()}
-    model = gru.Model(params)
+    model = gru.Model(params, gru.class_starts(np.ones(70), 6))
+    params["classes"] = rng.normal(0, 0.1, (8, gru.HIDDEN + 1))  # six classes of words and two of rarer ones
     given = rng.integers(0, 70, (4, 3)).astype(np.int32)
     targets = rng.integers(0, 70, (4, 3)).astype(np.int32)
     keep = np.ones((4, 3, 1))
@@ -214,12 +216,16 @@ def test_language_model_gradient():
         s = model.run(given, keep, np.zeros((3, gru.HIDDEN)))
         return -model.log_probs(s.reshape(-1, gru.HIDDEN), targets.reshape(-1))[0].sum()
 
-    trace = []
+    trace = {}
     s = model.run(given, keep, np.zeros((3, gru.HIDDEN)), trace)
-    grads = {k: np.zeros_like(v) for k, v in params.items()}
+    grads = {}
     _, dh = model.log_probs(s.reshape(-1, gru.HIDDEN), targets.reshape(-1), grads)
     used, rows = model._backward(given, keep, trace, dh.reshape(s.shape), grads)
+    grads["inputs"] = np.zeros_like(params["inputs"])
     grads["inputs"][used] = rows
+    blocks, grads["words"] = grads["words"], np.zeros_like(params["words"])
+    for (a, b), g in blocks.items():
+        grads["words"][a:b] = g
     for name in ("state", "inputs", "classes", "words"):
         at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
         params[name][at] += 1e-3
@@ -238,11 +244,80 @@ def test_score_does_not_depend_on_lanes():
     ptr = np.concatenate([[0], np.cumsum(sizes)])
     ids = rng.integers(0, 64, ptr[-1]).astype(np.int32)
     ids[ptr[1:] - 1] = 0
-    model = gru.Model(gru.initial(np.ones(64), np.ones(2)))
+    model = gru.Model(gru.initial(np.ones(64), np.ones(2)), gru.class_starts(np.ones(64)))
     alone = [model.score(ids[a:b], np.array([0, b - a]))[0] for a, b in zip(ptr[:-1], ptr[1:])]
     assert model.score(ids, ptr) == pytest.approx(alone, rel=1e-4)
 
 
+def test_score_equals_a_network_written_number_by_number():
+    from feedlens.llm import gru
+
+    counts = np.array([40.0, 30, 9, 8, 7, 3, 2, 2, 2, 1, 1])
+    rest, starts = np.array([5.0, 3.0]), gru.class_starts(counts, 4)
+    p = gru.initial(counts, rest)
+    rng = np.random.default_rng(5)
+    p["classes"] = rng.normal(0, 0.4, (len(starts) - 1 + len(rest), gru.HIDDEN + 1)).astype(np.float32)
+    p["words"] = rng.normal(0, 0.4, p["words"].shape).astype(np.float32)
+    p = {k: v * np.float32(4) if k in ("inputs", "state") else v for k, v in p.items()}
+    texts = [[3, 12, 1, 5, 11, 4, 0], [0], [2, 2, 10, 9, 8, 7, 6] * 30 + [0]]
+    k = gru.HIDDEN
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-x))
+
+    def log_share(rows, h, wanted):
+        logits = {i: sum(float(w) * x for w, x in zip(rows[i], [*h, 1.0])) for i in range(len(rows))}
+        return logits[wanted] - math.log(sum(math.exp(x) for x in logits.values()))
+
+    def slow(text):
+        h, before, total = [0.0] * k, 0, 0.0
+        for token in text:
+            x = [float(v) for v in p["inputs"][before]]
+            g = [sum(h[i] * float(p["state"][i, j]) for i in range(k)) for j in range(3 * k)]
+            z, r = ([sigmoid(x[a + i] + g[a + i]) for i in range(k)] for a in (0, k))
+            n = [math.tanh(x[2 * k + i] + r[i] * g[2 * k + i]) for i in range(k)]
+            h = [n[i] + z[i] * (h[i] - n[i]) for i in range(k)]
+            if token >= len(counts):
+                total += log_share(p["classes"], h, len(starts) - 1 + token - len(counts))
+            else:
+                kind = max(c for c in range(len(starts) - 1) if starts[c] <= token)
+                total += log_share(p["classes"], h, kind)
+                total += log_share(p["words"][starts[kind]:starts[kind + 1]], h, token - starts[kind])
+            before = token
+        return total
+
+    ids, ptr = np.concatenate(texts).astype(np.int32), np.cumsum([0, *map(len, texts)])
+    assert gru.Model(p, starts).score(ids, ptr) == pytest.approx([slow(t) for t in texts], rel=1e-4)
+
+
+def test_language_model_memory_beside_a_long_text():
+    import tracemalloc
+
+    from feedlens.llm import gru
+
+    sizes = np.array([300_000] + [40] * 255)
+    ptr = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.random.default_rng(6).integers(1, 64, ptr[-1]).astype(np.int32)
+    ids[ptr[1:] - 1] = 0
+    model = gru.Model(gru.initial(np.ones(64), np.ones(2)), gru.class_starts(np.ones(64)))
+    tracemalloc.start()
+    model.score(ids, ptr)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+
+
+def test_language_model_classes_hold_equal_shares_of_roots():
+    from feedlens.llm import gru
+
+    counts = 1e6 / np.arange(1, 5001)
+    starts = gru.class_starts(counts)
+    roots = np.add.reduceat(np.sqrt(counts), starts[:-1])
+    assert starts[0] == 0 and starts[-1] == 5000 and (np.diff(starts) > 0).all()
+    assert roots.max() < 2.5 * roots.mean() and np.diff(starts)[0] < np.diff(starts)[-1]
+    assert list(gru.class_starts(np.array([3.0]))) == [0, 1]
+
+
 # -- 4 ------------------------------------------------------------------------
 
 def contaminated(df, bench):
