@@ -150,10 +150,11 @@ class Model:
         rows, kind = np.arange(len(targets)), self.kind[targets]
         got, e, total = _softmax(h, p["classes"], kind, rows)
         if grads is not None:
-            e /= total[:, None]
-            e[rows, kind] -= 1
-            grads["classes"], grads["words"] = e.T @ h, {}
-            dh = e @ p["classes"][:, :-1]
+            # gradients by logits are e / total less 1 at the target; the small factors are divided, not e
+            e[rows, kind] -= total
+            total = total[:, None]
+            grads["classes"], grads["words"] = e.T @ (h / total), {}
+            dh = e @ p["classes"][:, :-1] / total
         cuts = np.searchsorted(kind, np.arange(len(self.starts)))
         for c in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(self.starts) > 1)):
             at, block = slice(cuts[c], cuts[c + 1]), slice(self.starts[c], self.starts[c + 1])
@@ -162,10 +163,10 @@ class Model:
             logp, e, total = _softmax(own, w, place, some)
             got[at] += logp
             if grads is not None:
-                e /= total[:, None]
-                e[some, place] -= 1
-                grads["words"][block.start, block.stop] = e.T @ own
-                dh[at] += e @ w[:, :-1]
+                e[some, place] -= total
+                total = total[:, None]
+                grads["words"][block.start, block.stop] = e.T @ (own / total)
+                dh[at] += e @ w[:, :-1] / total
         out = np.empty_like(got)
         out[order] = got
         if grads is None:
