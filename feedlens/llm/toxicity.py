@@ -222,7 +222,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Model:
     """Lexicon, trees and calibration from the ``max_rows`` first labelled training rows by hash of doc_id."""
-    spark, sample = docs.sparkSession, _sample(docs, labels, max_rows)
+    # read four times; written, so that the documents are read once for it
+    spark, sample = docs.sparkSession, written(_sample(docs, labels, max_rows), "fit-sample")
     lexicon = learn_lexicon(sample)
     shared, second = spark.sparkContext.broadcast(lexicon), _second_person()
 
