@@ -9,8 +9,12 @@ from pyspark.sql import types as T
 from feedlens.functions.text import strip_ws
 
 # Fixed list of accepted textual date layouts, tried in this order after the
-# ISO / timestamp cast.
-DATE_FORMATS = ["yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy"]
+# ISO / timestamp cast.  Each stands with the shape of all texts it may match:
+# a parser that fails throws, which takes many times as long as the shape.
+DATE_FORMATS = {
+    "yyyy/MM/dd": r"^[+-]?\d{4,}/\d\d/\d\d$", "dd-MM-yyyy": r"^\d\d-\d\d-[+-]?\d{4,}$",
+    "dd/MM/yyyy": r"^\d\d/\d\d/[+-]?\d{4,}$",
+}
 
 
 def lenient_date(c: Column, dtype: T.DataType) -> Column:
@@ -23,9 +27,18 @@ def lenient_date(c: Column, dtype: T.DataType) -> Column:
     """
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c.cast("date")
-    s = strip_ws(c.cast("string"))
+    return parsed_date(date_text(c))
+
+
+def date_text(c: Column) -> Column:
+    """The text of a date as it is parsed."""
+    return strip_ws(c.cast("string"))
+
+
+def parsed_date(s: Column) -> Column:
+    """The date that a stripped text holds."""
     iso = F.when(s.rlike(r"^[+-]?\d{4,}-\d{1,2}-\d{1,2}"), s.try_cast("date"))
-    attempts = [iso] + [F.try_to_date(s, fmt) for fmt in DATE_FORMATS]
+    attempts = [iso] + [F.when(s.rlike(shape), F.try_to_date(s, fmt)) for fmt, shape in DATE_FORMATS.items()]
     return F.coalesce(*attempts)
 
 

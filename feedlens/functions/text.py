@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 def strip_ws(c: str | Column) -> Column:
     """Strip leading/trailing Unicode whitespace (tabs, newlines, no-break spaces).
 
-    ``F.trim`` removes spaces only.
+    ``F.trim`` removes spaces only.  Strings that begin and end with a visible
+    ASCII character, most of them, are not searched.
     """
     col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    ends_visible = F.substring(col, 1, 1).between("!", "~") & F.substring(col, -1, 1).between("!", "~")
+    return F.when(ends_visible, col).otherwise(F.regexp_replace(col, r"(?U)^\s+|\s+$", ""))
 
 
 _REGEX_META = set(".^$*+?()[]{}\\")

@@ -1,6 +1,6 @@
 """Cleaning a raw file into the signal schema.
 
-One narrow projection plus one filter: no shuffle, runs per input split.
+Narrow projections, and one step that drops rows: no shuffle, runs per input split.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from feedlens.functions.dates import lenient_date
+from feedlens.functions.dates import date_text, lenient_date, parsed_date
 from feedlens.functions.text import strip_ws
 from feedlens.schema import SIGNAL_COLUMNS, SIGNAL_TYPES
 
 
+_PARSED, _DATED = "_parsed_date", "_dated"
+
+
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Strip + lower-case column names; a collision is an error."""
     names = [c.strip().lower() for c in df.columns]
@@ -36,9 +40,24 @@ def _nan_to_null(c):
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
-def _lenient_int(c):
+# The shapes of all texts that a cast accepts: one that fails throws, which takes many times as long
+_INT_TEXT = r"(?U)\A[\s\p{Cntrl}]*+[+-]?[0-9]++[\s\p{Cntrl}]*+\z"
+_DOUBLE_TEXT = r"(?i)[0-9]|inf|nan"
+
+
+def _lenient(df: DataFrame, c: str, type_: str, shape: str) -> Column:
+    """``try_cast`` of a column of any type."""
+    cast = F.col(c).try_cast(type_)
+    return F.when(F.col(c).rlike(shape), cast) if isinstance(df.schema[c].dataType, T.StringType) else cast
+
+
+def _lenient_double(df: DataFrame, c: str) -> Column:
+    return _lenient(df, c, "double", _DOUBLE_TEXT)
+
+
+def _lenient_int(df: DataFrame, c: str) -> Column:
     """An integer, or a number as pandas writes it beside missing ones (``2019.0``), truncated."""
-    return F.coalesce(c.try_cast("int"), c.try_cast("double").try_cast("int"))
+    return F.coalesce(_lenient(df, c, "int", _INT_TEXT), _lenient_double(df, c).try_cast("int"))
 
 
 def transform_and_clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -51,14 +70,20 @@ def transform_and_clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     C7 rows without a parsable date are dropped.
     """
     df = conform(normalize_columns(raw), keep)
-    date_type = df.schema["date"].dataType
-    parsed = lenient_date(F.col("date"), date_type)
-    score = F.coalesce(F.col("sentiment_score").try_cast("double"), F.lit(0.0))
-    rating = F.coalesce(F.col("rating").try_cast("double"), F.lit(0.0))
-    out = df.select(
+    if isinstance(df.schema["date"].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        df = df.withColumn(_PARSED, F.col("date").cast("date"))
+    else:
+        df = df.withColumn("date", date_text(F.col("date"))).withColumn(_PARSED, parsed_date(F.col("date")))
+    # No element, no row.  A filter would be pushed down into the reader together with the parsing, where all that
+    # makes a row's text runs once for each mention of it
+    df = df.select("*", F.explode(F.array_compact(F.array(_PARSED))).alias(_DATED))
+    parsed = F.col(_DATED)
+    score = F.coalesce(_lenient_double(df, "sentiment_score"), F.lit(0.0))
+    rating = F.coalesce(_lenient_double(df, "rating"), F.lit(0.0))
+    return df.select(
         parsed.alias("date"),
-        F.coalesce(_lenient_int(F.col("year")), F.year(parsed)).alias("year"),
-        F.coalesce(_lenient_int(F.col("month")), F.month(parsed)).alias("month"),
+        F.coalesce(_lenient_int(df, "year"), F.year(parsed)).alias("year"),
+        F.coalesce(_lenient_int(df, "month"), F.month(parsed)).alias("month"),
         F.col("customer_action").cast("string").alias("customer_action"),
         _nan_to_null(score).alias("sentiment_score"),
         F.col("sentiment_label").cast("string").alias("sentiment_label"),
@@ -70,7 +95,6 @@ def transform_and_clean(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         _nan_to_null(rating).alias("rating"),
         *keep,
     )
-    return out.where(F.col("date").isNotNull())
 
 
 def conform_shaped(df: DataFrame, observe: Callable[[DataFrame, dict[str, Column]], DataFrame] | None = None) -> DataFrame:
