@@ -63,26 +63,20 @@ def _with_place(lines: DataFrame) -> DataFrame:
 _CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
+# Quantifiers are possessive: what a quote means never depends on what follows later, and Java matches them in a loop,
+# however long the line
+_IN_QUOTES = r'(?:[^"]++|"")*+'
+_FIELDS = rf'(?:(?:"{_IN_QUOTES}"[^,]*+|[^",][^,]*+)?+,)*+"{_IN_QUOTES}\z'
+_ENDS_QUOTED = {False: rf"(?s)\A{_FIELDS}", True: rf'(?s)\A{_IN_QUOTES}(?:\z|"[^,]*+,{_FIELDS})'}
+
+
 def _ends_quoted(line: Column, quoted: bool) -> Column:
     """Whether a line of a CSV ends inside quotes, if it begins inside (``quoted``) or outside of them.
 
     A quote opens a field only at its beginning; inside, two quotes are a
-    character and one closes the field.  One step for each quote, by the text
-    between it and the quote before.
+    character and one closes the field.
     """
-    outside, inside, closing, beginning = F.lit(0), F.lit(1), F.lit(2), F.lit(3)
-    parts = F.split(line, '"', -1)
-
-    def step(state: Column, part: Column) -> Column:
-        at_field = part.endswith(",")
-        return (F.when(state == inside, closing)
-                .when((state == closing) & (part == ""), inside)
-                .when((state == beginning) & (part == ""), inside)
-                .when(at_field, inside).otherwise(outside))
-
-    last = F.aggregate(F.slice(parts, 1, F.size(parts) - 1), inside if quoted else beginning, step)
-    # lines without quotes, most of them, are not cut
-    return F.when(line.contains('"'), last == inside).otherwise(F.lit(quoted))
+    return F.when(line.contains('"'), line.rlike(_ENDS_QUOTED[quoted])).otherwise(F.lit(quoted))
 
 
 def csv_profile(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -174,6 +168,13 @@ def _read_spanning(spark: SparkSession, paths: str | Sequence[str], header: str,
         *[f"`{n.replace('`', '``')}`" for n in names], *[SOURCE_FILE] * keep_path)
 
 
+def _fit_splits(spark: SparkSession, paths: str | Sequence[str]) -> bool:
+    """Whether no file is larger than a split; by the listing alone."""
+    jvm = spark.sparkContext._jvm
+    bound = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return spark.read.format("binaryFile").load(_literal(paths)).where(F.col("length") > bound).isEmpty()
+
+
 def _with_path(df: DataFrame, keep: bool) -> DataFrame:
     return df.select("*", df.metadataColumn("_metadata")["file_path"].alias(SOURCE_FILE)) if keep else df
 
@@ -183,7 +184,8 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool |
     """CSV with a header, every column as a string (lenient casts come later).
 
     Several paths must have the same header.  Files are read in splits.  Where
-    a quoted field spans lines, the records are put together first
+    a quoted field spans lines, files that are no larger than a split are read
+    whole, a task each; if one is larger, the records are put together first
     (:func:`csv_records`).  ``multi_line`` says whether there are such fields;
     None (the default) finds out by one parallel scan.  ``header`` may be given
     where it is known.  A header that itself spans lines makes one task read
@@ -194,7 +196,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], multi_line: bool |
         multi_line, header = bool(found["spans"]), found["header"]
     elif multi_line and header is None:
         header = csv_profile(spark, path).agg(F.min("header")).first()[0]
-    whole = bool(multi_line) and (header is None or _spans(header))
+    whole = bool(multi_line) and (header is None or _spans(header) or _fit_splits(spark, path))
     if multi_line and not whole:
         return _read_spanning(spark, path, header, keep_path)
     reader = spark.read.options(**_CSV_OPTIONS).option("header", True).option("inferSchema", False)
@@ -224,13 +226,28 @@ _NEXT = re.compile(r"[,\n}\]]\s*(?=\{)")
 
 
 def _one_record() -> Column:
-    """A line that holds one record and no more."""
-    return F.col("value").rlike(_RECORD_LINE) & ~F.col("value").rlike(_SEVERAL)
+    """A line that holds one record and no more; most lines are judged by their ends and by having one bracket."""
+    value = F.col("value")
+    begins = value.startswith("{") & (value.endswith("}") | value.endswith("},"))
+    return (begins | value.rlike(_RECORD_LINE)) & ~((F.locate("{", value, 2) > 0) & value.rlike(_SEVERAL))
+
+
+def _record() -> Column:
+    """The record of a line that holds one."""
+    value = F.col("value")
+    return (F.when(value.startswith("{") & value.endswith("}"), value)
+            .when(value.startswith("{") & value.endswith("},"), F.expr("left(value, length(value) - 1)"))
+            .otherwise(F.regexp_extract(value, _RECORD_LINE, 1)))
+
+
+def _blank() -> Column:
+    """A line of an array's brackets and commas alone."""
+    return F.col("value").rlike(r"^[\[\],\s]*$")
 
 
 def _other_text() -> Column:
     """A line that holds something else than a record or an array's brackets and commas."""
-    return ~_one_record() & ~F.col("value").rlike(r"^[\[\],\s]*$")
+    return ~_one_record() & ~_blank()
 
 
 def split_records(text: str) -> list[str]:
@@ -266,21 +283,16 @@ def _split_records(texts: pd.Series) -> pd.Series:
     return texts.map(split_records)
 
 
-def _fields(record: Column) -> Column:
-    """A record's entries, names stripped and in lower case; null if two names become one."""
-    named = F.transform(F.map_entries(record),
-                        lambda e: F.struct(F.lower(F.trim(e["key"])).alias("key"), e["value"].alias("value")))
-    names = F.transform(named, lambda e: e["key"])
-    return F.when(F.size(F.array_distinct(names)) == F.size(names), named)
-
-
 def json_profile(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Per file that has a line: path, lines that hold a record, other ones, whether it is a document; one scan."""
     scan = spark.read.text(_literal(paths))
-    files = (scan.select("value", scan.metadataColumn("_metadata")["file_path"].alias("path")).groupBy("path")
-             .agg(F.count_if(_one_record() & F.col("value").rlike(_KEYS)).alias("signals"), F.count_if(_one_record()).alias("records"),
-                  F.count_if(_other_text()).alias("others"),
-                  F.count_if(_other_text() & F.col("value").rlike(r"^[\[,\s]*\{")).alias("begun")))
+    # each line is judged once
+    judged = scan.select("value", scan.metadataColumn("_metadata")["file_path"].alias("path"), _one_record().alias("one")).select(
+        "path", "one", (F.col("one") & F.col("value").rlike(_KEYS)).alias("signal"),
+        F.when(~F.col("one") & ~_blank(), F.col("value").rlike(r"^[\[,\s]*\{")).alias("begun"))
+    files = judged.groupBy("path").agg(
+        F.count_if("signal").alias("signals"), F.count_if("one").alias("records"), F.count("begun").alias("others"),
+        F.count_if("begun").alias("begun"))
     document = (F.col("others") > 0) & ((F.col("signals") == 0) | (F.col("signals") < F.col("begun")))
     return files.select("path", "records", "others", document.alias("document"))
 
@@ -304,18 +316,23 @@ def read_json(spark: SparkSession, path: str | Sequence[str], keep_path: bool =
         # names of files alone
         names = spark.createDataFrame([(u,) for u in seen["documents"]], f"{SOURCE_FILE} string")
         lines = lines.join(F.broadcast(names), SOURCE_FILE, "left_anti")
-    pieces = lines.where(_one_record()).select(SOURCE_FILE, F.regexp_extract("value", _RECORD_LINE, 1).alias("piece"))
+    pieces = lines.where(_one_record()).select(SOURCE_FILE, _record().alias("piece"))
     if seen["others"]:
         pieces = pieces.union(lines.where(_other_text()).select(SOURCE_FILE, F.explode(_split_records("value")).alias("piece")))
     if seen["documents"]:
         whole = spark.read.text([literal_path(_uri_path(spark, u)) for u in seen["documents"]], wholetext=True)
         pieces = pieces.union(whole.select(whole.metadataColumn("_metadata")["file_path"].alias(SOURCE_FILE),
                                            F.explode(_split_records("value")).alias("piece")))
-    keyed = pieces.select(SOURCE_FILE, "piece", _fields(F.from_json("piece", "map<string,string>")).alias("fields"))
-    names = F.transform("fields", lambda e: e["key"])
-    return keyed.select(
-        *[F.get("fields", (F.array_position(names, c) - 1).cast("int"))["value"].alias(c) for c in SIGNAL_COLUMNS],
-        F.when(F.col("fields").isNull(), F.substring("piece", 1, 200)).alias(MALFORMED), *[SOURCE_FILE] * keep_path)
+    # step by step, so that each is taken once for all columns: the record, its names stripped and in lower case,
+    # whether they are distinct
+    parsed = pieces.select(SOURCE_FILE, "piece", F.from_json("piece", "map<string,string>").alias("record"))
+    named = parsed.select(SOURCE_FILE, "piece", F.map_values("record").alias("values"),
+                          F.transform(F.map_keys("record"), lambda k: F.lower(F.trim(k))).alias("names"))
+    judged = named.withColumn("fit", F.coalesce(F.size(F.array_distinct("names")) == F.size("names"), F.lit(False))
+                              & F.col("names").isNotNull())
+    return judged.select(
+        *[F.when(F.col("fit"), F.get("values", (F.array_position("names", c) - 1).cast("int"))).alias(c) for c in SIGNAL_COLUMNS],
+        F.when(~F.col("fit"), F.substring("piece", 1, 200)).alias(MALFORMED), *[SOURCE_FILE] * keep_path)
 
 
 READERS = {".csv": read_csv, ".parquet": read_parquet, ".json": read_json, ".jsonl": read_json}
