@@ -326,6 +326,9 @@ class SignalStore:
     # Columns the written rows are sorted by inside each task: the filters used
     # most (period, channel) then skip Parquet row groups by their min/max.
     CLUSTER_BY = ("year", "source")
+    # Rows of a compacted file.  Sorted rows take a tenth of their bytes as a file: by these alone, the task that
+    # writes a file would read gigabytes.
+    FILE_ROWS = 4_000_000
 
     def write_rows(self, rows: DataFrame) -> None:
         """Writes the rows of one or many datasets (by dataset_id), replacing what earlier attempts left of them.
@@ -450,7 +453,8 @@ class SignalStore:
         return id_
 
     def compact(self, small_bytes: int = 64 << 20, target_bytes: int = 128 << 20) -> int:
-        """Moves the datasets smaller than ``small_bytes`` to files of about ``target_bytes``; returns their number.
+        """Moves the datasets smaller than ``small_bytes`` to files of about ``target_bytes``, or
+        ``FILE_ROWS`` rows if these take less; returns the datasets' number.
 
         These files hold many datasets each, sorted by dataset_id, whose
         statistics prune them.  So the files that :meth:`signals` lists grow
@@ -465,18 +469,24 @@ class SignalStore:
         moved = self._moved()
         if moved is not None:
             small = small.join(moved, "dataset_id", "left_anti")
-        small = small.join(self.registry().select(F.col("id").alias("dataset_id")), "dataset_id", "left_semi")
-        found = small.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length")).first()
+        small = small.join(self.registry().select(F.col("id").alias("dataset_id"), "row_count"), "dataset_id")
+        found = small.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"), F.sum("row_count").alias("rows")).first()
         if found["n"] < 2:
             return 0
         rows = self.spark.read.schema(SIGNALS_SCHEMA).parquet(self.signals_path)
-        self._move(rows.join(small, "dataset_id", "left_semi"), small, -(-found["length"] // target_bytes))
+        self._move(rows.join(small, "dataset_id", "left_semi"), small,
+                   max(-(-found["length"] // target_bytes), -(-found["rows"] // self.FILE_ROWS)))
         return int(found["n"])
 
     def _move(self, rows: DataFrame, datasets: DataFrame, n_files: int) -> None:
-        """Writes rows as a new generation, which holds ``datasets`` from then on."""
+        """Writes rows as a new generation, which holds ``datasets`` from then on.
+
+        Ranges are cut within equal values of the order too, by the whole row,
+        so that no value's rows go through one task.
+        """
         generation = self._reserve("generation", self.compacted_path)
-        (rows.select(*SIGNALS_SCHEMA.fieldNames()).repartitionByRange(max(1, int(n_files)), "dataset_id", *self.CLUSTER_BY)
+        (rows.select(*SIGNALS_SCHEMA.fieldNames())
+         .repartitionByRange(max(1, int(n_files)), "dataset_id", *self.CLUSTER_BY, F.xxhash64(*SIGNAL_COLUMNS))
          .sortWithinPartitions("dataset_id", *self.CLUSTER_BY)
          .write.parquet(f"{self.compacted_path}/generation={generation}"))
         staged = f"{self.moved_path}/_new-{generation}"
@@ -527,7 +537,9 @@ class SignalStore:
                     .join(kept, ["generation", "dataset_id"], "left_semi"))
             size = sum(self._fs_path(p)[0].getContentSummary(self._fs_path(p)[1]).getLength() for p in paths)
             # the deleted datasets are in no generation then; what is read now goes with a later call
-            self._move(rows, kept, -(-size // (128 << 20)))
+            n = kept.join(self.registry().select(F.col("id").alias("dataset_id"), "row_count"), "dataset_id").agg(
+                F.sum("row_count")).first()[0] or 0
+            self._move(rows, kept, max(-(-size // (128 << 20)), -(-n // self.FILE_ROWS)))
         # generations that hold no dataset any more, and unpublished ones
         current = self._moved()
         if deleted:
