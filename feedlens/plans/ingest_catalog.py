@@ -43,6 +43,11 @@ def put_frame(spark: SparkSession, df: DataFrame, path: str) -> None:
     fs.rename(next(x for x in names if x.getName().startswith("part-")), p)
 
 
+def put_parts(df: DataFrame, path: str) -> None:
+    """``df`` as one CSV file in parts, a folder with a name of its own, written by all tasks."""
+    df.write.option("header", True).csv(path)
+
+
 # --- dirty files (C1-C7) -----------------------------------------------------
 
 def dirty(sig: DataFrame) -> DataFrame:
@@ -295,7 +300,7 @@ def q_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged files, one of them imported, others hidden or of another kind."""
     staging, parts = scratch_path(spark, "staging"), _parts(spark, sf_dir)
     for i, name in enumerate(("one.csv", "Two.CSV", "nested/three.csv", ".hidden.csv", "__gone.csv", "~four.csv"), 1):
-        put_frame(spark, parts[(i - 1) % 3 + 1], f"{staging}/{name}")
+        put_parts(parts[(i - 1) % 3 + 1], f"{staging}/{name}")
     put_text(spark, f"{staging}/notes.txt", "none")
     store = SignalStore(spark, scratch_path(spark, "store"))
     store.ingest(f"{staging}/one.csv")
@@ -305,8 +310,8 @@ def q_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_best_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a folder, the CSV at the root is taken before JSON there and Parquet below."""
     staging, parts = scratch_path(spark, "staging"), _parts(spark, sf_dir)
-    put_frame(spark, parts[1], f"{staging}/b.csv")
-    put_frame(spark, parts[2], f"{staging}/c.csv")
+    put_parts(parts[1], f"{staging}/b.csv")
+    put_parts(parts[2], f"{staging}/c.csv")
     put_text(spark, f"{staging}/a.json", '{"date": "2020-01-01"}\n')
     put_text(spark, f"{staging}/.a.csv", "date\n2020-01-01\n")
     parts[3].write.parquet(f"{staging}/nested/a.parquet")

@@ -352,12 +352,27 @@ def route_to_reader(spark: SparkSession, path: str, multi_line: bool | None = No
     return READERS[ext](spark, path)
 
 
+def _data_path(spark: SparkSession, root: str) -> Column:
+    """Of a listed ``path``: the outermost folder below ``root`` that has a data extension, else the file itself."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    prefix = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/") + "/"
+    below = F.when(F.col("path").startswith(prefix), F.substring("path", len(prefix) + 1, 1 << 30))
+    folder = F.regexp_extract(below, r"(?is)^(.*?\.(?:" + "|".join(e[1:] for e in DATA_EXTENSIONS) + "))/", 1)
+    return F.when(folder != "", F.concat(F.lit(prefix), folder)).otherwise(F.col("path"))
+
+
 def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Recursive file listing (path, name, length, modificationTime); content is never read."""
+    """Recursive file listing (path, name, length, modificationTime); content is never read.
+
+    A folder with a data extension, as Spark writes one, is one file in parts,
+    listed with their bytes and latest time.
+    """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    listing = r.load(root).select("path", "length", "modificationTime")
+    listing = (r.load(root).select(_data_path(spark, root).alias("path"), "length", "modificationTime").groupBy("path")
+               .agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime")))
     return listing.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
