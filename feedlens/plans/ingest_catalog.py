@@ -33,16 +33,6 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def put_frame(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """``df`` as one CSV file with a name of its own."""
-    parts = scratch_path(spark, "part")
-    df.coalesce(1).write.option("header", True).csv(parts)
-    fs, p = _fs(spark, path)
-    fs.mkdirs(p.getParent())
-    names = [x.getPath() for x in fs.listStatus(_fs(spark, parts)[1])]
-    fs.rename(next(x for x in names if x.getName().startswith("part-")), p)
-
-
 def put_parts(df: DataFrame, path: str) -> None:
     """``df`` as one CSV file in parts, a folder with a name of its own, written by all tasks."""
     df.write.option("header", True).csv(path)
@@ -240,7 +230,7 @@ def q_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _crash_before_registry(spark: SparkSession, sf_dir: str) -> tuple[SignalStore, str]:
     """A store with a staged file's rows that a crash left unregistered, and the staging folder."""
     staging, parts = scratch_path(spark, "staging"), _parts(spark, sf_dir)
-    put_frame(spark, parts[1], f"{staging}/one.csv")
+    put_parts(parts[1], f"{staging}/one.csv")
     store = SignalStore(spark, scratch_path(spark, "store"))
     listing = readers.list_files(spark, staging).select("path", "modificationTime").first()
     id_ = store.bind([tuple(listing)])[0]
@@ -323,8 +313,8 @@ def q_best_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that cannot be imported are listed, and do not stop the others."""
     staging, parts = scratch_path(spark, "staging"), _parts(spark, sf_dir)
-    put_frame(spark, parts[1], f"{staging}/Good.Csv")
-    put_frame(spark, parts[2], f"{staging}/a[2].csv")
+    put_parts(parts[1], f"{staging}/Good.Csv")
+    put_parts(parts[2], f"{staging}/a[2].csv")
     put_text(spark, f"{staging}/empty.csv", "date,source\n")
     put_text(spark, f"{staging}/collide.csv", "date,Source, source\n2020-01-01,a,b\n")
     put_text(spark, f"{staging}/torn.parquet", "PAR1 no parquet")

@@ -16,6 +16,7 @@ failures are raised.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -164,25 +165,44 @@ def load_files(store: SignalStore, ids: dict[str, int], multi_line: bool | None
 def _load(store: SignalStore, ids: dict[str, int], multi_line: bool | None, out: Loaded) -> None:
     spark, cleaned, json_rows, seen = store.spark, [], None, Observation()
     loaded: list[str] = []
-    uri = {p: readers.file_uri(spark, p) for p in ids}
-    for raw, group in _frames(store, uri, multi_line, out):
+    # a folder with a data extension is one file in parts
+    owner = {part: p for p in ids for part in readers.file_parts(spark, p)}
+    uri = {p: readers.file_uri(spark, p) for p in owner}
+    found = Loaded()
+    frames = _frames(store, uri, multi_line, found)
+    filled = {owner[p] for p in owner if p not in found.reasons}
+    for part, reason in found.reasons.items():
+        p = owner[part]
+        if p == part:
+            out.reasons[p] = reason
+        elif reason != _empty(part):
+            out.reasons.setdefault(p, f"{os.path.basename(part)}: {reason}")
+    # empty parts are no fault of a file that has others
+    out.reasons.update({p: _empty(p) for p in ids if p not in filled and p not in out.reasons})
+    for raw, group in frames:
         if MALFORMED in raw.columns:
             json_rows = raw
             raw = raw.observe(seen, F.count_if(F.col(MALFORMED).isNotNull()).alias("bad"))
         try:
             cleaned.append(transform_and_clean(raw, [SOURCE_FILE]))
         except ValueError as e:  # names that collide: all files of this header
-            out.reasons.update({p: _message(e) for p in group})
+            out.reasons.update({owner[p]: _message(e) for p in group})
             continue
         loaded += group
-    if not cleaned:
+    # a file in parts is loaded whole or not at all
+    path_of = {uri[p]: owner[p] for p in loaded if owner[p] not in out.reasons}
+    loaded = sorted(set(path_of.values()))
+    if not loaded:
         return
-    path_of = {uri[p]: p for p in loaded}
-    # one row for each file of the batch
+    # one row for each file of the batch, and each part
     names = spark.createDataFrame([(u, ids[p]) for u, p in path_of.items()], f"{SOURCE_FILE} string, dataset_id bigint")
     store.write_rows(reduce(DataFrame.unionByName, cleaned).join(F.broadcast(names), SOURCE_FILE))
     counts = store.row_counts([ids[p] for p in loaded])
     out.rows.update({p: counts.get(ids[p], 0) for p in loaded})
     if json_rows is not None and seen.get["bad"]:
         bad = json_rows.where(F.col(MALFORMED).isNotNull()).groupBy(SOURCE_FILE).count()
-        out.reasons.update({path_of[r[SOURCE_FILE]]: f"{r['count']} malformed records" for r in bad.collect()})
+        torn = Counter()
+        for r in bad.collect():
+            if r[SOURCE_FILE] in path_of:
+                torn[path_of[r[SOURCE_FILE]]] += r["count"]
+        out.reasons.update({p: f"{n} malformed records" for p, n in torn.items()})

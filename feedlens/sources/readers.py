@@ -352,7 +352,7 @@ def route_to_reader(spark: SparkSession, path: str, multi_line: bool | None = No
     return READERS[ext](spark, path)
 
 
-def _data_path(spark: SparkSession, root: str) -> Column:
+def data_path(spark: SparkSession, root: str) -> Column:
     """Of a listed ``path``: the outermost folder below ``root`` that has a data extension, else the file itself."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
@@ -362,20 +362,32 @@ def _data_path(spark: SparkSession, root: str) -> Column:
     return F.when(folder != "", F.concat(F.lit(prefix), folder)).otherwise(F.col("path"))
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, root: str | Sequence[str], glob: str | None = None, below: str | None = None) -> DataFrame:
     """Recursive file listing (path, name, length, modificationTime); content is never read.
 
     A folder with a data extension, as Spark writes one, is one file in parts,
-    listed with their bytes and latest time.
+    listed with their bytes and latest time.  Of several files, ``below`` is
+    the folder that they are staged in.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    listing = (r.load(root).select(_data_path(spark, root).alias("path"), "length", "modificationTime").groupBy("path")
+    load = root if below is None else _literal(root)
+    listing = (r.load(load).select(data_path(spark, below or root).alias("path"), "length", "modificationTime").groupBy("path")
                .agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime")))
     return listing.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 
+def file_parts(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder that is one file in parts; a file itself otherwise."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        return [path]
+    return [s.getPath().toString() for s in fs.listStatus(p)
+            if not s.isDirectory() and not s.getPath().getName().startswith(("_", "."))]
+
+
 def not_hidden(name_col: str = "name"):
     n = F.col(name_col)
     cond = None

@@ -4,7 +4,9 @@ The stream is the LISTING of a staging folder (``binaryFile`` source; only
 path, modification time and length are selected, so file contents are not
 read by the stream).  Each micro-batch hands its new paths to
 :func:`feedlens.sources.batch.load_files`, which loads them as one dataset per
-file (S7), as the reference's import does, by plans of many files.  A CSV
+file (S7), as the reference's import does, by plans of many files.  A folder
+with a data extension is one file in parts; it should be staged by one rename,
+as a folder that changes is a changed file.  A CSV
 stream with a fixed schema is deliberately not used: Spark would bind columns
 by position and break header normalisation (C1) and missing columns (C2).
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from feedlens.schema import HIDDEN_PREFIXES
 from feedlens.session import checkpoint_dir
+from feedlens.sources import readers
 from feedlens.sources.batch import load_files
 from feedlens.sources.store import SignalStore
 
@@ -34,14 +37,21 @@ DATA_GLOB = "*.{[cC][sS][vV],[pP][aA][rR][qQ][uU][eE][tT],[jJ][sS][oO][nN],[jJ][
 LISTING_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def _load_batch(store: SignalStore, batch: DataFrame, multi_line: bool | None = None) -> None:
+def _load_batch(store: SignalStore, batch: DataFrame, staging_dir: str, multi_line: bool | None = None) -> None:
     key = ["source_path", "source_mtime"]
     hidden = F.lit(False)
     for prefix in HIDDEN_PREFIXES:
         hidden = hidden | F.element_at(F.split("path", "/"), -1).startswith(prefix)
     # a micro-batch lists at most maxFilesPerTrigger new files: a bounded collect
+    named = batch.where(~hidden).select(F.col("path").alias(key[0]), F.col("modificationTime").alias(key[1]))
+    # a file in parts has the latest time of all its parts, whichever of them this batch lists
+    parts = {r[0]: readers.file_parts(store.spark, r[0]) for r in named.select(key[0]).distinct().collect()}
+    folders = {p: x for p, x in parts.items() if x != [p]}
+    if folders:
+        listing = readers.list_files(store.spark, [x for group in folders.values() for x in group], below=staging_dir)
+        named = named.where(~F.col(key[0]).isin(list(folders))).union(listing.select("path", "modificationTime"))
     files = [tuple(r) for r in (
-        batch.where(~hidden).select(F.col("path").alias(key[0]), F.col("modificationTime").alias(key[1]))
+        named.distinct()
         .join(store.registry().select(*key), key, "left_anti")
         .join(store.rejected().select(*key), key, "left_anti").orderBy(*key).collect())]
     ids = dict(zip(files, store.bind(files)))
@@ -68,9 +78,9 @@ def start_staged_import(spark: SparkSession, store: SignalStore, staging_dir: st
                .option("pathGlobFilter", DATA_GLOB)
                .option("maxFilesPerTrigger", max_files_per_trigger)
                .load(staging_dir)
-               .select("path", "modificationTime", "length"))
+               .select(readers.data_path(spark, staging_dir).alias("path"), "modificationTime", "length"))
     writer = (listing.writeStream
-              .foreachBatch(lambda df, _: _load_batch(store, df, multi_line))
+              .foreachBatch(lambda df, _: _load_batch(store, df, staging_dir, multi_line))
               .option("checkpointLocation", ckpt))
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -100,3 +100,36 @@ def test_compacted_files_are_cut_by_rows(spark, tmpdir_run, monkeypatch):
     per_file = spark.read.parquet(store.compacted_path).groupBy(F.input_file_name()).count().collect()
     assert len(per_file) > 4 and max(r[1] for r in per_file) < 2500
     assert sorted(r[1] for r in store.signals().groupBy("dataset_id").count().collect()) == [4000, 4000]
+
+
+def folder(spark, path, n):
+    """A CSV file in several parts, one of them without rows."""
+    df = spark.range(n).select(F.lit("2020-01-01").alias("date"), F.concat(F.lit("s"), "id").alias("source"))
+    df.repartition(3).union(df.limit(0)).write.option("header", True).csv(path)
+
+
+def test_a_folder_is_one_staged_file(spark, tmpdir_run):
+    staging = os.path.join(tmpdir_run, "staging")
+    folder(spark, f"{staging}/a [1].csv", 10)
+    folder(spark, f"{staging}/nested/B.CSV", 20)
+    folder(spark, f"{staging}/none.csv", 0)
+    put(staging, "c.csv", "date,source\n2020-01-01,x\n")
+    store = SignalStore(spark, os.path.join(tmpdir_run, "store"))
+    names = {r["name"]: r["imported"] for r in store.pending(staging).collect()}
+    assert {"a [1].csv", "B.CSV", "c.csv"} <= set(names) and not any(n.startswith("part-") for n in names)
+    for _ in range(2):  # the second run finds nothing new
+        import_staged(spark, store, staging, checkpoint=os.path.join(tmpdir_run, f"ckpt{_}"))
+        rows = store.signals().groupBy(F.col("dataset_id").alias("id")).count()
+        assert {(r["name"], r["row_count"], r["count"]) for r in store.registry().join(rows, "id").collect()} == {
+            ("a [1]", 10, 10), ("B", 20, 20), ("c", 1, 1)}
+    assert store.registry().count() == 3
+
+
+def test_a_bad_part_stops_its_file_only(spark, tmpdir_run):
+    put(tmpdir_run, "in/a.csv/part-0.csv", "date,source\n2020-01-01,x\n")
+    put(tmpdir_run, "in/a.csv/part-1.csv", "date,Date\n2020-01-01,x\n")
+    put(tmpdir_run, "in/b.csv", "date,source\n2020-01-01,x\n")
+    store = SignalStore(spark, os.path.join(tmpdir_run, "store"))
+    a, b = (os.path.join(tmpdir_run, "in", n) for n in ("a.csv", "b.csv"))
+    done = load_files(store, dict(zip((a, b), store.allocate(2))))
+    assert done.rows == {b: 1} and set(done.reasons) == {a}
