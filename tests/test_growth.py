@@ -127,7 +127,7 @@ def test_a_folder_is_one_staged_file(spark, tmpdir_run):
 
 def test_a_bad_part_stops_its_file_only(spark, tmpdir_run):
     put(tmpdir_run, "in/a.csv/part-0.csv", "date,source\n2020-01-01,x\n")
-    put(tmpdir_run, "in/a.csv/part-1.csv", "date,Date\n2020-01-01,x\n")
+    put(tmpdir_run, "in/a.csv/part-1.csv", "date,Source, source\n2020-01-01,x,y\n")
     put(tmpdir_run, "in/b.csv", "date,source\n2020-01-01,x\n")
     store = SignalStore(spark, os.path.join(tmpdir_run, "store"))
     a, b = (os.path.join(tmpdir_run, "in", n) for n in ("a.csv", "b.csv"))
