@@ -599,3 +599,31 @@ def test_line_dedup_splits_a_large_key(spark, monkeypatch):
     monkeypatch.setattr(L, "_blocks", counted)
     assert lines(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute.line_dedup(rows), key=str)
     assert seen[2] > 150 and max(seen[:2]) <= 3 * 16
+
+
+def test_release_gives_back_a_tasks_memory():
+    """A worker that waits for its next task kept the hash powers of its largest chunk and freed pages."""
+    import pyarrow as pa
+
+    from feedlens.llm import words as W
+
+    assert len(next(W.word_chunks(pa.array(["a b " * 200_000]))).hashes()) == 400_000
+    assert len(W._POWERS.up) > 1 << 19
+    W.release()
+    assert len(W._POWERS.up) == len(W._POWERS.down) == 1
+    assert len(next(W.word_chunks(pa.array(["a b"]))).hashes()) == 2
+
+
+def test_written_bounds_files_and_drops_shuffles(spark, monkeypatch):
+    """A table of known size made a file per shuffle partition; shuffle files stayed until frames were collected."""
+    from feedlens.llm import tables as T
+
+    monkeypatch.setattr(T, "FILE_ROWS", 100)
+    rows = spark.range(0, 400, 1, 16)
+    assert T.written(rows, "few", 250).rdd.getNumPartitions() <= 3
+    assert len(T.written(rows, "few", 250).inputFiles()) == 3
+    assert len(T.written(rows, "all").inputFiles()) == 16
+    before = spark.conf.get(T._CLEANUP, None)
+    with T.shuffles_dropped(spark):
+        assert spark.conf.get(T._CLEANUP) == "true"
+    assert spark.conf.get(T._CLEANUP, None) == before
