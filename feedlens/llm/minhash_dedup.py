@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .tables import BitFilter, components, longs, map_arrow, written
+from .tables import BitFilter, Held, components, longs, map_arrow, written
 
 LEFT, LEFT_ROWS = 8, 2
 RIGHT, RIGHT_ROWS = 12, 3
@@ -172,7 +172,7 @@ def _sketches(docs: DataFrame, copies: BitFilter, inside: bool, k: int) -> DataF
     return _some(docs, copies, inside, emit, schema)
 
 
-def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _full_sets(docs: DataFrame, nodes: DataFrame, k: int, held: Held) -> DataFrame:
     """(node, values): the full sets of ``nodes``."""
     def emit(ids, w):
         values, ptr = shingle_sets(w, k)
@@ -182,8 +182,8 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                    [None, pa.py_buffer((ptr * 8).astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())}
 
     wanted = BitFilter(nodes.select(_id_hash("node").alias("h")), "h", NODE_BITS)
-    return written(_some(docs, wanted, True, emit, "node long, values binary")
-                   .join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return held(_some(docs, wanted, True, emit, "node long, values binary")
+                .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -252,15 +252,20 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     """Per document row (doc_id, n_shingles, component_id, kept)."""
-    own = written(_set_hashes(docs, shingle), "set-hashes")
+    held = Held()
+    own = held(_set_hashes(docs, shingle))
+    n_docs = own.count()
+    own = written(own, "set-hashes", n_docs)
+    held.drop()
     filled, same_set = own.where("n_shingles > 0 and doc_id is not null"), ["set1", "set2", "n_shingles"]
-    classes = written(filled.groupBy(*same_set).agg(F.min("doc_id").alias("node")), "classes")
-    copies = written(filled.join(classes, same_set).where("doc_id <> node").select("doc_id", "node").distinct(), "copies")
+    classes = written(filled.groupBy(*same_set).agg(F.min("doc_id").alias("node")), "classes", n_docs)
+    copies = written(filled.join(classes, same_set).where("doc_id <> node").select("doc_id", "node").distinct(),
+                     "copies", n_docs)
 
     # rows that may be copies are compared with the list of copies; all others are nodes where they stand
     flagged = BitFilter(copies.select(_id_hash("doc_id").alias("h")), "h", NODE_BITS)
     maybe = _sketches(docs, flagged, True, shingle).join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti")
-    nodes = written(_sketches(docs, flagged, False, shingle).union(maybe), "nodes")
+    nodes = held(_sketches(docs, flagged, False, shingle).union(maybe))
 
     keys = (nodes.select("node", F.explode("keys").alias("key")).groupBy("key")
             .agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"))
@@ -275,31 +280,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
         yield {"node": pa.array(node[hit]), "t": pa.array(t[hit]), "key": longs(keys[hit])}
 
     # a few keys that only one node has pass the filter too; they make no pairs
-    members = written(map_arrow(nodes.select("node", "keys"), keep_shared, "node long, t int, key long"), "members")
+    members = held(map_arrow(nodes.select("node", "keys"), keep_shared, "node long, t int, key long"))
     info = nodes.select("node", F.struct("n", *_MARKS).alias("x"))
 
-    links, groups = None, None
+    links, n_links, groups = None, 0, None
     for crossing in (False, True):
         now = members.withColumn("group", F.col("node")) if groups is None else (
             members.join(groups.withColumnRenamed("component", "group"), "node", "left")
             .withColumn("group", F.coalesce("group", "node")))
         open_keys = (now.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"))
                      .where("lo < hi").select("key"))
-        members = written(now.join(open_keys, "key", "left_semi"), "members")
+        n_members = members.count()
+        members = written(now.join(open_keys, "key", "left_semi"), "members", n_members)
         if crossing:
             pairs = _crossing(members.join(nodes.drop("keys"), "node"), percent)
         else:
             pairs = (_stars(members).join(info.withColumnRenamed("node", "a"), "a")
                      .join(info.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
                      .where(_possible("x", "y", percent)).select("a", "b"))
-        pairs = written(pairs, "pairs")
-        if not pairs.isEmpty():  # without a pair of stars, buckets still cross, each node its own group
+        found = held(pairs)
+        n_pairs = found.count()
+        pairs = written(found, "pairs", n_pairs)
+        held.drop(found)
+        if n_pairs:  # without a pair of stars, buckets still cross, each node its own group
             asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            found = written(_confirmed(pairs, _full_sets(docs, asked, shingle), percent), "links")
-            links = found if links is None else links.union(found)
-            groups = components(links)
+            sets = _full_sets(docs, asked, shingle, held)
+            similar = held(_confirmed(pairs, sets, percent))
+            similar.count()
+            found = written(similar, "links", n_pairs)
+            held.drop(sets, similar)
+            links, n_links = (found, n_pairs) if links is None else (links.union(found), n_links + n_pairs)
+            groups = components(links, rows=n_links)
         members = members.drop("group")
 
+    held.drop()  # what follows is read from written tables
     node = F.coalesce("node", "doc_id")
     group = (own.select("doc_id").distinct().join(copies.groupBy("doc_id").agg(F.min("node").alias("node")), "doc_id", "left")
              .select("doc_id", node.alias("node")))
