@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from . import words as W
-from .tables import crc_fold, longs, map_arrow, written
+from .tables import crc_fold, longs, map_arrow, shuffles_dropped, written
 
 HELD_FOLD = 1
 HEAD = 32_768   # the end and the most frequent words, in gru.CLASSES classes
@@ -48,6 +48,7 @@ REST = 8
 KNOWN = 262_144
 ROUNDS = 2
 TRAIN_BYTES = 4 << 20  # text that one set of lanes holds
+TASK_BYTES = 16 << 20  # training text that one task has at least: each task sends all parameters
 BLOCK = 8192           # parameters in a row while they are averaged
 SPREAD = 64            # partial averages of a block
 _U = np.uint64
@@ -146,10 +147,13 @@ def _tokens(w: W.Words, h: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.nd
     return ids, ptr
 
 
-def _trained(docs: DataFrame, v, start, turn: int) -> DataFrame:
-    """(block, part, weight, values): each task's parameters after its documents of this round."""
+def _trained(docs: DataFrame, v, start, turn: int, n_tasks: int) -> DataFrame:
+    """(block, part, weight, values): each task's parameters after its documents of this round.
+
+    The files' partitions are put together where they are more than ``n_tasks``.
+    """
     share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == turn
-    rows = _selected(docs, (crc_fold("doc_id") != HELD_FOLD) & share)
+    rows = _selected(docs, (crc_fold("doc_id") != HELD_FOLD) & share).coalesce(n_tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         params = {k: a.copy() for k, a in start.value.items()}
@@ -166,6 +170,7 @@ def _trained(docs: DataFrame, v, start, turn: int) -> DataFrame:
                 "block": pa.array(np.arange(len(cuts) - 1), pa.int32()),
                 "weight": pa.array(np.full(len(cuts) - 1, float(weight))),
                 "values": W.list_column(values * float(weight), cuts, pa.float32())})
+        W.release()
 
     return rows.mapInArrow(run, "block int, weight double, values array<float>").withColumn(
         "part", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
@@ -183,7 +188,8 @@ def _averaged(rows: DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
     schema = "block int, weight double, values array<float>"
     partial = rows.groupBy("block", "part").applyInArrow(lambda t: add(t), schema)
-    got = partial.groupBy("block").applyInArrow(lambda t: add(t), schema).orderBy("block").toArrow()
+    with shuffles_dropped(rows.sparkSession):
+        got = partial.groupBy("block").applyInArrow(lambda t: add(t), schema).orderBy("block").toArrow()
     if not got.num_rows:
         return None
     weight = got["weight"].to_numpy()
@@ -191,12 +197,13 @@ def _averaged(rows: DataFrame, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return gru.unflat(np.concatenate(values), like)
 
 
-def train(docs: DataFrame, v: Vocabulary, head_counts: np.ndarray) -> dict[str, np.ndarray]:
-    spark = docs.sparkSession
+def train(docs: DataFrame, v: Vocabulary, head_counts: np.ndarray, n_bytes: int) -> dict[str, np.ndarray]:
+    """The parameters after all rounds; ``n_bytes``: size of the training text."""
+    spark, n_tasks = docs.sparkSession, 1 + n_bytes // TASK_BYTES
     params, shared = gru.initial(head_counts, np.maximum(v.rest_total, 0)), spark.sparkContext.broadcast(v)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(params)
-        params = _averaged(_trained(docs, shared, start, turn), params) or params
+        params = _averaged(_trained(docs, shared, start, turn, n_tasks), params) or params
     return params
 
 
@@ -244,9 +251,10 @@ def _document_scores(docs: DataFrame, v: Vocabulary, params: dict[str, np.ndarra
 def score_documents(docs: DataFrame) -> DataFrame:
     """Per document row (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     counts = written(word_counts(docs), "word-counts")
-    n_ends = docs.where(crc_fold("doc_id") != HELD_FOLD).count()
+    n_ends, n_bytes = docs.where(crc_fold("doc_id") != HELD_FOLD).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     v, head_counts = vocabulary(counts, n_ends)
-    params = train(docs, v, head_counts)
+    params = train(docs, v, head_counts, n_bytes)
     scored = written(_document_scores(docs, v, params)
                      .withColumn("row", F.monotonically_increasing_id()), "document-scores")
     tail = (scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("w"))

@@ -627,3 +627,14 @@ def test_written_bounds_files_and_drops_shuffles(spark, monkeypatch):
     with T.shuffles_dropped(spark):
         assert spark.conf.get(T._CLEANUP) == "true"
     assert spark.conf.get(T._CLEANUP, None) == before
+
+
+def test_training_tasks_go_by_text(spark, monkeypatch):
+    """Each of many small partitions trained alone and sent all parameters."""
+    from feedlens.llm import lm_scoring as M
+
+    seen = []
+    monkeypatch.setattr(M, "_averaged", lambda rows, like: seen.append(rows.rdd.getNumPartitions()))
+    docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 3} u") for i in range(200)], "doc_id long, text string").repartition(40)
+    M.score_documents(docs).collect()
+    assert seen == [1] * M.ROUNDS
