@@ -66,7 +66,7 @@ def signals_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = rd(f"{sf_dir}/part.parquet").select("p_partkey", "p_type")
     sup_nat = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
     # supplier and part grow with the scale factor: broadcast only under a
-    # checked byte bound; beyond it the joins are shuffle joins on the keys.
+    # checked bound of their bytes in memory; beyond it the joins are shuffle joins on the keys.
     joined = (li.join(broadcast_if_small(sup_nat), li.l_suppkey == sup_nat.s_suppkey)
                 .join(broadcast_if_small(part), li.l_partkey == part.p_partkey))
     return joined.selectExpr(*[f"{_spark_expr(e)} AS {n}" for n, e in SIGNAL_EXPRS])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlens.functions.dates import lenient_date
 from feedlens.functions.text import strip_ws
-from feedlens.operators import clean
+from feedlens.operators import clean, joins
 from feedlens.sources import readers
 from feedlens.sources.batch import load_files
 from feedlens.sources.store import SignalStore
@@ -133,3 +133,27 @@ def test_a_bad_part_stops_its_file_only(spark, tmpdir_run):
     a, b = (os.path.join(tmpdir_run, "in", n) for n in ("a.csv", "b.csv"))
     done = load_files(store, dict(zip((a, b), store.allocate(2))))
     assert done.rows == {b: 1} and set(done.reasons) == {a}
+
+
+def test_broadcasts_go_by_the_rows_in_memory(spark, tmpdir_run):
+    """Repeated texts take a hundredth of their bytes in a file; a join of small tables is not the product of their sizes."""
+    tables = {"part": spark.range(300_000).select("id", F.lit("PROMO BURNISHED COPPER").alias("v")),
+              "supplier": spark.range(2000).withColumn("nation", F.col("id") % 25), "nation": spark.range(25).toDF("nation")}
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmpdir_run}/{name}")
+    part, supplier, nation = (spark.read.parquet(f"{tmpdir_run}/{name}") for name in tables)
+    limit = 16 << 20
+    assert joins.estimated_bytes(part) < limit < joins.held_bytes(part)
+    both = supplier.join(F.broadcast(nation), "nation")
+    small = joins.held_bytes(both)
+    assert 2000 * 16 < small < joins.estimated_bytes(both)
+    fact = spark.range(1000).toDF("k")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        far, near = (fact.join(joins.broadcast_if_small(d, at), F.col("k") == F.col("id")) for d, at in ((part, limit), (both, small)))
+        assert "BroadcastHashJoin" not in plan(far) and "SortMergeJoin" in plan(far)
+        assert "SortMergeJoin" not in plan(near)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert far.count() == near.count() == 1000
