@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,32 +10,17 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.session import scratch_path
+from feedlens.session import _CLEANUP, scratch_path, shuffles_dropped  # noqa: F401
 
 from .words import release
 
 FILE_ROWS = 1 << 18  # of a written table whose size is known
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def shuffles_dropped(spark: SparkSession):
-    """Inside, an action's shuffle files go when it ends, and not only when the driver collects its frames."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-
-
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: lineage is cut and lost executors cost nothing.
 
