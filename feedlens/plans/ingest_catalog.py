@@ -34,9 +34,15 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def put_parts(df: DataFrame, path: str) -> None:
+# A level that takes half the CPU seconds of the default one, for three tenths more bytes
+_GZIP = {"compression": "gzip", "zlib.compress.level": "THREE"}
+_CSV_ROWS = 200_000  # of a compressed part, which one task reads
+
+
+def put_parts(df: DataFrame, path: str, **options) -> None:
     """``df`` as one CSV file in parts, a folder with a name of its own, written by all tasks."""
-    df.write.option("header", True).csv(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.options(header=True, **options).csv(path)
 
 
 # --- dirty files (C1-C7) -----------------------------------------------------
@@ -95,8 +101,6 @@ def _record(sig: DataFrame):
     return F.to_json(F.struct(*sig.columns), {"ignoreNullFields": "false"})
 
 
-# A level that takes half the CPU seconds of the default one, for three tenths more bytes
-_GZIP = {"compression": "gzip", "zlib.compress.level": "THREE"}
 # Records of an array, and lines of a file: files are compressed, so that one task reads each
 _FILE_ROWS = 50_000
 _BLOCKS = 16
@@ -316,7 +320,7 @@ def q_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged files, one of them imported, others hidden or of another kind."""
     staging, parts = scratch_path(spark, "staging"), _parts(spark, sf_dir)
     for i, name in enumerate(("one.csv", "Two.CSV", "nested/three.csv", ".hidden.csv", "__gone.csv", "~four.csv"), 1):
-        put_parts(parts[(i - 1) % 3 + 1], f"{staging}/{name}")
+        put_parts(parts[(i - 1) % 3 + 1], f"{staging}/{name}", maxRecordsPerFile=_CSV_ROWS, **_GZIP)
     put_text(spark, f"{staging}/notes.txt", "none")
     store = SignalStore(spark, scratch_path(spark, "store"))
     store.ingest(f"{staging}/one.csv")

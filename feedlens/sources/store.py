@@ -592,9 +592,10 @@ class SignalStore:
 
         name, path, size_bytes, ext, imported (stem already a registered
         name), sorted by lower(name).  Only path/length are listed; file
-        contents are not read.
+        contents are not read.  The parts of a file in parts may be compressed.
         """
-        listing = readers.list_files(self.spark, staging_dir, glob="*.[cC][sS][vV]")
+        listing = (readers.list_files(self.spark, staging_dir, glob="*.{[cC][sS][vV],[cC][sS][vV].[gG][zZ]}")
+                   .where(~F.lower("name").endswith(".gz")))
         names = self.registry().select(F.col("name").alias("stem")).distinct()
         stem = F.regexp_replace("name", r"\.[^.]*$", "")
         return (listing.where(readers.not_hidden())

@@ -74,3 +74,20 @@ def test_only_blocks_with_a_torn_line_are_shuffled(spark, tables, tmpdir_run, mo
     got = out.select("date", "company", F.col("sentiment_score").alias("s"), F.col("rating").alias("r"))
     assert out.select("torn").distinct().collect() == [(16,)] and out.count() == ROWS
     assert got.exceptAll(sig).isEmpty() and sig.exceptAll(got).isEmpty()
+
+
+def test_a_csv_in_compressed_parts_is_discovered_and_read(spark, tables, tmpdir_run):
+    staging, df = os.path.join(tmpdir_run, "staging"), I.signals_from_tables(spark, tables).drop("dataset_id")
+    I.put_parts(df, f"{staging}/a.csv", maxRecordsPerFile=300, **I._GZIP)
+    I.put_parts(df, f"{staging}/b.csv")
+    with gzip.open(f"{staging}/c.csv.gz", "wt") as out:  # no part of a file: not a .csv
+        out.write("date,source\n2020-01-01,x\n")
+    assert len(glob(f"{staging}/a.csv/part-*.csv.gz")) >= ROWS // 300
+    store = I.SignalStore(spark, os.path.join(tmpdir_run, "store"))
+    scan = {r["name"]: (r["ext"], r["size_bytes"]) for r in store.scan_available(staging).collect()}
+    assert set(scan) == {"a.csv", "b.csv"} and scan["a.csv"][0] == ".csv" and 0 < scan["a.csv"][1] < scan["b.csv"][1] // 3
+    for name in scan:
+        store.ingest(f"{staging}/{name}")
+    assert [r["row_count"] for r in store.registry().collect()] == [ROWS, ROWS]
+    rows = [store.signals().where(F.col("dataset_id") == i).drop("dataset_id") for i in (1, 2)]
+    assert rows[0].exceptAll(rows[1]).isEmpty()
