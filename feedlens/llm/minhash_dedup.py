@@ -16,7 +16,11 @@ above 0.99999 at 0.9.
 Documents with equal sets are one node from the start.  In each table's
 bucket, the smallest node and the first in each of ``ORDERS`` hash orders are
 compared with every other (stars, linear in the bucket).  Only where a bucket still holds several groups
-after that, its nodes of different groups are compared pairwise.  Full sets are
+after that, its nodes of different groups are compared pairwise, if they are at most
+``CROWD``.  In buckets of more, which grow with the corpus where short texts share
+a passage, nodes are compared that share a shingle among the rarest ones of either
+(their prefixes): similar sets do, so this loses nothing, and the shared passage is
+in no prefix.  Full sets are
 fetched for pairs that three tests allow: their sizes; the parity of their
 shingles on ``PARITY`` bits (sets differ in at least as many shingles as their
 parities differ in bits, so this loses nothing); and their minhashes, of which
@@ -44,6 +48,7 @@ HASHES = LEFT * LEFT_ROWS + RIGHT * RIGHT_ROWS  # 52
 AGREE = 24
 PARITY = 512
 ORDERS = 3
+CROWD = 64  # nodes of a bucket up to which all are compared with all
 PACKED = (HASHES + 7) // 8  # minhashes, one byte each, in longs
 KEY_BITS = 25   # 4 MB broadcast, whatever the data
 NODE_BITS = 23  # 1 MB
@@ -250,6 +255,41 @@ def _crossing(members: DataFrame, percent: int) -> DataFrame:
                                 F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def _prefixes(docs: DataFrame, crowd: DataFrame, k: int, percent: int, rows: int) -> DataFrame:
+    """(node, v): the shingles of each node of ``crowd`` of which a similar set has one, rare ones first.
+
+    Sets of which ``percent`` is shared share one of the first n - ceil(percent * n / 100) + 1 of either, in any common
+    order; here shingles are ordered by how many sets of ``crowd`` have them.  What one set alone has is left out.
+    """
+    def emit(ids, w):
+        values, ptr = shingle_sets(w, k)
+        full = np.flatnonzero(np.diff(ptr))
+        if len(full):
+            bounds = np.append(ptr[full], len(values))
+            yield {"node": pa.array(ids[full]), "s": longs(np.add.reduceat(W.mix(values), ptr[full])),
+                   "values": W.list_column(values.view(np.int64), bounds, pa.int64())}
+
+    wanted = BitFilter(crowd.select(_id_hash("node").alias("h")), "h", NODE_BITS)
+    sets = written(_some(docs, wanted, True, emit, "node long, s long, values array<long>")
+                   .join(crowd.select("node"), "node", "left_semi").dropDuplicates(["node", "s"]), "crowd-sets", rows)
+    one = sets.select("node", "s", F.size("values").alias("n"), F.explode("values").alias("v"))
+    shared = one.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ordered = one.join(shared, "v").groupBy("node", "s", "n").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("o"))
+    # the set's own shingles come before all shared ones
+    left = F.expr(f"n - (n * {percent} + 99) div 100 + 1 - (n - size(o))").cast("int")
+    return (ordered.where(left > 0).select("node", F.explode(F.slice("o", F.lit(1), left)).alias("x"))
+            .select("node", "x.v").distinct())
+
+
+def _crowded(docs: DataFrame, crowd: DataFrame, marks: DataFrame, k: int, percent: int, rows: int) -> DataFrame:
+    """Pairs (a, b) of the nodes of ``crowd`` (node, group) in different groups that may be similar."""
+    known = _prefixes(docs, crowd, k, percent, rows).join(crowd, "node").join(marks, "node")
+    x, y = known.alias("x"), known.alias("y")
+    # both sides are plain exchanges, so a shingle of very many prefixes is split
+    on = (F.col("x.v") == F.col("y.v")) & (F.col("x.group") < F.col("y.group")) & _possible("x", "y", percent)
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     """Per document row (doc_id, n_shingles, component_id, kept)."""
     held = Held()
@@ -293,7 +333,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
         n_members = members.count()
         members = written(now.join(open_keys, "key", "left_semi"), "members", n_members)
         if crossing:
-            pairs = _crossing(members.join(nodes.drop("keys"), "node"), percent)
+            crowds = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("key"),
+                             "crowds", n_members)
+            if crowds.isEmpty():
+                pairs = _crossing(members.join(nodes.drop("keys"), "node"), percent)
+            else:
+                crowd = written(members.join(crowds, "key", "left_semi").select("node", "group").distinct(), "crowd", n_members)
+                pairs = (_crossing(members.join(crowds, "key", "left_anti").join(nodes.drop("keys"), "node"), percent)
+                         .union(_crowded(docs, crowd, nodes.select("node", "n", *_MARKS), shingle, percent, n_docs)).distinct())
         else:
             pairs = (_stars(members).join(info.withColumnRenamed("node", "a"), "a")
                      .join(info.select(F.col("node").alias("b"), F.col("x").alias("y")), "b")
